@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import quality
+from framewright.llm import quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,12 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), *urls.train(spark))
+
+
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
+    "op7_url_filter": op7_url_filter,
 }
 ORACLES: dict[str, str] = {}
