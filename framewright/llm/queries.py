@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framewright.llm import quality, urls
+from framewright.llm import chat, quality, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +23,35 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), *urls.train(spark))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``conversations`` is a record of the layout turn; conversation -7 is one of the layout messages."""
+    rows = table(spark, sf_dir, "conversations")
+    said = "\\### Assistant: </turn> ok"
+    turn_json = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
+    records = rows.select("conv_id", "turn", turn_json.alias("payload"))
+    extra = spark.createDataFrame([(-7, 0, json.dumps({"messages": [{"role": r, "content": said} for r in ("user", "assistant")]}))], "conv_id long, turn long, payload string")
+    turns = chat.canonical_turns(records.unionByName(extra)).select("conv_id", "turn", F.posexplode("turns").alias("at", "said"))
+    return chat.digests(chat.formatted(turns.select("conv_id", (F.col("turn") + F.col("at")).alias("turn"), "said.role", "said.text")))
+
+
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op7_url_filter": op7_url_filter,
+    "op10_chat_format": op10_chat_format,
+}
+_SAID = "'\\### Assistant: </turn> ok'"
+ORACLES: dict[str, str] = {
+    "op10_chat_format": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', {_SAID} UNION ALL SELECT -7, 1, 'assistant', {_SAID}
+        ), e AS (
+            SELECT *, length(role || text) + length(regexp_replace(role || text, '[^&<>]', '', 'g')) AS n FROM t
+        )
+        SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(n + 15) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
-ORACLES: dict[str, str] = {}
