@@ -17,6 +17,9 @@ _MUL = 0x9E3779B97F4A7C15
 _INV = pow(_MUL, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that end a token where punctuation is not wanted: all ASCII but letters and digits.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -69,12 +72,15 @@ def lower(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the number of words before each document (n + 1)."""
+def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the number of words before each document (n + 1).
+
+    ``space`` flags the bytes between words.
+    """
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    ink = ~_SPACE[raw]
+    ink = ~space[raw]
     first = np.empty(len(raw), bool)
     first[0] = True
     first[1:] = ~ink[:-1]
