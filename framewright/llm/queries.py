@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import chat, decontaminate, mixing, quality, toxicity, urls
+from framewright.llm import chat, decontaminate, mixing, neardup, quality, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), *urls.train(spark))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), width=3, percent=85).drop("node", "root")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of ``conversations`` is a record of the layout turn; conversation -7 is one of the layout messages."""
     rows = table(spark, sf_dir, "conversations")
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_decontaminate_seeds": op4_decontaminate_seeds,
     "op5_toxicity_cnn": op5_toxicity_cnn,
     "op7_url_filter": op7_url_filter,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_chat_format": op10_chat_format,
 }
 _SAID = "'\\### Assistant: </turn> ok'"

@@ -103,6 +103,15 @@ def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix((sums[ends] - sums[starts]) * _power(_INV, n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def run_hash(values: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Hashes of whole runs of values: run i is values[before[i]:before[i + 1]]."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * _power(_MUL, n), out=sums[1:])
+    lo, hi = before[:-1], before[1:]
+    return mix((sums[hi] - sums[lo]) * _power(_INV, n + 1)[lo] + (hi - lo).astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F))
+
+
 def window_hash(hashes: np.ndarray, width: int, taps: tuple[int, ...] | None = None) -> np.ndarray:
     """Hashes of each run of ``width`` values, over the positions in ``taps`` (all if none)."""
     m = len(hashes) - width + 1
