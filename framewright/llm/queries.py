@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import chat, decontaminate, mixing, neardup, quality, toxicity, urls
+from framewright.llm import chat, decontaminate, linededup, mixing, neardup, quality, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"), "toxic")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.without_repeated_lines(docs, counts=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), *urls.train(spark))
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_decontaminate_seeds": op4_decontaminate_seeds,
     "op5_toxicity_cnn": op5_toxicity_cnn,
+    "op6_line_dedup": op6_line_dedup,
     "op7_url_filter": op7_url_filter,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_chat_format": op10_chat_format,

@@ -95,6 +95,28 @@ def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte, document and number in it of every line; lines end at U+000A."""
+    breaks = np.flatnonzero(raw == 10)
+    left = np.concatenate([offsets[:-1], breaks + 1])
+    doc = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
+    order = np.lexsort((left, doc))
+    left, doc = left[order], doc[order]
+    last = np.ones(len(left), bool)
+    last[:-1] = doc[1:] != doc[:-1]
+    right = offsets[doc + 1].copy()
+    right[:-1][~last[:-1]] = left[1:][~last[:-1]] - 1
+    first = np.searchsorted(doc, doc)
+    return left, right, doc, np.arange(len(left)) - first
+
+
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 bytes, and the offsets (any ascending byte positions between them) in code points."""
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return points, before[offsets]
+
+
 def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans, the same for equal bytes anywhere."""
     n = len(raw)
