@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import chat, decontaminate, linededup, mixing, neardup, quality, toxicity, urls
+from framewright.llm import chat, chunkdedup, decontaminate, linededup, mixing, neardup, quality, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), *urls.train(spark))
 
 
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), width=3, percent=85).drop("node", "root")
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_toxicity_cnn": op5_toxicity_cnn,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_chunk_dedup": op8_chunk_dedup,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_chat_format": op10_chat_format,
 }
