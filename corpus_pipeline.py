@@ -1,12 +1,54 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. Null and empty
+texts pass through all filters (they are not toxic, hold no lines, duplicate nothing and match no
+item) and weigh nothing in the mix. Rows equal in doc_id and text count as copies of one another from
+the near-duplicate stage on.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from framewright.llm import decontaminate, linededup, mixing, neardup, toxicity
 from framewright.llm.store import written
 
-STAGES: list = []
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below the threshold of their language."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(docs, model)
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document, or the same one, has already; n_chars follows."""
+    return linededup.without_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word shingles, similarity 0.8 or more."""
+    return neardup.without_near_duplicates(docs, width=5, percent=80)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words taken of each document under the target weights of the sources."""
+    return mixing.taken(mixing.mix(docs))
+
+
+STAGES = [
+    ("toxicity", not_toxic),
+    ("line_dedup", lines_once),
+    ("near_dedup", no_near_copies),
+    ("decontaminate", no_benchmark),
+    ("mix", mixed),
+]
+#: The models and sketches of the stages have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 
