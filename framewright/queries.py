@@ -1,4 +1,6 @@
 """Named queries over the given tables, with the DuckDB SQL they are held against."""
 
-QUERIES = {}
-ORACLES = {}
+from framewright.plans import basic
+
+QUERIES = {**basic.QUERIES}
+ORACLES = {**basic.ORACLES}
