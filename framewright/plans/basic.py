@@ -144,9 +144,9 @@ def mirror_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("x", "y").agg(F.round(F.sum(F.col("value") * F.col("opposite")), 6).alias("product"))
 
 
-@query(f"""WITH {CUBE}, m AS (SELECT x, y, list(value ORDER BY frame) AS v FROM cube GROUP BY 1, 2)
-    SELECT a.x, a.y, b.x AS x2, b.y AS y2, round(list_cosine_similarity(list_transform(a.v, e -> e - list_avg(a.v)), list_transform(b.v, e -> e - list_avg(b.v))), 5) + 0.0 AS value
-    FROM m a JOIN m b ON (a.x, a.y) <= (b.x, b.y)""")
+@query(f"""WITH {CUBE}, d AS (SELECT x, y, frame, value - avg(value) OVER (PARTITION BY x, y) AS d FROM cube), n AS (SELECT x, y, sum(d * d) AS s FROM d GROUP BY 1, 2),
+    p AS (SELECT a.x, a.y, b.x AS x2, b.y AS y2, sum(a.d * b.d) AS p FROM d a JOIN d b ON a.frame = b.frame AND (a.x < b.x OR (a.x = b.x AND a.y <= b.y)) GROUP BY 1, 2, 3, 4)
+    SELECT p.x, p.y, x2, y2, round(p / (sqrt(a.s * b.s) + 2.220446049250313e-16), 5) + 0.0 AS value FROM p JOIN n a ON a.x = p.x AND a.y = p.y JOIN n b ON b.x = x2 AND b.y = y2""")
 def correlation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ts.correlation_map(src.series(spark, sf_dir))
     return out.select("x", "y", "x2", "y2", (F.round("value", 5) + 0.0).alias("value"))

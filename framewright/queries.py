@@ -1,6 +1,6 @@
 """Named queries over the given tables, with the DuckDB SQL they are held against."""
 
-from framewright.plans import basic
+from framewright.plans import basic, detection
 
-QUERIES = {**basic.QUERIES}
-ORACLES = {**basic.ORACLES}
+QUERIES = {**basic.QUERIES, **detection.QUERIES}
+ORACLES = {**basic.ORACLES, **detection.ORACLES}

@@ -6,6 +6,9 @@ obscon(dataset, frame, key, value), readings(parameter, ts, integration_time, va
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,3 +131,15 @@ def one_template(psf: DataFrame) -> DataFrame:
     twice = psf.groupBy("dataset", "x", "y").count().groupBy("dataset").agg(F.max("count").alias("n"))
     ok = F.when(F.col("n") == 1, True).otherwise(F.raise_error(F.lit("template is not 2-D")).cast("boolean"))
     return psf.join(twice.select("dataset", ok.alias("ok")).filter("ok"), "dataset").drop("ok")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder named in spark.checkpoint.dir and read again; own folder only where that is unset."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
