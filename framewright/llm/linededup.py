@@ -20,19 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from framewright.llm import text as tx
 from framewright.llm.linked import link, shared_lists
-from framewright.llm.store import written
+from framewright.llm.store import discard, fresh_name, small, written
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 12, 4
 _K = BANDS * ROWS
 #: Lines of at least LONG shingles are dealt to bins; up to LONG * 100 / PERCENT they get both signatures.
 LONG = 192
+#: Pairs whose signatures differ in more of the 48 lowest bits are not similar: at similarity 0.8 one bit in
+#: ten differs, and more than MOST_BITS do in less than one pair of ten thousand.
+MOST_BITS = 13
 _SEEN = 1 << 20
 _A = np.random.default_rng(11).integers(1, 1 << 63, _K, dtype=np.uint64) * tx.U64(2) + tx.U64(1)
 
@@ -80,23 +83,27 @@ def _by_bins(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(values: np.ndarray, before: np.ndarray) -> list[np.ndarray]:
-    """Band hashes of each line."""
+def signs(values: np.ndarray, before: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Band hashes of each line; and for both kinds of signature the lowest bits of its values, with a mask of the lines that have it."""
     size = np.diff(before)
     found: list[list[np.ndarray]] = [[] for _ in size]
+    bits, masks = [], []
     for scheme, chosen, make in ((1, size * PERCENT <= LONG * 100, _by_functions), (2, size >= LONG, _by_bins)):
-        rows = np.flatnonzero(chosen & (size > 0))
-        if not len(rows):
-            continue
-        flat = values[np.repeat(chosen & (size > 0), size)]
-        signature = make(flat, np.concatenate([[0], np.cumsum(size[rows])]))
-        total = np.zeros((len(rows), BANDS), np.uint64)
-        for r in range(ROWS):
-            total = tx.mix(total * tx.U64(31) + signature[:, r::ROWS])
-        total = tx.mix(total + (np.arange(BANDS, dtype=np.uint64) + tx.U64(64 * scheme)))
-        for i, row in enumerate(rows):
-            found[row].append(total[i])
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found]
+        chosen = chosen & (size > 0)
+        rows = np.flatnonzero(chosen)
+        packed = np.zeros(len(size), np.uint64)
+        if len(rows):
+            signature = make(values[np.repeat(chosen, size)], np.concatenate([[0], np.cumsum(size[rows])]))
+            packed[rows] = ((tx.mix(signature) & tx.U64(1)) << np.arange(_K, dtype=np.uint64)).sum(1)
+            total = np.zeros((len(rows), BANDS), np.uint64)
+            for r in range(ROWS):
+                total = tx.mix(total * tx.U64(31) + signature[:, r::ROWS])
+            total = tx.mix(total + (np.arange(BANDS, dtype=np.uint64) + tx.U64(64 * scheme)))
+            for i, row in enumerate(rows):
+                found[row].append(total[i])
+        bits.append(packed.view(np.int64))
+        masks.append(~chosen)
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found], bits, masks
 
 
 def _inked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -117,7 +124,7 @@ def doc_keys(ids: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _line_bands(docs: DataFrame) -> DataFrame:
-    """(node, bands) of the lines, each at least once."""
+    """(node, bits1, bits2, bands) of the lines, each at least once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -129,10 +136,12 @@ def _line_bands(docs: DataFrame) -> DataFrame:
                 if len(seen) > _SEEN:
                     seen.clear()
                 seen.update(node[new].tolist())
-                b = bands(*shingles(low, left[new], right[new]))
-                yield pa.RecordBatch.from_arrays([pa.array(node[new].view(np.int64)), pa.array([x.view(np.int64) for x in b], pa.list_(pa.int64()))], ["node", "bands"])
+                values, before = shingles(low, left[new], right[new])
+                bands, (b1, b2), (m1, m2) = signs(values, before)
+                columns = [pa.array(node[new].view(np.int64)), pa.array(b1, mask=m1), pa.array(b2, mask=m2)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.view(np.int64) for x in bands], pa.list_(pa.int64()))], ["node", "bits1", "bits2", "bands"])
 
-    return docs.select("text").mapInArrow(run, "node long, bands array<long>")
+    return docs.select("text").mapInArrow(run, "node long, bits1 long, bits2 long, bands array<long>")
 
 
 def _line_texts(docs: DataFrame) -> DataFrame:
@@ -154,6 +163,17 @@ def _line_texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, line string")
 
 
+def _sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, sorted within each line, and how many come before each line."""
+    values, before = shingles(raw, offsets[:-1], offsets[1:])
+    owner = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], np.searchsorted(owner[new], np.arange(len(before)))
+
+
 def _similar(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows (a, b, ta, tb) whose whole shingle sets reach the threshold."""
 
@@ -162,14 +182,11 @@ def _similar(rows: DataFrame) -> DataFrame:
             keep = np.zeros(batch.num_rows, bool)
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sides = []
-                for c in ("ta", "tb"):
-                    raw, offsets = tx.buffers(part[c])
-                    sides.append(shingles(raw, offsets[:-1], offsets[1:]))
+                (va, oa), (vb, ob) = (_sets(*tx.buffers(part[c])) for c in ("ta", "tb"))
                 for i in range(part.num_rows):
-                    x, y = (np.unique(v[o[i] : o[i + 1]]) for v, o in sides)
-                    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    keep[at + i] = both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+                    x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
+                    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+                    keep[at + i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
@@ -177,16 +194,22 @@ def _similar(rows: DataFrame) -> DataFrame:
 
 def line_roots(docs: DataFrame) -> DataFrame:
     """(node, root) of the lines that are similar to another line."""
-    postings = _line_bands(docs).select("node", F.explode("bands").alias("v"))
-    lists = written(shared_lists(postings), "line-lists")
+    lines = written(_line_bands(docs), "line-bands")
+    lists = written(shared_lists(lines.select("node", F.explode("bands").alias("v"))), "line-lists")
+    some = lines.select("node", "bits1", "bits2").join(lists.select("node").distinct(), "node", "left_semi")
+    some = written(some.dropDuplicates(["node"]), "line-signs")
+    discard(lines)
+
+    def plausible(x: str, y: str) -> Column:
+        return F.coalesce(*[F.bit_count(F.col(f"bits{k}{x}").bitwiseXOR(F.col(f"bits{k}{y}"))) for k in (1, 2)]) <= MOST_BITS
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = written(_line_texts(docs).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
+        nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "near-nodes")
+        texts = written(_line_texts(docs).join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"))
         return _similar(pairs.join(side("a"), "a").join(side("b"), "b"))
 
-    return link(lists, verify)
+    return link(lists, some, plausible, verify)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -215,7 +238,7 @@ def without_repeated_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``; with ``counts``, also n_lines and n_removed."""
     names = docs.columns
     gone = written(repeated_lines(docs), "line-cuts")
-    key = next(f"key_{k}" for k in range(len(names) + 1) if f"key_{k}" not in names)
+    key, cuts = fresh_name(docs, "key"), fresh_name(docs, "cuts")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,8 +246,8 @@ def without_repeated_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], [*batch.schema.names, key])
 
     marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, StructField(key, LongType())]))
-    met = marked.join(gone.select(F.col("key").alias(key), "numbers"), key, "left")
+    met = marked.join(gone.select(F.col("key").alias(key), F.col("numbers").alias(cuts)), key, "left")
     pieces = F.split("text", "\n")
-    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("numbers", i.cast("long"))), "\n")
-    lines = [F.size(pieces).cast("long").alias("n_lines"), F.coalesce(F.size("numbers"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    return met.select(*[F.when(F.col("numbers").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names], *lines)
+    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(cuts, i.cast("long"))), "\n")
+    lines = [F.size(pieces).cast("long").alias("n_lines"), F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    return met.select(*[F.when(F.col(cuts).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names], *lines)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.store import written
@@ -85,23 +85,30 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(down(small, "a", "b"), "edges")
 
 
-def link(lists: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) from lists (v, node, head); ``verify`` keeps the true links of pairs (a, b)."""
+def link(lists: DataFrame, features: DataFrame, plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) from lists (v, node, head).
 
-    def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-        return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a <> b").distinct()
+    ``features`` has one row per node; ``plausible(x, y)`` tests the features of a pair, named with the suffixes x and y, and never
+    rules a link out; ``verify`` keeps the true links of pairs (a, b).
+    """
+    names = [c for c in features.columns if c != "node"]
+    side = lambda x: features.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in names])
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
-    tried = written(pairs(lists, "node", "head"), "tried")
+    first = lists.filter("node <> head").select(*ordered("node", "head")).distinct()
+    tried = written(first.join(side("a"), "a").join(side("b"), "b").filter(plausible("a", "b")).select("a", "b"), "tried")
     links = written(verify(tried), "links")
     roots = components(links)
 
     placed = lists.select("v", "node").join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
     apart = placed.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("v")
-    placed = written(placed.join(apart, "v", "left_semi"), "apart")
+    placed = written(placed.join(apart, "v", "left_semi").join(features, "node"), "apart")
     largest = placed.groupBy("v", "root").agg(F.count("*").alias("n")).groupBy("v").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    outside = placed.join(largest, "v").filter("root <> largest").select("v", F.col("node").alias("x"), F.col("root").alias("rx"))
-    more = pairs(outside.join(placed, "v").filter("rx <> root"), "x", "node").join(tried, ["a", "b"], "left_anti")
-    late = written(verify(written(more, "more")), "links")
+    outside = placed.join(largest, "v").filter("root <> largest").select("v", F.col("node").alias("x"), F.col("root").alias("rootx"), *[F.col(c).alias(f"{c}x") for c in names])
+    others = placed.select("v", F.col("node").alias("y"), F.col("root").alias("rooty"), *[F.col(c).alias(f"{c}y") for c in names])
+    met = outside.join(others, "v").filter("rootx <> rooty").filter(plausible("x", "y")).select(*ordered("x", "y")).distinct()
+    more = written(met.join(tried, ["a", "b"], "left_anti"), "more")
+    late = written(verify(more), "links")
     if late.isEmpty():
         return roots
     return components(links.unionByName(late))

@@ -17,6 +17,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"{stem}_{k}") not in taken)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -25,6 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1 << 18
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of a few numbers per row, marked for broadcast if it has at most ``limit`` rows; else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of tables made by ``written`` that nothing will read again."""
     for df in frames:
