@@ -71,7 +71,7 @@ def brightest_offset(maps: DataFrame, positions: DataFrame, radius: float, searc
 def _ibeta_tail(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta by its continued fraction, for x below the mean."""
     tiny = 1e-300
-    front = np.exp(a * np.log(x) + b * np.log1p(-x) - np.log(a) - np.vectorize(math.lgamma)(a) - math.lgamma(b) + np.vectorize(math.lgamma)(a + b))
+    front = np.exp(a * np.log(x) + b * np.log1p(-x) - np.log(a) - np.vectorize(math.lgamma, otypes=[float])(a) - math.lgamma(b) + np.vectorize(math.lgamma, otypes=[float])(a + b))
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()

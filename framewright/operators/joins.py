@@ -83,13 +83,14 @@ def sampled(cube: DataFrame, points: DataFrame, keys: list[str], by: list[str])
 
 
 def derotated(cube: DataFrame, frames: DataFrame, size_x: int, size_y: int, order: int = 1) -> DataFrame:
-    """Each frame turned by minus its angle about the centre; order 0 (nearest cell) or 1 (bilinear), zero from outside.
+    """Each frame turned so that a source that moves with its angle (see ``injected``) stands still; order 0 (nearest
+    cell) or 1 (bilinear), zero from outside.
 
     A target cell looks up where it came from, so a cell is written once and frames never meet.
     """
     cx, cy = center(size_x), center(size_y)
     grid = cube.select("dataset", "frame", "x", "y").join(frames.select("dataset", "frame", "parang"), ["dataset", "frame"])
-    px, py = rotated(F.col("x"), F.col("y"), cx, cy, F.col("parang"))
+    px, py = rotated(F.col("x"), F.col("y"), cx, cy, -F.col("parang"))
     points = grid.select("dataset", "frame", F.col("x").alias("x0"), F.col("y").alias("y0"), px.alias("px"), py.alias("py"))
     if order == 0:
         near = points.select("dataset", "frame", "x0", "y0", F.floor(F.col("px") + 0.5).cast("int").alias("x"), F.floor(F.col("py") + 0.5).cast("int").alias("y"))

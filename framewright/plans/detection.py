@@ -45,8 +45,8 @@ def shift_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.shifted(m, 1.3, -2.6, ["dataset"], *grid(m)).select("x", "y", _r("value").alias("value"))
 
 
-TURNED = """turned AS (SELECT frame, x, y, sx / 2 - 0.5 + (x - (sx / 2 - 0.5)) * cos(radians(parang)) - (y - (sy / 2 - 0.5)) * sin(radians(parang)) AS px,
-    sy / 2 - 0.5 + (x - (sx / 2 - 0.5)) * sin(radians(parang)) + (y - (sy / 2 - 0.5)) * cos(radians(parang)) AS py FROM cube JOIN frames USING (frame), dim)"""
+TURNED = """turned AS (SELECT frame, x, y, sx / 2 - 0.5 + (x - (sx / 2 - 0.5)) * cos(radians(-parang)) - (y - (sy / 2 - 0.5)) * sin(radians(-parang)) AS px,
+    sy / 2 - 0.5 + (x - (sx / 2 - 0.5)) * sin(radians(-parang)) + (y - (sy / 2 - 0.5)) * cos(radians(-parang)) AS py FROM cube JOIN frames USING (frame), dim)"""
 
 
 @query(f"""WITH {CUBE}, {FRAMES}, {TURNED} SELECT t.frame, t.x, t.y, round(coalesce(c.value, 0), 6) + 0.0 AS value
