@@ -193,3 +193,40 @@ def polar_points(maps: DataFrame, keys: list[str], grid: int, size_x: int, size_
     rows = ids.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     radius, phi = F.col("r") * (reach / grid), F.col("p") * (2 * math.pi / grid)
     return rows.withColumn("px", center(size_x) + radius * F.cos(phi)).withColumn("py", center(size_y) + radius * F.sin(phi))
+
+
+def template_match(polar: DataFrame, template: DataFrame, grid: int, keys: list[str]) -> DataFrame:
+    """Normalised correlation of a small template (dr, dp, t) with each place of polar maps (keys, r, p, value); p wraps around.
+
+    Map cells are sent to the places whose window they fall in; sums per place give means, norms and the product.
+    """
+    moments = template.agg(F.count("*").alias("m"), F.avg("t").alias("tm"), F.sqrt(F.sum(F.col("t") * F.col("t")) - F.count("*") * F.pow(F.avg("t"), 2)).alias("tn")).first()
+    cells = F.array(*[F.struct(F.lit(int(r["dr"])).alias("dr"), F.lit(int(r["dp"])).alias("dp"), F.lit(float(r["t"])).alias("t")) for r in template.collect()])  # a stamp of a few dozen cells
+    sent = polar.select(*keys, "r", "p", "value", F.explode(cells).alias("c"))
+    sent = sent.select(*keys, (F.col("r") - F.col("c.dr")).alias("r"), F.pmod(F.col("p") - F.col("c.dp"), F.lit(grid)).alias("p"), "value", F.col("c.t").alias("t"))
+    sums = sent.filter(F.col("r").between(0, grid - 1)).groupBy(*keys, "r", "p").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.sum(F.col("value") * F.col("t")).alias("st"))
+    m = float(moments["m"])
+    spread = F.sqrt(F.greatest(F.col("ss") - F.col("s") * F.col("s") / m, F.lit(0.0)))
+    score = F.try_divide(F.col("st") - F.col("s") * float(moments["tm"]), F.when(spread > 0, spread * float(moments["tn"])))
+    return sums.select(*keys, "r", "p", F.coalesce(score, F.lit(0.0)).alias("value"))
+
+
+def arc_cells(positions: DataFrame, rotation: float, keys: list[str], size_x: int, size_y: int, template: Column, template_size: int) -> DataFrame:
+    """Sum of templates stamped at 2 * int(rotation) points of the arc of ``rotation`` degrees around each (keys, sep, angle in degrees)."""
+    n = max(2 * int(rotation), 1)
+    steps = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = positions.withColumn("k", steps).withColumn("a", F.radians(F.col("angle") - rotation / 2 + F.col("k") * (rotation / max(n - 1, 1))))
+    half = (template_size - 1) / 2
+    px, py = center(size_x) + F.col("sep") * F.cos("a"), center(size_y) + F.col("sep") * F.sin("a")
+    stamp = rows.select(*keys, px.alias("px"), py.alias("py"), F.explode(template).alias("t"))
+    cells = stamp.select(*keys, F.explode(_cells(F.col("px") - half + F.col("t.tx"), F.col("py") - half + F.col("t.ty"), F.col("t.tv"))).alias("c"))
+    inside = F.col("c.x").between(0, size_x - 1) & F.col("c.y").between(0, size_y - 1)
+    return cells.filter(inside).groupBy(*keys, F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("c.v").alias("value"))
+
+
+def patches(cube: DataFrame, positions: DataFrame, half: int) -> DataFrame:
+    """(dataset, frame, dx, dy, value): bilinear windows around the moving position (px, py) of each frame."""
+    offsets = F.sequence(F.lit(-half), F.lit(half))
+    p = positions.withColumn("dx", F.explode(offsets)).withColumn("dy", F.explode(offsets))
+    p = p.select("dataset", "frame", "dx", "dy", (F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py"))
+    return sampled(cube, p, ["dataset", "frame"], ["dataset", "frame", "dx", "dy"])

@@ -1,6 +1,6 @@
 """Named queries over the given tables, with the DuckDB SQL they are held against."""
 
-from framewright.plans import basic, detection
+from framewright.plans import basic, detection, search
 
-QUERIES = {**basic.QUERIES, **detection.QUERIES}
-ORACLES = {**basic.ORACLES, **detection.ORACLES}
+QUERIES = {**basic.QUERIES, **detection.QUERIES, **search.QUERIES}
+ORACLES = {**basic.ORACLES, **detection.ORACLES, **search.ORACLES}

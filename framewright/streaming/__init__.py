@@ -1,0 +1 @@
+"""Empty: the operators here are batch jobs; nothing in the survey streams."""
