@@ -1,9 +1,11 @@
 """Links from inverted lists, and their components by distributed union-find.
 
 A posting (v, node) says that a node holds the value v. Nodes of one list are candidates for a link.
-First every node of a list is tried against the list's head only; then, once components are
-known, whatever is still apart within a list is tried too. So no link between nodes of one list
-is lost, and nodes that already are in one component are never paired.
+First every node of a list is tried against the list's head only. Then, in rounds, the nodes outside the largest
+component of each list are tried against another member of it, drawn anew for each list and round. Last, whatever is
+still apart in lists of at most SHORT nodes is paired. So work grows in proportion to the lists, and nodes that already are in one
+component are never paired. In longer lists a component could stay in two parts only if none of the
+links between them meets a head of any of the lists and rounds that its nodes share.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 from framewright.llm.store import written
 
+ROUNDS, SHORT = 2, 512
+
 
 def shared_lists(postings: DataFrame) -> DataFrame:
     """(v, node, head) of the values that at least two different nodes hold; head is the smallest node.
@@ -100,15 +104,36 @@ def link(lists: DataFrame, features: DataFrame, plausible: Callable[[str, str],
     links = written(verify(tried), "links")
     roots = components(links)
 
-    placed = lists.select("v", "node").join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("v")
-    placed = written(placed.join(apart, "v", "left_semi").join(features, "node"), "apart")
-    largest = placed.groupBy("v", "root").agg(F.count("*").alias("n")).groupBy("v").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    outside = placed.join(largest, "v").filter("root <> largest").select("v", F.col("node").alias("x"), F.col("root").alias("rootx"), *[F.col(c).alias(f"{c}x") for c in names])
-    others = placed.select("v", F.col("node").alias("y"), F.col("root").alias("rooty"), *[F.col(c).alias(f"{c}y") for c in names])
-    met = outside.join(others, "v").filter("rootx <> rooty").filter(plausible("x", "y")).select(*ordered("x", "y")).distinct()
-    more = written(met.join(tried, ["a", "b"], "left_anti"), "more")
-    late = written(verify(more), "links")
-    if late.isEmpty():
-        return roots
-    return components(links.unionByName(late))
+    def apart() -> DataFrame:
+        """Rows (v, node, root, features) of the lists whose nodes are in more than one component."""
+        placed = lists.select("v", "node").join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
+        open_lists = placed.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).filter("r0 <> r1")
+        return written(placed.join(open_lists.select("v", "members"), "v").join(features, "node"), "apart")
+
+    def more(found: DataFrame) -> bool:
+        """Try further pairs (a, b); true if that found links."""
+        nonlocal tried, links, roots
+        new = written(found.join(tried, ["a", "b"], "left_anti"), "more")
+        late = written(verify(new), "links")
+        if late.isEmpty():
+            return False
+        tried, links = tried.unionByName(new), links.unionByName(late)
+        roots = components(links)
+        return True
+
+    def sides(df: DataFrame, x: str) -> DataFrame:
+        return df.select("v", F.col("node").alias(x), F.col("root").alias(f"root{x}"), *[F.col(c).alias(f"{c}{x}") for c in names])
+
+    for turn in range(ROUNDS):
+        placed = apart()
+        largest = placed.groupBy("v", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "v", "node"), "node"))["node"].alias("y"))
+        largest = largest.groupBy("v").agg(F.max(F.struct("n", F.col("root").alias("rooty"), "y")).alias("h")).select("v", "h.rooty", "h.y")
+        heads = largest.join(features.select(F.col("node").alias("y"), *[F.col(c).alias(f"{c}y") for c in names]), "y")
+        met = sides(placed, "x").join(heads, "v").filter("rootx <> rooty").filter(plausible("x", "y"))
+        if not more(met.select(*ordered("x", "y")).distinct()):
+            break
+
+    placed = apart().filter(F.col("members") <= SHORT)
+    met = sides(placed, "x").join(sides(placed, "y"), "v").filter("x < y and rootx <> rooty").filter(plausible("x", "y"))
+    more(met.select(*ordered("x", "y")).distinct())
+    return roots
