@@ -81,25 +81,38 @@ def _s_types(t: np.ndarray) -> np.ndarray:
     return rises[decided]
 
 
-def _common(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, up to ``cap``; ``t`` is padded by ``cap`` symbols."""
-    view = np.lib.stride_tricks.sliding_window_view(t, 4)
+def _fours(t: np.ndarray) -> np.ndarray:
+    """Four symbols from each place on, in one integer, the first one lowest."""
+    w = t.astype(np.uint64)
+    out = w[:-3].copy()
+    for k in range(1, 4):
+        out |= w[k : len(w) - 3 + k] << np.uint64(16 * k)
+    return out
+
+
+def _common(fours: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefix of the suffixes at a and b, up to ``cap``; the text is padded by ``cap`` symbols."""
     out = np.full(len(a), cap, np.int16)
     live = np.arange(len(a))
     for off in range(0, cap, 4):
-        x, y = view[a[live] + off], view[b[live] + off]
-        same = x == y
-        stop = ~same.all(1)
-        out[live[stop]] = np.minimum(off + same[stop].argmin(1), cap)
-        live = live[~stop]
-        if not len(live):
-            break
+        differ = fours[a + off] ^ fours[b + off]
+        stop = differ != 0
+        if stop.any():
+            low = differ[stop] & (~differ[stop] + np.uint64(1))  # the lowest bit that differs
+            out[live[stop]] = np.minimum(off + np.log2(low.astype(float)).astype(np.int16) // 16, cap)
+            go = ~stop
+            live, a, b = live[go], a[go], b[go]
+            if not len(live):
+                break
     return out
 
 
 def _refine(rank: np.ndarray, live: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Split groups of equal rank by key; a rank is the number of smaller items. Returns those still tied."""
-    order = np.lexsort((key, rank[live]))
+    if len(key) and key.max() < 1 << 32:  # ranks as keys: one sort of both
+        order = np.argsort((rank[live].astype(np.uint64) << np.uint64(32)) | key.astype(np.uint64), kind="stable")
+    else:
+        order = np.lexsort((key, rank[live]))
     live, key = live[order], key[order]
     old = rank[live]
     n = len(live)
@@ -190,8 +203,9 @@ def repeated_spans(strings: list[bytes], width: int, held_items: int = 1 << 24,
     is_s = _s_types(t[:n])
     stars = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     stars = _sorted_stars(t, is_s, stars, n, width)
+    fours = _fours(t)
     star_lcp = np.zeros(len(stars), np.int16)
-    star_lcp[1:] = _common(t, stars[:-1], stars[1:], width)
+    star_lcp[1:] = _common(fours, stars[:-1], stars[1:], width)
     star_bounds = np.searchsorted(t[stars], np.arange(_SYMBOLS + 1))
     own_folder = tempfile.mkdtemp(dir=folder)
     repeated = np.zeros(n, bool)
@@ -218,7 +232,7 @@ def repeated_spans(strings: list[bytes], width: int, held_items: int = 1 << 24,
             seeds = slice(star_bounds[c], star_bounds[c + 1])
             if seeds.stop > seeds.start:
                 lcp = star_lcp[seeds].copy()
-                lcp[0] = _common(t, np.array([last]), stars[seeds][:1], width)[0] if last >= 0 else 0
+                lcp[0] = _common(fours, np.array([last]), stars[seeds][:1], width)[0] if last >= 0 else 0
                 scan.hand_over(stars[seeds], lcp, lambda p, x: p >= x)
 
         scan = _Pass(t, small, width)
@@ -233,7 +247,7 @@ def repeated_spans(strings: list[bytes], width: int, held_items: int = 1 << 24,
                 at, lcp = items["at"][::-1], np.empty(len(items), np.int16)
                 lcp[1:] = items["lcp"][::-1][:-1]
                 if carry < 0:
-                    lcp[0] = _common(t, at[:1].copy(), np.array([last]), width)[0] if last >= 0 else 0
+                    lcp[0] = _common(fours, at[:1].copy(), np.array([last]), width)[0] if last >= 0 else 0
                     if lcp[0] >= width:
                         repeated[[at[0], last]] = True
                 else:
