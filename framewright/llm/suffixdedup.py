@@ -31,7 +31,7 @@ from framewright.llm.store import written
 
 WIDTH, GRAM = 200, 32
 #: Bytes of stretches per shard, on average.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 _SEEN = 1 << 20
 _STRETCH = "m long, key long, start long, size int, shared boolean, told boolean"
 _STRING = "m long, key long, start long, name long, content binary, again boolean"
