@@ -114,6 +114,8 @@ def link(lists: DataFrame, features: DataFrame, plausible: Callable[[str, str],
         """Try further pairs (a, b); true if that found links."""
         nonlocal tried, links, roots
         new = written(found.join(tried, ["a", "b"], "left_anti"), "more")
+        if new.isEmpty():
+            return False
         late = written(verify(new), "links")
         if late.isEmpty():
             return False
