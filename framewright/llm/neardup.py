@@ -4,9 +4,8 @@ A document's sketch holds the smallest hashes of its shingles: always more than
 the threshold, and LEAST_KEPT at least. Inverted lists of the retained values give candidates, the
 sketch of the union estimates their similarity, and whole shingle sets decide.
 
-A value that more than HOT documents retain gets its list only from documents that have too few other
-values to be found by (fewer than ENOUGH, and than a partner may lack); a passage that many documents
-share therefore does not pair them. Documents with equal words are one node.
+Every document stays in the lists of all its values, hot ones (retained by more than HOT documents) too:
+values that are not hot may be private edits, by which no copy is found. Documents with equal words are one node.
 
 Defined results: A-Z are lower-cased; a null or empty text, or one without words, has an empty set and
 links with nothing; a text of fewer words than a shingle has one shingle of all its words; repeated rows
@@ -28,7 +27,7 @@ from framewright.llm import text as tx
 from framewright.llm.linked import link, shared_lists
 from framewright.llm.store import fresh_name, written
 
-LEAST_KEPT, ENOUGH, HOT = 24, 12, 16
+LEAST_KEPT, HOT = 24, 16
 _SEEN = 1 << 20  # nodes a task remembers, not to send their sketches twice
 
 
@@ -126,19 +125,17 @@ def confirmed(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _lists(sk: DataFrame, percent: int) -> DataFrame:
-    """Inverted lists of the sketches; those of hot values hold only the documents that need them."""
+def _lists(sk: DataFrame) -> DataFrame:
+    """Inverted lists of the sketches, whole; those of hot values with another head than the smallest node."""
     sent = sk.filter("sketch is not null")
     lists = written(shared_lists(sent.select(F.explode("sketch").alias("v"), "node")), "lists")
     hot = lists.groupBy("v").count().filter(F.col("count") > HOT).select("v")
     hot_rows = lists.join(hot, "v", "left_semi")
-    spare = F.col("n_shingles") * (100 - percent)
-    needed = F.least(F.lit(ENOUGH), F.floor(spare / 100) + 1)
     hot_count = hot_rows.groupBy("node").agg(F.count("*").alias("hot"))
-    sizes = sent.select("node", "n_shingles", F.size("sketch").alias("kept"))
-    poor = sizes.join(hot_count, "node").filter((F.col("kept") - F.col("hot")) < needed).groupBy("node").agg(F.min(F.col("kept") - F.col("hot")).alias("cold"))
+    sizes = sent.select("node", F.size("sketch").alias("kept"))
+    own = sizes.join(hot_count, "node").groupBy("node").agg(F.min(F.col("kept") - F.col("hot")).alias("cold"))
     copies = sk.filter("node is not null").groupBy("node").agg((-F.count("*")).alias("copies"))
-    rows = hot_rows.select("v", "node").join(poor.join(copies, "node"), "node")
+    rows = hot_rows.select("v", "node").join(own.join(copies, "node"), "node")
     # The head of a hot list is near the middle of its copies: few values of its own, many equal texts.
     heads = rows.groupBy("v").agg(F.min(F.struct("cold", "copies", F.xxhash64("v", "node"), "node"))["node"].alias("head"))
     return lists.join(hot, "v", "left_anti").unionByName(rows.join(heads, "v").select("v", "node", "head"))
@@ -150,7 +147,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     Two documents are linked if 100 * intersection >= percent * union of their sets of word shingles.
     """
     sk = written(sketches(docs, width, percent), "sketches")
-    lists = written(_lists(sk, percent), "lists")
+    lists = written(_lists(sk), "lists")
     sent = sk.filter("sketch is not null")
     sizes = written(sent.groupBy("node").agg(F.first("n_shingles").alias("n")), "sizes")
 

@@ -299,6 +299,24 @@ def test_op9_large_groups(spark):
     assert got == _components(sets, _linked(sets, 85))
 
 
+def test_op9_long_copies_with_private_edits(spark):
+    """Copies whose only rare values are edits of their own."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for family, (size, edits) in enumerate(((3000, 40), (5000, 40))):
+        base = [word() for _ in range(size)]
+        for _ in range(40):
+            t = list(base)
+            for i in r.sample(range(size), edits):
+                t[i] = word()
+            texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in neardup.classes(df, 3, 85).collect()}
+    sets = {k: _shingles(t, 3) for k, t in enumerate(texts)}
+    assert got == _components(sets, _linked(sets, 85))
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
