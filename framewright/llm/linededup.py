@@ -192,6 +192,12 @@ def _similar(rows: DataFrame) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _fit(x: dict, y: dict) -> np.ndarray:
+    """Whether the lowest bits allow a link; False where two lines have no signature of one kind."""
+    first, second = (np.ma.masked_array(np.bitwise_count((x[c].data ^ y[c].data).view(np.uint64)) <= MOST_BITS, x[c].mask | y[c].mask) for c in ("bits1", "bits2"))
+    return np.where(first.mask, second.filled(False), first.data)
+
+
 def line_roots(docs: DataFrame) -> DataFrame:
     """(node, root) of the lines that are similar to another line."""
     lines = written(_line_bands(docs), "line-bands")
@@ -209,7 +215,7 @@ def line_roots(docs: DataFrame) -> DataFrame:
         side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"))
         return _similar(pairs.join(side("a"), "a").join(side("b"), "b"))
 
-    return link(lists, some, plausible, verify)
+    return link(lists, some, plausible, verify, _fit)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:

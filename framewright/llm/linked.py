@@ -2,10 +2,10 @@
 
 A posting (v, node) says that a node holds the value v. Nodes of one list are candidates for a link.
 First every node of a list is tried against the list's head only. Then, in rounds, the nodes outside the largest
-component of each list are tried against another member of it, drawn anew for each list and round. Last, whatever is
-still apart in lists of at most SHORT nodes is paired. So work grows in proportion to the lists, and nodes that already are in one
-component are never paired. In longer lists a component could stay in two parts only if none of the
-links between them meets a head of any of the lists and rounds that its nodes share.
+component of each list are tried against another member of it, drawn anew for each list and round. Last, all pairs that are still
+apart are tried: lists of at most SHORT nodes in a join, longer ones in pairs of blocks of about BLOCK nodes, which are compared by
+their features inside a task; only pairs that may be links become rows. So no pair that shares a list is left out, and nodes
+that already are in one component are never paired.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.store import written
 
-ROUNDS, SHORT = 2, 512
+ROUNDS, SHORT, BLOCK = 2, 512, 1024
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
@@ -89,11 +89,11 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(down(small, "a", "b"), "edges")
 
 
-def link(lists: DataFrame, features: DataFrame, plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(lists: DataFrame, features: DataFrame, plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], fits: Callable[[dict, dict], np.ndarray]) -> DataFrame:
     """(node, root) from lists (v, node, head).
 
     ``features`` has one row per node; ``plausible(x, y)`` tests the features of a pair, named with the suffixes x and y, and never
-    rules a link out; ``verify`` keeps the true links of pairs (a, b).
+    rules a link out; ``fits(x, y)`` is the same test for masked numpy arrays of features that broadcast; ``verify`` keeps the true links of pairs (a, b).
     """
     names = [c for c in features.columns if c != "node"]
     side = lambda x: features.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in names])
@@ -135,7 +135,37 @@ def link(lists: DataFrame, features: DataFrame, plausible: Callable[[str, str],
         if not more(met.select(*ordered("x", "y")).distinct()):
             break
 
-    placed = apart().filter(F.col("members") <= SHORT)
-    met = sides(placed, "x").join(sides(placed, "y"), "v").filter("x < y and rootx <> rooty").filter(plausible("x", "y"))
-    more(met.select(*ordered("x", "y")).distinct())
+    placed = apart()
+    brief = placed.filter(F.col("members") <= SHORT)
+    met = sides(brief, "x").join(sides(brief, "y"), "v").filter("x < y and rootx <> rooty").filter(plausible("x", "y")).select(*ordered("x", "y"))
+    blocked = written(_block_pairs(placed.filter(F.col("members") > SHORT), names, fits), "block-pairs")
+    more(met.unionByName(blocked).distinct())
     return roots
+
+
+def _block_pairs(placed: DataFrame, names: list[str], fits: Callable[[dict, dict], np.ndarray]) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (v, node, root, members, features) of one list, with different roots and fitting features."""
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = own.withColumn("other", every).select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", *names)
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table["block"].to_numpy()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        column = {c: np.ma.masked_array(table[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False), np.asarray(table[c].is_null())) for c in ["node", "root", *names]}
+        left, right = ({c: x[block == k] for c, x in column.items()} for k in (i, j))
+        out = []
+        for at in range(0, len(left["node"]), 256):
+            x = {c: v[at : at + 256, None] for c, v in left.items()}
+            y = {c: v[None, :] for c, v in right.items()}
+            keep = (x["root"] != y["root"]) & fits(x, y)
+            keep = np.ma.filled(keep, False)
+            if i == j:
+                keep &= np.ma.getdata(x["node"] < y["node"])
+            r, c = np.nonzero(keep)
+            out.append((left["node"].data[at + r], right["node"].data[c]))
+        p, q = (np.concatenate([o[k] for o in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    return dealt.groupBy("v", "i", "j").applyInArrow(run, "a long, b long").distinct()

@@ -28,6 +28,11 @@ from framewright.llm.linked import link, shared_lists
 from framewright.llm.store import fresh_name, written
 
 LEAST_KEPT, HOT = 24, 16
+#: Signatures of _WORDS * 64 bits, each of the smallest shingle under a function of its own. At similarity t a bit differs
+#: with probability (1 - t) / 2.
+_WORDS = 2
+_BITS = [f"bits{k}" for k in range(_WORDS)]
+_A = np.random.default_rng(17).integers(1, 1 << 63, _WORDS * 64, dtype=np.uint64) * tx.U64(2) + tx.U64(1)
 _SEEN = 1 << 20  # nodes a task remembers, not to send their sketches twice
 
 
@@ -57,8 +62,28 @@ def kept_values(n: int, percent: int) -> int:
     return max(n * (100 - percent) // 100 + 1, min(n, LEAST_KEPT))
 
 
+def signature(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bits of the sets value[at[i]:at[i + 1]], a column for each 64 of them; zero for empty sets."""
+    out = np.zeros((len(at) - 1, _WORDS), np.uint64)
+    some = np.flatnonzero(np.diff(at))
+    if not len(some):
+        return out
+    spread = value ^ (value >> tx.U64(29))
+    for k, factor in enumerate(_A):
+        least = np.minimum.reduceat(spread * factor, at[some])
+        out[some, k // 64] |= (tx.mix(least) & tx.U64(1)) << tx.U64(k % 64)
+    return out
+
+
+def most_bits(percent: int) -> int:
+    """At the threshold, signatures differ in more bits than this with probability below 10^-9 (Chernoff's bound)."""
+    m, p = _WORDS * 64, max(1 - percent / 100, 0.01) / 2
+    far = lambda q: q * np.log(q / p) + ((1 - q) * np.log((1 - q) / (1 - p)) if q < 1 else 0.0)
+    return next((c for c in range(int(m * p) + 1, m) if m * far((c + 1) / m) > np.log(1e9)), m)
+
+
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (null without words) and sketch (null where this task sent the node's before)."""
+    """doc_id, n_shingles, node (null without words), sketch (null where this task sent the node's before) and signature bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -77,12 +102,15 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         seen.clear()
                     seen.add(known)
                     kept.append(value[at[i] : at[i] + kept_values(int(n), percent)].view(np.int64))
+                new = np.array([x is not None for x in kept], bool)
+                bits = np.zeros((len(size), _WORDS), np.uint64)
+                bits[new] = signature(value[np.repeat(new, size)], np.concatenate([[0], np.cumsum(size[new])]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, mask=size == 0), pa.array(kept, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "node", "sketch"],
+                    [batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, mask=size == 0), pa.array(kept, pa.list_(pa.int64())), *[pa.array(bits[:, k].view(np.int64)) for k in range(_WORDS)]],
+                    ["doc_id", "n_shingles", "node", "sketch", *_BITS],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>" + "".join(f", {c} long" for c in _BITS))
 
 
 def likely(rows: DataFrame, percent: int) -> DataFrame:
@@ -149,11 +177,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     sk = written(sketches(docs, width, percent), "sketches")
     lists = written(_lists(sk), "lists")
     sent = sk.filter("sketch is not null")
-    sizes = written(sent.groupBy("node").agg(F.first("n_shingles").alias("n")), "sizes")
+    sizes = written(sent.groupBy("node").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in _BITS]), "sizes")
+    limit = most_bits(percent)
 
     def plausible(x: str, y: str) -> Column:
-        """Else no overlap is enough."""
-        return F.least(f"n{x}", f"n{y}") * 100 >= F.greatest(f"n{x}", f"n{y}") * percent
+        """Else no overlap is enough, or the signatures differ too much."""
+        differ = sum((F.bit_count(F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))) for c in _BITS), F.lit(0))
+        return (F.least(f"n{x}", f"n{y}") * 100 >= F.greatest(f"n{x}", f"n{y}") * percent) & (differ <= limit)
+
+    def fits(x: dict, y: dict) -> np.ndarray:
+        (n, m), differ = (x["n"].data, y["n"].data), 0
+        for c in _BITS:
+            differ = differ + np.bitwise_count((x[c].data ^ y[c].data).view(np.uint64)).astype(np.int64)
+        return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (differ <= limit)
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -164,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
         return confirmed(close.join(side("a"), "a").join(side("b"), "b"), width, percent)
 
-    return sk.select("doc_id", "n_shingles", "node"), link(lists, sizes, plausible, verify)
+    return sk.select("doc_id", "n_shingles", "node"), link(lists, sizes, plausible, verify, fits)
 
 
 def _texts(docs: DataFrame, own: DataFrame, close: DataFrame) -> DataFrame:

@@ -317,6 +317,33 @@ def test_op9_long_copies_with_private_edits(spark):
     assert got == _components(sets, _linked(sets, 85))
 
 
+def test_link_long_list(spark):
+    """Lists of thousands whose links are few: no head or drawn member has any, and many pass no first test."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(12)
+    n = 3000
+    at = list(range(n))
+    r.shuffle(at)
+    place = {k: 10 * x + (x % 7 > 4) * 5 for k, x in enumerate(at)}  # nodes a step of 10 apart are not linked, those 5 apart are
+    rows = spark.createDataFrame([(k, x) for k, x in place.items()], "node long, x long")
+    lists = rows.select(F.lit(1).cast("long").alias("v"), "node", F.lit(0).cast("long").alias("head")).unionByName(rows.filter("node % 2 = 0").selectExpr("2L v", "node", "0L head"))
+    true = lambda a, b: abs(place[a] - place[b]) == 5
+    where = spark.createDataFrame(list(place.items()), "k long, x long")
+
+    def verify(pairs):
+        side = lambda x: where.select(F.col("k").alias(x), F.col("x").alias(f"x{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").filter("abs(xa - xb) = 5").select("a", "b")
+
+    got = linked.link(lists, rows, lambda x, y: F.abs(F.col(f"x{x}") - F.col(f"x{y}")) < 40, verify, lambda x, y: np.abs(x["x"].data - y["x"].data) < 40)
+    by_place = {x: k for k, x in place.items()}
+    links = [(k, by_place[x + 5]) for k, x in place.items() if x + 5 in by_place]
+    assert len(links) > 300 and all(true(*p) for p in links)
+    want = _components(place, links)
+    found = {x.node: x.root for x in got.collect()}
+    assert {k: found.get(k, k) for k in place} == want
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
