@@ -1,10 +1,13 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are runs of letters and digits, A-Z lower-cased. Fixed masks over SPAN words leave some
-positions out; hashes of benchmark items and of texts under the same mask are joined, so a
-substituted word at a left-out position does not matter. Each hit fixes how item and text line up;
-the best stretch of that alignment (+1 for an equal word, -1 for another) must score
-``min(LEAST, words of the item)``. Items shorter than SPAN are found as whole runs.
+Words are runs of letters and digits, A-Z lower-cased. Masks compare 4 words within SPAN; hashes of benchmark
+items and of texts under the same mask are joined, so a substituted word at a left-out position does
+not matter. Each hit fixes how item and text line up; the best stretch of that alignment (+1 for an
+equal word, -1 for another) must score ``min(LEAST, words of the item)``.
+
+No such stretch is missed: cut into runs of SPAN words from its start, one run has at least 4 equal
+words (with at most 3 in each, the score is at most the words left over, fewer than SPAN), and the
+masks are all ways to choose them. Items shorter than LEAST are found as whole runs.
 
 The benchmark is used in blocks of at most BLOCK_SEEDS seeds; each block is broadcast and meets
 all texts, so a larger benchmark takes more passes, never more memory.
@@ -19,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,12 @@ from pyspark.sql import functions as F
 
 from framewright.llm import text as tx
 
-SPAN = 12
-#: The positions that each mask compares.
-MASKS = ((0, 1, 2, 4, 7, 9, 11), (0, 2, 3, 6, 8, 10, 11), (0, 1, 3, 5, 6, 9, 10), (0, 1, 2, 3, 4, 5, 6))
+SPAN = 6
+#: The positions that each mask compares.
+MASKS = tuple((0, *rest) for rest in combinations(range(1, SPAN), 3))
 LEAST = 8
 BLOCK_SEEDS = 1 << 21
+_HITS = 1 << 20  # hits looked at together
 SCHEMA = "doc_id long, item_id long, start_word long, end_word long, matched_words long, contaminated boolean"
 
 
@@ -50,14 +55,14 @@ class Block:
 
 
 def _seed(hashes: np.ndarray, k: int) -> np.ndarray:
-    return tx.window_hash(hashes, SPAN, MASKS[k]) + tx.U64(k)
+    return tx.window_hash(hashes, MASKS[k][-1] + 1, MASKS[k]) + tx.U64(k)
 
 
 def build(item_ids: list, items: list[np.ndarray]) -> Block:
     begins = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int64)
     seeds, owner, at = [], [], []
     for i, x in enumerate(items):
-        found = [_seed(x, k) for k in range(len(MASKS))] if len(x) >= SPAN else [tx.window_hash(x, len(x))] if len(x) else []
+        found = [_seed(x, k) for k in range(len(MASKS))] if len(x) >= LEAST else [tx.window_hash(x, len(x))] if len(x) else []
         for h in found:
             seeds.append(h)
             owner.append(np.full(len(h), i))
@@ -67,7 +72,7 @@ def build(item_ids: list, items: list[np.ndarray]) -> Block:
     order = np.argsort(s, kind="stable")
     marks = np.zeros(1 << 24, bool)
     marks[(s & tx.U64((1 << 24) - 1)).astype(np.int64)] = True
-    widths = sorted({len(x) for x in items if 0 < len(x) < SPAN})
+    widths = sorted({len(x) for x in items if 0 < len(x) < LEAST})
     return Block(item_ids, join(items, np.uint64), begins, s[order], join(owner, np.int64)[order], join(at, np.int64)[order], marks, widths)
 
 
@@ -80,24 +85,61 @@ def _best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return int(gain[end]), start, end
 
 
+def _scored(block: Block, hashes: np.ndarray, before: np.ndarray, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """The distinct alignments (doc, item, shift) whose best stretch scores enough."""
+    order = np.lexsort((shift, item, doc))
+    rows = np.stack([doc[order], item[order], shift[order]]).astype(np.int64)
+    rows = rows[:, np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(0)])[: rows.shape[1]]]
+    out = []
+    d, i, s = rows
+    size = block.begins[i + 1] - block.begins[i]
+    upto = np.cumsum(np.minimum(s + size, before[d + 1]) - np.maximum(s, before[d]))
+    cuts = [0]
+    while cuts[-1] < len(upto):  # parts of about 4 * _HITS words
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(upto, (upto[cuts[-1] - 1] if cuts[-1] else 0) + 4 * _HITS, "right"))))
+    for at, end in zip(cuts, cuts[1:]):
+        d, i, s = part = rows[:, at:end]
+        size = block.begins[i + 1] - block.begins[i]
+        lo, hi = np.maximum(s, before[d]), np.minimum(s + size, before[d + 1])
+        n = hi - lo  # at least the words of the seed
+        first = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(n.sum()) - first[owner]
+        equal = hashes[lo[owner] + inside] == block.words[(block.begins[i] + lo - s)[owner] + inside]
+        total = np.cumsum(np.where(equal, 1, -1))
+        start = np.concatenate([[0], total])[first]  # the total before each alignment
+        run = total - start[owner]
+        drop = owner * (2 * int(n.max()) + 2)  # makes each alignment start below all before it
+        low = np.minimum.accumulate(np.minimum(run - np.where(equal, 1, -1), 0) - drop) + drop
+        gain = np.maximum.reduceat(run - low, first)
+        out.append(part[:, gain >= np.minimum(LEAST, size)])
+    return np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
+
+
 def overlaps(block: Block, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(document, item, first word, end word, equal words) of the verified overlaps; one per document and item."""
     low = tx.lower(raw)
     starts, ends, before = tx.words(low, offsets, tx.NOT_ALNUM)
     hashes = tx.span_hash(low, starts, ends)
-    places, rows = [], []
+    kept = []
     for k in [*range(len(MASKS)), *[-w for w in block.short_widths]]:
         h = _seed(hashes, k) if k >= 0 else tx.window_hash(hashes, -k)
         at = np.flatnonzero(block.marks[(h & tx.U64((1 << 24) - 1)).astype(np.int64)])
         left = np.searchsorted(block.seeds, h[at], "left")
         count = np.searchsorted(block.seeds, h[at], "right") - left
-        places.append(np.repeat(at, count))
-        rows.append(np.repeat(left - (np.cumsum(count) - count), count) + np.arange(count.sum()))
-    place, row = np.concatenate(places), np.concatenate(rows)
-    if not len(place):
+        upto = np.cumsum(count)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] - count[lo] + _HITS, "right")))
+            c = count[lo:hi]
+            place = np.repeat(at[lo:hi], c)
+            row = np.repeat(left[lo:hi] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            item = block.seed_item[row]
+            kept.append(_scored(block, hashes, before, np.searchsorted(before, place, "right") - 1, item, place - block.seed_at[row]))
+            lo = hi
+    doc, item, shift = np.concatenate(kept, 1) if kept else np.zeros((3, 0), np.int64)
+    if not len(doc):
         return []
-    doc = np.searchsorted(before, place, "right") - 1
-    item, shift = block.seed_item[row], place - block.seed_at[row]
     found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
     for d, i, s in sorted(set(zip(doc.tolist(), item.tolist(), shift.tolist()))):
         size = int(block.begins[i + 1] - block.begins[i])

@@ -191,6 +191,37 @@ def test_op4_substitutions():
     assert found >= 195
 
 
+def test_op4_misses_nothing():
+    """Quoted heads and tails, changed words at every position and random changes, against the score rule."""
+    r = random.Random(3)
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate((5, 7, 8, 9, 11, 12, 20, 30, 60))]
+    texts = []
+    for w in items:
+        for n in range(7, 13):
+            texts += [w[:n], w[-n:]]
+        for j in range(len(w)):
+            texts.append(w[:j] + ["other"] + w[j + 1 :])
+        for share in (0.1, 0.2, 0.3, 0.4):
+            texts += [[x if r.random() > share else "other" for x in w] for _ in range(40)]
+        texts.append((w[:2] + ["other"]) * 8)
+        texts.append([x if j % 3 < 2 else "other" for j, x in enumerate(w)])
+    texts = [["before", "it", *t, "after"] for t in texts] + texts
+    hashed = lambda rows: (lambda raw, at: (raw, at, *text.words(raw, at, text.NOT_ALNUM)))(np.frombuffer(" ".join([*map(" ".join, rows), ""]).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(" ".join(t)) + 1 for t in rows])]))
+    raw, at, starts, ends, before = hashed(items)
+    h = text.span_hash(raw, starts, ends)
+    block = decontaminate.build(list(range(len(items))), [h[a:b] for a, b in zip(before[:-1], before[1:])])
+    got = {(d, i) for d, i, *_ in decontaminate.overlaps(block, *hashed(texts)[:2])}
+    want = set()
+    for d, t in enumerate(texts):
+        for k, w in enumerate(items):
+            for s in range(-len(w) + 1, len(t)):
+                equal = np.array([0 <= s + j < len(t) and t[s + j] == x for j, x in enumerate(w)])
+                if equal.any() and decontaminate._best_stretch(equal)[0] >= min(decontaminate.LEAST, len(w)):
+                    want.add((d, k))
+                    break
+    assert got == want and len(want) > 500
+
+
 def test_op5_held_out(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     labels = {r.doc_id: r.toxic for r in read(spark, sf, "labels").collect()}
