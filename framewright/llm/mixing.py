@@ -1,12 +1,12 @@
 """Mixing sources to target weights, in fixed-length blocks of words.
 
 DataFrame functions only. The documents of a source, in hashed order, form one stream of words, cut
-into blocks. Each output shard draws how many of its slots every source fills (the whole part of
-its expectation, and a multinomial draw over the fractions for the rest). The k-th slot of a source
-takes block p(k mod B), where p is a pseudorandom permutation of its B blocks that changes with each
-pass over them. Slots and documents meet by block index.
+into blocks. A source's slots are its target over its mean words per block, the fraction drawn. Every output
+shard gets the whole part of its share of them; for each of the rest a shard is drawn (so the counts are
+multinomial). The k-th slot of a source takes block p(k mod B), where p is a pseudorandom permutation of its
+B blocks that changes with each pass over them. Slots and documents meet by block index.
 
-Slots beyond two passes over a source stay empty, so no document is taken more than twice.
+No source has slots beyond two passes over it, so no document is taken more than twice.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of
 its own, last in order; repeated rows are separate documents; without documents, or without words,
@@ -79,21 +79,6 @@ def _uniform(*key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*key), 11) / float(1 << 53)
 
 
-def _extra_draws(sources: DataFrame, shards: int, slots: int, seed: int) -> DataFrame:
-    """sid, shard, extra: multinomial draws over the fractions of slots * share that whole counts leave."""
-    by_sid, everything = Window.orderBy("sid"), Window.partitionBy()
-    rows = sources.withColumn("rest", F.col("share") * slots - F.col("whole"))
-    rows = rows.withColumn("high", F.sum("rest").over(by_sid) / F.sum("rest").over(everything)).withColumn("low", F.coalesce(F.lag("high").over(by_sid), F.lit(0.0)))
-    one = rows.agg(F.sum("whole"), F.count("*")).first()
-    left, cells = slots - int(one[0] or 0), int(one[1])
-    cell = lambda x: F.least(F.floor(x * cells), F.lit(cells - 1)).cast("long")
-    ranges = rows.filter("high > low").select("sid", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
-    spark = sources.sparkSession
-    draws = spark.range(shards * left).select((F.col("id") / max(left, 1)).cast("long").alias("shard"), _uniform(F.lit(seed), F.col("id")).alias("u"))
-    met = draws.withColumn("cell", cell(F.col("u"))).join(ranges, "cell").filter("low <= u and u < high")
-    return met.groupBy("sid", "shard").agg(F.count("*").alias("extra"))
-
-
 def _permuted(k: Column, blocks: Column, sid: Column, seed: int) -> Column:
     """Block of the k-th slot: an affine map modulo ``blocks``, another one for each pass."""
     turn, at = F.floor(k / blocks), F.pmod(k, blocks)
@@ -112,27 +97,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MO
     sizes = written(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
     n_rows = sizes.count()
     sources = source_targets(sizes, weights, total, most)
-    everything = Window.partitionBy()
-    sources = written(sources.withColumn("share", F.coalesce(F.try_divide("target", F.sum("target").over(everything)), F.lit(0.0))).withColumn("blocks", F.ceil(F.col("source_size") / block_words)), "mix-sources")
+    sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / block_words))
+    expected = F.coalesce(F.try_divide(F.col("target") * F.col("blocks"), "source_size"), F.lit(0.0))
+    # A limit of whole passes is kept against rounding; no draw goes beyond it.
+    drawn_count = F.least(F.floor(expected + _uniform(F.lit(seed), F.lit(-1), F.col("sid")) * (1 - 1e-9) + 1e-9), F.col("blocks") * int(most)).cast("long")
+    sources = written(sources.withColumn("slots", drawn_count), "mix-sources")
 
     groups = max(1, n_rows // GROUP)
     placed = sizes.join(sources.select("source", "sid").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = placed.withColumn("h", _uniform(F.lit(seed), F.col("doc_id"), F.col("size")))
     documents = written(_before(placed, "sid", F.floor(F.col("h") * groups), ["h", "doc_id", "size"], "size", "start").drop("h"), "mix-documents")
 
-    all_slots = int(round((sources.agg(F.sum("target")).first()[0] or 0) / block_words))
+    all_slots = int(sources.agg(F.sum("slots")).first()[0] or 0)
     shards = max(1, -(-all_slots // SLOTS_PER_SHARD))
-    slots = round(all_slots / shards)
-    sources = sources.withColumn("whole", F.floor(F.col("share") * slots))
-    extra = _extra_draws(sources, shards, slots, seed)
-    counts = _before(extra, "sid", F.floor(F.col("shard") / GROUP), ["shard"], "extra", "extra_before")
-    every = sources.filter("whole > 0").select("sid", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "whole")
-    whole = every.select("sid", "shard", "blocks", (F.col("shard") * F.col("whole")).alias("first"), "whole")
-    marked = counts.join(sources.select("sid", "blocks", "whole"), "sid")
+    spread = sources.filter("slots > 0").withColumn("whole", F.floor(F.col("slots") / shards).cast("long"))
+    every = spread.filter("whole > 0").select("sid", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "whole")
+    first = F.col("shard") * F.col("whole")
+    whole = every.select("sid", "shard", "blocks", F.explode(F.sequence(first, first + F.col("whole") - 1)).alias("k"))
     # Slots by draw come after all whole-count slots of the source.
-    drawn = marked.select("sid", "shard", "blocks", (F.col("whole") * shards + F.col("extra_before")).alias("first"), F.col("extra").alias("whole"))
-    taken = whole.unionByName(drawn).select("sid", "shard", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("whole") - 1)).alias("k"))
-    taken = taken.filter(F.col("k") < F.col("blocks") * int(most))
+    rest = spread.filter(F.col("slots") > F.col("whole") * shards)
+    rest = rest.select("sid", "blocks", F.explode(F.sequence(F.col("whole") * shards, F.col("slots") - 1)).alias("k"))
+    drawn = rest.select("sid", F.floor(_uniform(F.lit(seed), F.col("sid"), F.col("k")) * shards).cast("long").alias("shard"), "blocks", "k")
+    taken = whole.unionByName(drawn)
     return Mix(documents, sources, taken.select("shard", "k", "sid", _permuted(F.col("k"), F.col("blocks"), F.col("sid"), seed).alias("block")), block_words)
 
 

@@ -141,6 +141,21 @@ def test_op3(spark, sf_dir, docs):
         assert sum(r.taken for r in rows if r.source == s) == pytest.approx(target[s], rel=0.15)
 
 
+def test_op3_small_sources(spark):
+    """Sources of a few words next to a huge one come near their targets."""
+    sizes = {"a": [10], "b": [100], "c": [200, 250, 50], "d": [3], "e": [500], "f": [3000] * 20, "g": [10] * 10}
+    rows = [(s, n) for s, counts in sizes.items() for n in counts]
+    df = spark.createDataFrame([(i, " ".join(["word"] * n), s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    plan = mixing.mix(df)
+    got = mixing.taken(plan).collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
+    for s, counts in sizes.items():
+        mine = [r for r in got if r.source == s]
+        words, target, block = sum(r.taken for r in mine), mine[0].target, min(64, sum(counts))
+        assert words == target if target == 2 * sum(counts) else abs(words - target) <= 2 * block, s
+    assert sum(mixing.taken(plan).filter("source in ('a', 'b', 'd')").toPandas()["taken"]) == 2 * 113
+
+
 def test_op3_permutation(spark):
     from pyspark.sql import functions as F
 
