@@ -7,7 +7,8 @@ union-find joins the links. Of each component the first line stays: that of the
 (null last), then of the smallest line number.
 
 Short lines get one hash function per value; long lines get one hash for all values, dealt to
-bins. Lines between the two lengths get both, so that no pair falls between.
+bins. Lines between the two lengths get both, so that no pair falls between. Lengths count distinct
+shingles, so a line and its repetition are of one length.
 
 Defined results: lines without a word are never removed; a null text stays null, an empty text
 empty; rows with equal doc_id and text are one document and keep the same lines; a document may
@@ -31,7 +32,7 @@ from framewright.llm.store import discard, fresh_name, small, written
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 12, 4
 _K = BANDS * ROWS
-#: Lines of at least LONG shingles are dealt to bins; up to LONG * 100 / PERCENT they get both signatures.
+#: Lines of at least LONG distinct shingles are dealt to bins; up to LONG * 100 / PERCENT they get both signatures.
 LONG = 192
 #: Pairs whose signatures differ in more of the 48 lowest bits are not similar: at similarity 0.8 one bit in
 #: ten differs, and more than MOST_BITS do in less than one pair of ten thousand.
@@ -59,6 +60,16 @@ def shingles(raw: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
     return values, before
 
 
+def distinct(values: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without repeats in a line, sorted within each line."""
+    owner = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[new], np.searchsorted(owner[new], np.arange(len(before)))
+
+
 def _by_functions(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     out = np.empty((len(before) - 1, _K), np.uint64)
     for k in range(_K):
@@ -84,7 +95,7 @@ def _by_bins(values: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def signs(values: np.ndarray, before: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Band hashes of each line; and for both kinds of signature the lowest bits of its values, with a mask of the lines that have it."""
+    """Band hashes of each line, from its distinct shingles; and for both kinds of signature the lowest bits of its values, with a mask of the lines that have it."""
     size = np.diff(before)
     found: list[list[np.ndarray]] = [[] for _ in size]
     bits, masks = [], []
@@ -136,7 +147,7 @@ def _line_bands(docs: DataFrame) -> DataFrame:
                 if len(seen) > _SEEN:
                     seen.clear()
                 seen.update(node[new].tolist())
-                values, before = shingles(low, left[new], right[new])
+                values, before = distinct(*shingles(low, left[new], right[new]))
                 bands, (b1, b2), (m1, m2) = signs(values, before)
                 columns = [pa.array(node[new].view(np.int64)), pa.array(b1, mask=m1), pa.array(b2, mask=m2)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([x.view(np.int64) for x in bands], pa.list_(pa.int64()))], ["node", "bits1", "bits2", "bands"])
@@ -165,13 +176,7 @@ def _line_texts(docs: DataFrame) -> DataFrame:
 
 def _sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted within each line, and how many come before each line."""
-    values, before = shingles(raw, offsets[:-1], offsets[1:])
-    owner = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    return values[new], np.searchsorted(owner[new], np.arange(len(before)))
+    return distinct(*shingles(raw, offsets[:-1], offsets[1:]))
 
 
 def _similar(rows: DataFrame) -> DataFrame:

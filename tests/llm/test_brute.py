@@ -414,6 +414,18 @@ def test_line_signature_recall():
         assert met >= 147, size
 
 
+def test_op6_repetitive_lines(spark):
+    """Lines of nearly equal sets of shingles and very different length."""
+    menu = "home news sport weather | "
+    lines = ["a-" + "-" * 100, "a-" + "-" * 400, "-" * 100, "-" * 400, "x " * 60 + "y", "x " * 500 + "y", menu * 5, menu * 40, menu * 5 + "q", "one line that nothing else is like"]
+    docs = spark.createDataFrame([(i, x + " w") for i, x in enumerate(lines)], "doc_id long, text string")
+    text_of = [r.text for r in docs.orderBy("doc_id").collect()]
+    sets = {k: frozenset(x[i : i + 5] for i in range(len(x) - 4)) for k, x in enumerate(text_of)}
+    root = _components(sets, [(j, k) for k in sets for j in range(k) if 100 * len(sets[j] & sets[k]) >= 80 * len(sets[j] | sets[k])])
+    got = {r.doc_id: r.n_removed for r in linededup.without_repeated_lines(docs, counts=True).collect()}
+    assert got == {k: int(root[k] != k) for k in sets} and sum(got.values()) >= 4
+
+
 def test_oracles(spark, sf_dir):
     c = duckdb.connect()
     for t in ("conversations",):
