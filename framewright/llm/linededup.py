@@ -11,8 +11,8 @@ bins. Lines between the two lengths get both, so that no pair falls between. Len
 shingles, so a line and its repetition are of one length.
 
 Defined results: lines without a word are never removed; a null text stays null, an empty text
-empty; rows with equal doc_id and text are one document and keep the same lines; a document may
-keep no line, and stays with an empty text. Columns other than doc_id and text are passed on.
+empty; very long texts and lines are compared whole; rows with equal doc_id and text are one document and keep the same lines; a document may
+keep no line, and stays with an empty text; an empty table gives no rows. Columns other than doc_id and text are passed on.
 """
 
 from __future__ import annotations
@@ -21,22 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from framewright.llm import text as tx
-from framewright.llm.linked import link, shared_lists
-from framewright.llm.store import discard, fresh_name, small, written
+from framewright.llm.linked import Rule, link, most_differing, shared_lists
+from framewright.llm.store import discard, fresh_name, written
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 12, 4
 _K = BANDS * ROWS
 #: Lines of at least LONG distinct shingles are dealt to bins; up to LONG * 100 / PERCENT they get both signatures.
 LONG = 192
-#: Pairs whose signatures differ in more of the 48 lowest bits are not similar: at similarity 0.8 one bit in
-#: ten differs, and more than MOST_BITS do in less than one pair of ten thousand.
-MOST_BITS = 13
+#: Two bits of each value make a signature of two words. Pairs at the threshold that share a band are ruled out by it with probability below 10^-6.
+RULE = Rule(PERCENT, 2, 2, most_differing(_K, 0.75 * (1 - PERCENT / 100), 1e-6))
+_OWNERS = 16  # bits for the number of a line in ``tx.distinct``
 _SEEN = 1 << 20
 _A = np.random.default_rng(11).integers(1, 1 << 63, _K, dtype=np.uint64) * tx.U64(2) + tx.U64(1)
 
@@ -60,31 +59,24 @@ def shingles(raw: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
     return values, before
 
 
-def distinct(values: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Without repeats in a line, sorted within each line."""
-    owner = np.repeat(np.arange(len(before) - 1), np.diff(before))
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    return values[new], np.searchsorted(owner[new], np.arange(len(before)))
-
-
 def _by_functions(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     out = np.empty((len(before) - 1, _K), np.uint64)
+    hashed = np.empty_like(values)
     for k in range(_K):
-        out[:, k] = np.minimum.reduceat((values ^ (values >> tx.U64(29))) * _A[k], before[:-1])
+        out[:, k] = np.minimum.reduceat(np.multiply(values, _A[k], out=hashed), before[:-1])
     return out
 
 
 def _by_bins(values: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Of ascending values the first in each of _K equal parts of their range."""
     n = len(before) - 1
-    line = np.repeat(np.arange(n), np.diff(before))
-    top = np.iinfo(np.uint64).max
-    out = np.full(n * _K, top, np.uint64)
-    np.minimum.at(out, line * _K + ((values >> tx.U64(32)) % tx.U64(_K)).astype(np.int64), values)
-    out = out.reshape(n, _K)
-    empty = out == top
+    place = np.repeat(np.arange(n) * _K, np.diff(before)) + ((values >> tx.U64(64 - _OWNERS - 32)) * tx.U64(_K) >> tx.U64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    empty = np.ones(n * _K, bool)
+    empty[place[first]] = False
+    out = np.zeros(n * _K, np.uint64)
+    out[place[first]] = values[first]
+    out, empty = out.reshape(n, _K), empty.reshape(n, _K)
     while empty.any():  # an empty bin takes the value of the next filled one, marked by the distance
         rows = np.flatnonzero(empty.any(1))
         part, gap = out[rows], empty[rows]
@@ -94,171 +86,141 @@ def _by_bins(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     return out
 
 
-def signs(values: np.ndarray, before: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Band hashes of each line, from its distinct shingles; and for both kinds of signature the lowest bits of its values, with a mask of the lines that have it."""
+def signs(values: np.ndarray, before: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For both kinds of signature, from the distinct shingles of lines: the lines that have it, their band hashes (even ones for the first kind) and signature words."""
     size = np.diff(before)
-    found: list[list[np.ndarray]] = [[] for _ in size]
-    bits, masks = [], []
-    for scheme, chosen, make in ((1, size * PERCENT <= LONG * 100, _by_functions), (2, size >= LONG, _by_bins)):
-        chosen = chosen & (size > 0)
-        rows = np.flatnonzero(chosen)
-        packed = np.zeros(len(size), np.uint64)
-        if len(rows):
-            signature = make(values[np.repeat(chosen, size)], np.concatenate([[0], np.cumsum(size[rows])]))
-            packed[rows] = ((tx.mix(signature) & tx.U64(1)) << np.arange(_K, dtype=np.uint64)).sum(1)
-            total = np.zeros((len(rows), BANDS), np.uint64)
-            for r in range(ROWS):
-                total = tx.mix(total * tx.U64(31) + signature[:, r::ROWS])
-            total = tx.mix(total + (np.arange(BANDS, dtype=np.uint64) + tx.U64(64 * scheme)))
-            for i, row in enumerate(rows):
-                found[row].append(total[i])
-        bits.append(packed.view(np.int64))
-        masks.append(~chosen)
-    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in found], bits, masks
+    found = []
+    for kind, chosen, make in ((0, size * PERCENT <= LONG * 100, _by_functions), (1, size >= LONG, _by_bins)):
+        rows = np.flatnonzero(chosen & (size > 0))
+        if not len(rows):
+            found.append((rows, np.zeros((0, BANDS), np.uint64), np.zeros((0, 2), np.uint64)))
+            continue
+        use = np.repeat(chosen, size)
+        signature = tx.mix(make(values[use], np.concatenate([[0], np.cumsum(size[rows])])))
+        pairs = (signature & tx.U64(3)).reshape(len(rows), 2, _K // 2) << (np.arange(_K // 2, dtype=np.uint64) * tx.U64(2))
+        total = np.zeros((len(rows), BANDS), np.uint64)
+        for r in range(ROWS):
+            total = tx.mix(total * tx.U64(31) + signature[:, r::ROWS])
+        total = tx.mix(total + np.arange(BANDS, dtype=np.uint64))
+        found.append((rows, (total & ~tx.U64(1)) | tx.U64(kind), pairs.sum(2)))
+    return found
 
 
 def _inked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Lower-cased bytes; first and end byte, document, number and node of each line with a word."""
     low = tx.lower(raw)
     left, right, doc, number = tx.lines(low, offsets)
-    starts, _, _ = tx.words(low, offsets)
-    has = np.searchsorted(starts, right) > np.searchsorted(starts, left)
+    ink = np.concatenate([[0], np.cumsum(tx.inked(low))])
+    has = ink[right] > ink[left]
     left, right, doc, number = left[has], right[has], doc[has], number[has]
     return low, left, right, doc, number, tx.span_hash(low, left, right)
 
 
-def doc_keys(ids: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A hash of doc_id and text."""
-    missing = np.asarray(ids.is_null())
-    value = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64) * tx.U64(2) + missing
-    return tx.mix(tx.mix(value + tx.U64(77)) ^ tx.span_hash(raw, offsets[:-1], offsets[1:])).view(np.int64)
-
-
-def _line_bands(docs: DataFrame) -> DataFrame:
-    """(node, bits1, bits2, bands) of the lines, each at least once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, raw, offsets in tx.slices(batch["text"], 1 << 20):
-                low, left, right, _, _, node = _inked(raw, offsets)
-                keys, first = np.unique(node, return_index=True)
-                new = np.sort(first[np.array([k not in seen for k in keys.tolist()], bool)]) if len(keys) else first
-                if len(seen) > _SEEN:
-                    seen.clear()
-                seen.update(node[new].tolist())
-                values, before = distinct(*shingles(low, left[new], right[new]))
-                bands, (b1, b2), (m1, m2) = signs(values, before)
-                columns = [pa.array(node[new].view(np.int64)), pa.array(b1, mask=m1), pa.array(b2, mask=m2)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.view(np.int64) for x in bands], pa.list_(pa.int64()))], ["node", "bits1", "bits2", "bands"])
-
-    return docs.select("text").mapInArrow(run, "node long, bits1 long, bits2 long, bands array<long>")
+LINES = "node long, doc_id long, key long, number long, n long, bands array<long>, signs array<struct<kind:int,s0:long,s1:long>>, line binary"
 
 
-def _line_texts(docs: DataFrame) -> DataFrame:
-    """(node, line), lower-cased, each at least once."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """Every line with a word: its node and place; bands, signatures, distinct shingles n and bytes where this task has not sent them before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, raw, offsets in tx.slices(batch["text"]):
-                low, left, right, _, _, node = _inked(raw, offsets)
+            for lo, hi, raw, offsets in tx.slices(batch["text"], 1 << 19):
+                low, left, right, doc, number, node = _inked(raw, offsets)
                 keys, first = np.unique(node, return_index=True)
                 new = np.sort(first[np.array([k not in seen for k in keys.tolist()], bool)]) if len(keys) else first
                 if len(seen) > _SEEN:
                     seen.clear()
                 seen.update(node[new].tolist())
+                values, before = shingles(low, left[new], right[new])
+                values, before = tx.distinct(values, before, _OWNERS)
+                made = signs(values, before)
+                count = np.zeros((2, len(node)), np.int64)
+                for kind, (rows, _, _) in enumerate(made):
+                    count[kind, new[rows]] = 1
+                at = np.concatenate([[0], np.cumsum(count.sum(0))])
+                bands, words = np.zeros((at[-1], BANDS), np.uint64), np.zeros((at[-1], 2), np.uint64)
+                for kind, (rows, b, w) in enumerate(made):
+                    place = at[new[rows]] + (count[0, new[rows]] if kind else 0)
+                    bands[place], words[place] = b, w
+                n = np.zeros(len(node), np.int64)
+                n[new] = np.diff(before)
+                old = np.ones(len(node), bool)
+                old[new] = False
                 data = low.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(node[new].view(np.int64)), pa.array([data[a:b] for a, b in zip(left[new], right[new])], pa.binary()).cast(pa.string())], ["node", "line"])
+                text = [None if o else data[a:b] for o, a, b in zip(old.tolist(), left.tolist(), right.tolist())]
+                kinds = np.concatenate([np.full(len(rows), kind) for kind, (rows, _, _) in enumerate(made)])
+                kinds = kinds[np.argsort(np.concatenate([at[new[rows]] + (count[0, new[rows]] if kind else 0) for kind, (rows, _, _) in enumerate(made)]), kind="stable")]
+                signed = pa.StructArray.from_arrays([pa.array(kinds, pa.int32()), *(pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in (0, 1))], ["kind", "s0", "s1"])
+                take = lambda c: batch[c].slice(lo, hi - lo).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node.view(np.int64)), take("doc_id").cast(pa.int64()), take("key"), pa.array(number, pa.int64()), pa.array(n), pa.ListArray.from_arrays(pa.array(at * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64))), pa.ListArray.from_arrays(pa.array(at, pa.int32()), signed), pa.array(text, pa.binary())],
+                    ["node", "doc_id", "key", "number", "n", "bands", "signs", "line"],
+                )
 
-    return docs.select("text").mapInArrow(run, "node long, line string")
-
-
-def _sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted within each line, and how many come before each line."""
-    return distinct(*shingles(raw, offsets[:-1], offsets[1:]))
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, LINES)
 
 
 def _similar(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows (a, b, ta, tb) whose whole shingle sets reach the threshold."""
 
+    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, offsets = tx.buffers(column.cast(pa.string()))
+        return tx.distinct(*shingles(raw, offsets[:-1], offsets[1:]), _OWNERS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                (va, oa), (vb, ob) = (_sets(*tx.buffers(part[c])) for c in ("ta", "tb"))
-                for i in range(part.num_rows):
-                    x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-                    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
-                    keep[at + i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
+                (va, oa), (vb, ob) = sets(part["ta"]), sets(part["tb"])
+                both = tx.overlaps(va, oa, vb, ob, _OWNERS)
+                keep[at : at + 1024] = 100 * both >= PERCENT * (np.diff(oa) + np.diff(ob) - both)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _fit(x: dict, y: dict) -> np.ndarray:
-    """Whether the lowest bits allow a link; False where two lines have no signature of one kind."""
-    first, second = (np.ma.masked_array(np.bitwise_count((x[c].data ^ y[c].data).view(np.uint64)) <= MOST_BITS, x[c].mask | y[c].mask) for c in ("bits1", "bits2"))
-    return np.where(first.mask, second.filled(False), first.data)
-
-
-def line_roots(docs: DataFrame) -> DataFrame:
-    """(node, root) of the lines that are similar to another line."""
-    lines = written(_line_bands(docs), "line-bands")
-    lists = written(shared_lists(lines.select("node", F.explode("bands").alias("v"))), "line-lists")
-    some = lines.select("node", "bits1", "bits2").join(lists.select("node").distinct(), "node", "left_semi")
-    some = written(some.dropDuplicates(["node"]), "line-signs")
-    discard(lines)
-
-    def plausible(x: str, y: str) -> Column:
-        return F.coalesce(*[F.bit_count(F.col(f"bits{k}{x}").bitwiseXOR(F.col(f"bits{k}{y}"))) for k in (1, 2)]) <= MOST_BITS
+def line_roots(lines: DataFrame) -> DataFrame:
+    """(node, root) of the lines that are similar to another line, from the written rows of ``_lines``."""
+    sent = lines.filter("line is not null")
+    lists = written(shared_lists(sent.select("node", F.explode("bands").alias("v"))), "line-lists")
+    members = lists.select("node", F.pmod("v", F.lit(2)).alias("kind")).distinct()
+    features = sent.select("node", "n", F.inline("signs")).join(members, ["node", "kind"], "left_semi")
+    features = written(features.dropDuplicates(["node", "kind"]), "line-signs")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = written(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "near-nodes")
-        texts = written(_line_texts(docs).join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), "line-texts")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = written(sent.select("node", "line").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"))
-        return _similar(pairs.join(side("a"), "a").join(side("b"), "b"))
-
-    return link(lists, some, plausible, verify, _fit)
+        links = written(_similar(pairs.join(side("a"), "a").join(side("b"), "b")), "links")
+        discard(texts)
+        return links
 
-
-def _occurrences(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, raw, offsets in tx.slices(batch["text"]):
-                ids = batch["doc_id"].slice(lo, hi - lo).cast(pa.int64())
-                keys = doc_keys(ids, raw, offsets)
-                _, _, _, doc, number, node = _inked(raw, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), ids.take(pa.array(doc)), pa.array(keys[doc]), pa.array(number, pa.int64())], ["node", "doc_id", "key", "number"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "node long, doc_id long, key long, number long")
+    roots = link(lists, features, RULE, verify)
+    discard(lists, features)
+    return roots
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(key, numbers): the line numbers to remove from each document, by its doc_keys hash."""
-    roots = line_roots(docs)
-    seen = _occurrences(docs).join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "number").alias("at"))
-    seen = written(seen, "line-places")
+    """(doc_id, key, numbers): the line numbers to remove from the documents of that doc_id and xxhash64 of the text."""
+    lines = written(_lines(docs), "lines")
+    roots = line_roots(lines)
+    seen = lines.select("node", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "number").alias("at"))
+    seen = seen.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "at")
     first = seen.groupBy("root").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first <> last").select("root", "first")
     again = seen.join(first, "root").filter("at <> first")
-    return again.groupBy(F.col("at.key").alias("key")).agg(F.collect_set("at.number").alias("numbers"))
+    cuts = written(again.groupBy("at.doc_id", "at.key").agg(F.collect_set("at.number").alias("numbers")), "line-cuts")
+    discard(lines, roots)
+    return cuts
 
 
 def without_repeated_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``; with ``counts``, also n_lines and n_removed."""
-    names = docs.columns
-    gone = written(repeated_lines(docs), "line-cuts")
-    key, cuts = fresh_name(docs, "key"), fresh_name(docs, "cuts")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [doc_keys(batch["doc_id"].slice(lo, hi - lo), raw, offsets) for lo, hi, raw, offsets in tx.slices(batch["text"])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], [*batch.schema.names, key])
-
-    marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, StructField(key, LongType())]))
-    met = marked.join(gone.select(F.col("key").alias(key), F.col("numbers").alias(cuts)), key, "left")
+    key, ident, cuts = (fresh_name(docs, x) for x in ("key", "ident", "cuts"))
+    gone = repeated_lines(docs).select(F.col("doc_id").alias(ident), F.col("key").alias(key), F.col("numbers").alias(cuts))
+    met = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(key)), "left")
     pieces = F.split("text", "\n")
     kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(cuts, i.cast("long"))), "\n")
     lines = [F.size(pieces).cast("long").alias("n_lines"), F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    return met.select(*[F.when(F.col(cuts).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in names], *lines)
+    return met.select(*[F.when(F.col(cuts).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns], *lines)

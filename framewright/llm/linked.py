@@ -1,171 +1,344 @@
 """Links from inverted lists, and their components by distributed union-find.
 
-A posting (v, node) says that a node holds the value v. Nodes of one list are candidates for a link.
-First every node of a list is tried against the list's head only. Then, in rounds, the nodes outside the largest
-component of each list are tried against another member of it, drawn anew for each list and round. Last, all pairs that are still
-apart are tried: lists of at most SHORT nodes in a join, longer ones in pairs of blocks of about BLOCK nodes, which are compared by
-their features inside a task; only pairs that may be links become rows. So no pair that shares a list is left out, and nodes
-that already are in one component are never paired.
+A posting (v, node) says that a node holds the value v. Nodes of one list are candidates for a link if their
+features (set size, signature) allow one; whole sets decide. In the first two rounds a list proposes a spanning forest
+only: the closest pairs by signature that would join its components, so a list of m copies costs m - 1 pairs. The
+last round proposes every pair whose features allow a link and whose nodes are still in different components.
+So no such pair that shares a list is left out, and nodes of one component are not paired.
+
+Lists are dealt to tasks in blocks of BLOCK nodes, in the last round in pairs of blocks. Features are compared inside the task; only
+pairs that pass become rows. In the last round that comparing is quadratic in the length of a list that still has several components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.store import written
+from framewright.llm.store import discard, written
+
+#: Nodes of a list that one task compares; lists of up to BRIEF nodes are compared many at once.
+BLOCK, BRIEF = 1024, 12
+_HELD = 1 << 20  # edges that a task joins before it sends them on
+_FAR = 1 << 20
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Which features allow a link: set sizes n within ``percent``, and at most ``limit`` differing values in the signature words s0, s1, ...
+
+    A value takes ``bits`` (1 or 2) bits of a word.
+    """
 
-ROUNDS, SHORT, BLOCK = 2, 512, 1024
+    percent: int
+    words: int
+    bits: int
+    limit: int
+
+    @property
+    def names(self) -> list[str]:
+        return ["n", *[f"s{k}" for k in range(self.words)]]
+
+    def distance(self, x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+        """Differing values of pairs, _FAR where the features rule a link out; arrays broadcast."""
+        total = 0
+        for k in range(self.words):
+            differ = x[f"s{k}"] ^ y[f"s{k}"]
+            if self.bits == 2:
+                differ = (differ | (differ >> 1)) & 0x5555555555555555
+            total = total + np.bitwise_count(differ.view(np.uint64)).astype(np.int32)
+        near = np.minimum(x["n"], y["n"]) * 100 >= np.maximum(x["n"], y["n"]) * self.percent
+        return np.where(near & (total <= self.limit), total, _FAR)
+
+
+def most_differing(values: int, p: float, chance: float) -> int:
+    """More of ``values`` values than this differ with a probability below ``chance`` if each differs with probability p (Chernoff's bound)."""
+    far = lambda q: q * np.log(q / p) + ((1 - q) * np.log((1 - q) / (1 - p)) if q < 1 else 0.0)
+    return next((c for c in range(int(values * p) + 1, values) if values * far((c + 1) / values) > -np.log(chance)), values)
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
-    """(v, node, head) of the values that at least two different nodes hold; head is the smallest node.
+    """(v, node, block) of the values that at least two different nodes hold; block numbers each BLOCK nodes of a list.
 
     Each partition is sorted and read as a stream that remembers one row, so a list of any length
     needs no memory. Repeated postings count once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_v = last_node = head = None
-        headed = False  # whether the row of the current head is out
+        last_v = last_node = None
+        at_last = 0  # place of the last row's node in its list
+        lead_out = False  # whether a list that goes on from the batch before has had its first row sent
         for batch in batches:
             if not batch.num_rows:
                 continue
             v, node = (np.asarray(batch[c].to_numpy(zero_copy_only=False), np.int64) for c in ("v", "node"))
-            n = len(v)
-            new_v = np.ones(n, bool)
+            new_v = np.ones(len(v), bool)
             new_v[1:] = v[1:] != v[:-1]
-            new_node = new_v.copy()
-            new_node[1:] |= node[1:] != node[:-1]
+            new = new_v.copy()
+            new[1:] |= node[1:] != node[:-1]
             carried = last_v is not None and v[0] == last_v
             if carried:
-                new_v[0] = False
-                new_node[0] = node[0] != last_node
+                new_v[0], new[0] = False, node[0] != last_node
+            group = np.cumsum(new_v)  # 0: the list that goes on
+            count = np.cumsum(new)
             first = np.flatnonzero(new_v)
-            group = np.cumsum(new_v)  # 0: the list that went on from the batch before
-            heads = np.concatenate([[head if carried else 0], node[first]])[group]
-            out = new_node & (node != heads)
-            members = np.flatnonzero(out)
-            if len(members):
-                lead = members[np.concatenate([[True], group[members][1:] != group[members][:-1]])]
-                if headed and carried:
-                    lead = lead[group[lead] > 0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([v[lead], v[members]])), pa.array(np.concatenate([heads[lead], node[members]])), pa.array(np.concatenate([heads[lead], heads[members]]))],
-                    ["v", "node", "head"],
-                )
-            in_last = members[group[members] == group[-1]]
-            headed = (headed and carried and group[-1] == 0) or len(in_last) > 0
-            last_v, last_node, head = int(v[-1]), int(node[-1]), int(heads[-1])
+            base = np.concatenate([[-1 - at_last if carried else 0], count[first]])
+            place = count - base[group]
+            out = np.flatnonzero(new & (place > 0))
+            lead = out[place[out] == 1]  # second nodes: the first of the list goes out with them
+            leads_v, leads_node = v[lead], np.where(group[lead] > 0, node[np.concatenate([[0], first])[group[lead]]], last_node if carried else 0)
+            if carried and lead_out:
+                fresh = group[lead] > 0
+                leads_v, leads_node = leads_v[fresh], leads_node[fresh]
+            if len(out):
+                rows = [np.concatenate([leads_v, v[out]]), np.concatenate([leads_node, node[out]]), np.concatenate([np.zeros(len(leads_v), np.int64), place[out] // BLOCK])]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], pa.int64())], ["v", "node", "block"])
+            lead_out = place[-1] > 0
+            last_v, last_node, at_last = int(v[-1]), int(node[-1]), int(place[-1])
 
     dealt = postings.select("v", "node").repartition("v").sortWithinPartitions("v", "node")
-    return dealt.mapInArrow(run, "v long, node long, head long")
+    return dealt.mapInArrow(run, "v long, node long, block long")
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of which each task has joined its own to stars around the smallest node."""
+
+    def stars(parent: dict[int, int]) -> pa.RecordBatch:
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        pairs = np.array([(x, r) for x in parent if (r := root(x)) != x], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+        for batch in batches:
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+                while parent.setdefault(a, a) != a:
+                    parent[a] = a = parent[parent[a]]
+                while parent.setdefault(b, b) != b:
+                    parent[b] = b = parent[parent[b]]
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) > _HELD:
+                yield stars(parent)
+                parent = {}
+        yield stars(parent)
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge (a, b); root is the smallest node of its component.
 
-    Alternates large-star and small-star steps; each round is written, so a lost executor costs one round.
+    Tasks join their own edges first. Then large-star and small-star steps alternate; each round is written, so a lost executor costs one round.
     """
 
     def down(df: DataFrame, a: str, b: str) -> DataFrame:
         return df.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
 
-    edges, before = written(down(edges, "a", "b"), "edges"), None
+    edges, before = written(down(_joined(edges), "a", "b"), "edges"), None
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
+        # Done if a round changed nothing, or if every edge starts at another node and ends at one where none starts.
         if now == before or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            break
+        if now[0] == now[2] and edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            break
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
         large = down(both.filter("b > a").join(least, "a"), "b", "m")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = written(down(small, "a", "b"), "edges")
+        last, edges = edges, written(down(small, "a", "b"), "edges")
+        discard(last)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def link(lists: DataFrame, features: DataFrame, plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], fits: Callable[[dict, dict], np.ndarray]) -> DataFrame:
-    """(node, root) from lists (v, node, head).
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted rows, cut so that no group of equal keys is divided."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {c: np.asarray(batch[c].to_numpy(zero_copy_only=False)) for c in batch.schema.names}
+        if held is not None:
+            now = {c: np.concatenate([held[c], x]) for c, x in now.items()}
+        last = np.logical_and.reduce([now[k] == now[k][-1] for k in keys])
+        cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+        if cut:
+            yield {c: x[:cut] for c, x in now.items()}
+        held = {c: x[cut:] for c, x in now.items()}
+    if held is not None:
+        yield held
 
-    ``features`` has one row per node; ``plausible(x, y)`` tests the features of a pair, named with the suffixes x and y, and never
-    rules a link out; ``fits(x, y)`` is the same test for masked numpy arrays of features that broadcast; ``verify`` keeps the true links of pairs (a, b).
-    """
-    names = [c for c in features.columns if c != "node"]
-    side = lambda x: features.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}{x}") for c in names])
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    first = lists.filter("node <> head").select(*ordered("node", "head")).distinct()
-    tried = written(first.join(side("a"), "a").join(side("b"), "b").filter(plausible("a", "b")).select("a", "b"), "tried")
-    links = written(verify(tried), "links")
-    roots = components(links)
-
-    def apart() -> DataFrame:
-        """Rows (v, node, root, features) of the lists whose nodes are in more than one component."""
-        placed = lists.select("v", "node").join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
-        open_lists = placed.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).filter("r0 <> r1")
-        return written(placed.join(open_lists.select("v", "members"), "v").join(features, "node"), "apart")
-
-    def more(found: DataFrame) -> bool:
-        """Try further pairs (a, b); true if that found links."""
-        nonlocal tried, links, roots
-        new = written(found.join(tried, ["a", "b"], "left_anti"), "more")
-        if new.isEmpty():
-            return False
-        late = written(verify(new), "links")
-        if late.isEmpty():
-            return False
-        tried, links = tried.unionByName(new), links.unionByName(late)
-        roots = components(links)
-        return True
-
-    def sides(df: DataFrame, x: str) -> DataFrame:
-        return df.select("v", F.col("node").alias(x), F.col("root").alias(f"root{x}"), *[F.col(c).alias(f"{c}{x}") for c in names])
-
-    for turn in range(ROUNDS):
-        placed = apart()
-        largest = placed.groupBy("v", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(turn), "v", "node"), "node"))["node"].alias("y"))
-        largest = largest.groupBy("v").agg(F.max(F.struct("n", F.col("root").alias("rooty"), "y")).alias("h")).select("v", "h.rooty", "h.y")
-        heads = largest.join(features.select(F.col("node").alias("y"), *[F.col(c).alias(f"{c}y") for c in names]), "y")
-        met = sides(placed, "x").join(heads, "v").filter("rootx <> rooty").filter(plausible("x", "y"))
-        if not more(met.select(*ordered("x", "y")).distinct()):
+
+def _brief_pairs(rows: dict, group: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Allowed pairs (i, j) of rows in one group and different components, and their distances; groups are brief."""
+    at, to, far = [], [], []
+    for lag in range(1, BRIEF):
+        i = np.flatnonzero(group[lag:] == group[: len(group) - lag]) if len(group) > lag else np.zeros(0, np.int64)
+        if not len(i):
             break
+        j = i + lag
+        apart = rows["root"][i] != rows["root"][j]
+        i, j = i[apart], j[apart]
+        d = rule.distance({c: rows[c][i] for c in rule.names}, {c: rows[c][j] for c in rule.names})
+        near = d < _FAR
+        at.append(i[near])
+        to.append(j[near])
+        far.append(d[near])
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) if x else none for x in (at, to, far))
 
-    placed = apart()
-    brief = placed.filter(F.col("members") <= SHORT)
-    met = sides(brief, "x").join(sides(brief, "y"), "v").filter("x < y and rootx <> rooty").filter(plausible("x", "y")).select(*ordered("x", "y"))
-    blocked = written(_block_pairs(placed.filter(F.col("members") > SHORT), names, fits), "block-pairs")
-    more(met.unionByName(blocked).distinct())
-    return roots
 
+def _brief_forest(rows: dict, group: np.ndarray, first: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs that join near rows of brief groups, and the groups with allowed pairs that are left out."""
+    i, j, d = _brief_pairs(rows, group, rule)
+    least = np.full(len(group), _FAR)
+    np.minimum.at(least, i, d)
+    np.minimum.at(least, j, d)
+    chosen = (d == least[i]) | (d == least[j]) | first[i]
+    return i[chosen], j[chosen], np.unique(group[i[~chosen]])
+
+
+def _forest(rows: dict, rule: Rule) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Prim's algorithm over the rows of one list, whose components count as joined: the chosen pairs, and whether allowed pairs are left out."""
+    n = len(rows["node"])
+    best, via, todo = np.full(n, _FAR, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+    at, to, allowed = [], [], 0
+    k = 0
+    for _ in range(n):
+        todo[k] = False
+        d = rule.distance({c: rows[c][k] for c in rule.names}, {c: rows[c] for c in rule.names})
+        same = rows["root"] == rows["root"][k]
+        allowed += np.count_nonzero((d < _FAR) & ~same)
+        d = np.where(same, -1, d)
+        closer = d < best
+        best[closer], via[closer] = d[closer], k
+        open_rows = np.flatnonzero(todo)
+        if not len(open_rows):
+            break
+        k = int(open_rows[best[open_rows].argmin()])
+        if 0 <= best[k] < _FAR:
+            at.append(via[k])
+            to.append(k)
+    return np.array(at, np.int64), np.array(to, np.int64), allowed // 2 > len(at)
+
+
+def _proposed(rows: DataFrame, rule: Rule, whole: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (v, i, j, block, node, root, features); v is null there. With ``whole`` all allowed pairs between blocks i and j, else
+    a forest of each block, and rows (v, a) for the nodes of lists of which allowed pairs are left out."""
+
+    def batch(v: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        if b is not None:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return pa.RecordBatch.from_arrays([none if v is None else pa.array(v), pa.array(a), none if b is None else pa.array(b)], ["v", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _whole_groups(batches, ("v", "i", "j")):
+            new = np.ones(len(found["v"]), bool)
+            new[1:] = np.logical_or.reduce([found[k][1:] != found[k][:-1] for k in ("v", "i", "j")])
+            start = np.flatnonzero(new)
+            size = np.diff(np.concatenate([start, [len(new)]]))
+            brief = np.repeat((size <= BRIEF) & (found["i"][start] == found["j"][start]), size)
+            few = {c: x[brief] for c, x in found.items()}
+            group = np.cumsum(new)[brief]
+            if whole:
+                i, j, _ = _brief_pairs(few, group, rule)
+            else:
+                i, j, left = _brief_forest(few, group, new[brief], rule)
+                # Rows of other blocks may be near as well: a list of several blocks stays open.
+                is_open = np.isin(group, left) | (few["i"] > 0)
+                yield batch(few["v"][is_open], few["node"][is_open], None)
+            yield batch(None, few["node"][i], few["node"][j])
+            for s, n in zip(start, size):
+                if brief[s]:
+                    continue
+                own = {c: x[s : s + n] for c, x in found.items()}
+                if whole:
+                    yield from (batch(None, a, b) for a, b in _all_pairs(own, rule))
+                    continue
+                i, j, left = _forest(own, rule)
+                yield batch(None, own["node"][i], own["node"][j])
+                if left or n == BLOCK or own["i"][0] > 0:
+                    yield batch(own["v"], own["node"], None)
+
+    names = ["v", "i", "j", "block", "node", "root", *rule.names]
+    dealt = rows.select(*names).repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "node")
+    return dealt.mapInArrow(run, "v long, a long, b long")
 
-def _block_pairs(placed: DataFrame, names: list[str], fits: Callable[[dict, dict], np.ndarray]) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (v, node, root, members, features) of one list, with different roots and fitting features."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = own.withColumn("other", every).select("v", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", *names)
-
-    def run(table: pa.Table) -> pa.Table:
-        block = table["block"].to_numpy()
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        column = {c: np.ma.masked_array(table[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False), np.asarray(table[c].is_null())) for c in ["node", "root", *names]}
-        left, right = ({c: x[block == k] for c, x in column.items()} for k in (i, j))
-        out = []
-        for at in range(0, len(left["node"]), 256):
-            x = {c: v[at : at + 256, None] for c, v in left.items()}
-            y = {c: v[None, :] for c, v in right.items()}
-            keep = (x["root"] != y["root"]) & fits(x, y)
-            keep = np.ma.filled(keep, False)
-            if i == j:
-                keep &= np.ma.getdata(x["node"] < y["node"])
-            r, c = np.nonzero(keep)
-            out.append((left["node"].data[at + r], right["node"].data[c]))
-        p, q = (np.concatenate([o[k] for o in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
-
-    return dealt.groupBy("v", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+def _all_pairs(own: dict, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of the allowed pairs between the two blocks of a group (or within one), some rows at a time."""
+    within = own["i"][0] == own["j"][0]
+    left, right = ({c: x[own["block"] == own[k][0]] for c, x in own.items()} for k in ("i", "j"))
+    for at in range(0, len(left["node"]), 256):
+        x = {c: v[at : at + 256, None] for c, v in left.items()}
+        y = {c: v[None, :] for c, v in right.items()}
+        keep = (rule.distance(x, y) < _FAR) & (x["root"] != y["root"])
+        if within:
+            keep &= x["node"] < y["node"]
+        r, c = np.nonzero(keep)
+        yield left["node"][at + r], right["node"][c]
+
+
+def link(lists: DataFrame, features: DataFrame, rule: Rule, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) from lists (v, node, block).
+
+    ``features`` has one row (node, features of ``rule``) per node; or one per (node, kind), where lists of even v use kind 0 and
+    others kind 1. ``verify`` returns the true links of pairs (a, b) as a written table.
+    """
+
+    def propose(rows: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+        if "kind" in features.columns:
+            met = rows.withColumn("kind", F.pmod("v", F.lit(2))).join(features, ["node", "kind"])
+        else:
+            met = rows.join(features, "node")
+        found = written(_proposed(met, rule, whole), "proposed")
+        return found, found.filter("b is not null").select("a", "b").distinct()
+
+    def placed(open_rows: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+        """(v, node, root, blocks, block) of the lists whose nodes are in more than one component."""
+        rows = open_rows.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
+        some = rows.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1")
+        blocks = F.ceil(F.col("n") / BLOCK)
+        rows = rows.join(some.select("v", blocks.alias("blocks")), "v")
+        return rows.withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("blocks")).cast("long"))
+
+    one = lambda df: df.withColumn("i", F.col("block")).withColumn("j", F.col("block"))
+    found, pairs = propose(one(lists.withColumn("root", F.col("node"))))
+    tried = written(pairs, "tried")
+    links = verify(tried)
+    roots = written(components(links), "roots")
+    discard(links)
+    for turn in (1, 2):
+        left = found.filter("b is null").select("v", F.col("a").alias("node"))
+        if left.isEmpty():
+            break
+        rows = placed(left, roots, turn)
+        if turn == 1:
+            rows = one(rows)
+        else:
+            every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+            rows = rows.withColumn("other", every).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+        last = found
+        found, pairs = propose(rows, whole=turn == 2)
+        discard(last)
+        new = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        if not new.isEmpty():
+            links = verify(new)
+            roots = written(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
+            discard(links)
+        tried = tried.unionByName(new)
+    discard(found)
+    return roots

@@ -1,37 +1,36 @@
 """MinHash near-duplicates by bottom-k sketches of one hash function.
 
-A document's sketch holds the smallest hashes of its shingles: always more than a partner may lack at
-the threshold, and LEAST_KEPT at least. Inverted lists of the retained values give candidates, the
-sketch of the union estimates their similarity, and whole shingle sets decide.
-
-Every document stays in the lists of all its values, hot ones (retained by more than HOT documents) too:
-values that are not hot may be private edits, by which no copy is found. Documents with equal words are one node.
+A document's sketch holds the KEPT smallest hashes of its shingles. The smallest ``listed`` of them stand in inverted
+lists: a pair at the threshold shares none of them with probability (1 - similarity) ** listed, below 10^-11, whatever the
+number of documents that share a value. Pairs from the lists are ruled out by set sizes and signatures (linked.py), then by the sketch of the union;
+whole shingle sets decide. Documents with equal words are one node.
 
 Defined results: A-Z are lower-cased; a null or empty text, or one without words, has an empty set and
-links with nothing; a text of fewer words than a shingle has one shingle of all its words; repeated rows
-are linked and get the same component; rows with a null doc_id take part, but never name a component
-that has another row. Columns other than doc_id and text are not read.
+links with nothing; a text of fewer words than a shingle has one shingle of all its words; very long texts are cut whole; repeated rows and
+ties are linked and get the same component; rows with a null doc_id take part, but never name a component
+that has another row; an empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from framewright.llm import text as tx
-from framewright.llm.linked import link, shared_lists
-from framewright.llm.store import fresh_name, written
+from framewright.llm.linked import Rule, link, most_differing, shared_lists
+from framewright.llm.store import discard, fresh_name, small, written
 
-LEAST_KEPT, HOT = 24, 16
+KEPT = 128
 #: Signatures of _WORDS * 64 bits, each of the smallest shingle under a function of its own. At similarity t a bit differs
 #: with probability (1 - t) / 2.
 _WORDS = 2
-_BITS = [f"bits{k}" for k in range(_WORDS)]
+_BITS = [f"s{k}" for k in range(_WORDS)]
 _A = np.random.default_rng(17).integers(1, 1 << 63, _WORDS * 64, dtype=np.uint64) * tx.U64(2) + tx.U64(1)
 _SEEN = 1 << 20  # nodes a task remembers, not to send their sketches twice
 
@@ -47,19 +46,19 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     windows = tx.window_hash(hashes, width)
     at = np.flatnonzero(doc[: len(windows)] == doc[width - 1 :]) if len(windows) else np.zeros(0, np.int64)
     short = np.flatnonzero((count > 0) & (count < width))
-    value = np.concatenate([windows[at], nodes[short]])
-    owner = np.concatenate([doc[at], short])
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    value, owner = value[new], owner[new]
-    return value, np.searchsorted(owner, np.arange(len(count) + 1)), nodes
+    size = np.maximum(count - width + 1, np.minimum(count, 1))
+    upto = np.concatenate([[0], np.cumsum(size)])
+    value = np.empty(upto[-1], np.uint64)
+    value[upto[short]] = nodes[short]
+    whole = np.ones(len(value), bool)
+    whole[upto[short]] = False
+    value[whole] = windows[at]
+    return *tx.distinct(value, upto), nodes
 
 
-def kept_values(n: int, percent: int) -> int:
-    """How many of n hashes a sketch keeps."""
-    return max(n * (100 - percent) // 100 + 1, min(n, LEAST_KEPT))
+def listed(percent: int) -> int:
+    """How many of the smallest hashes are listed."""
+    return min(KEPT, max(1, ceil(log(1e-11) / log(max(1 - percent / 100, 1e-11)))))
 
 
 def signature(value: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -75,14 +74,7 @@ def signature(value: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def most_bits(percent: int) -> int:
-    """At the threshold, signatures differ in more bits than this with probability below 10^-9 (Chernoff's bound)."""
-    m, p = _WORDS * 64, max(1 - percent / 100, 0.01) / 2
-    far = lambda q: q * np.log(q / p) + ((1 - q) * np.log((1 - q) / (1 - p)) if q < 1 else 0.0)
-    return next((c for c in range(int(m * p) + 1, m) if m * far((c + 1) / m) > np.log(1e9)), m)
-
-
-def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, node (null without words), sketch (null where this task sent the node's before) and signature bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +93,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(known)
-                    kept.append(value[at[i] : at[i] + kept_values(int(n), percent)].view(np.int64))
+                    kept.append(value[at[i] : min(at[i] + KEPT, at[i + 1])].view(np.int64))
                 new = np.array([x is not None for x in kept], bool)
                 bits = np.zeros((len(size), _WORDS), np.uint64)
                 bits[new] = signature(value[np.repeat(new, size)], np.concatenate([[0], np.cumsum(size[new])]))
@@ -115,6 +107,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def likely(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose union sketch does not rule the threshold out, from (a, b, sa, sb)."""
+    t = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +118,8 @@ def likely(rows: DataFrame, percent: int) -> DataFrame:
                 k = min(len(x), len(y))
                 union = np.sort(np.concatenate([x, y]))
                 both = union[1:][union[1:] == union[:-1]]
-                union = np.unique(union)[:k]
-                estimate = np.count_nonzero(both <= union[-1]) / len(union)
-                t = percent / 100
-                keep[i] = estimate >= t - 5 * (t * (1 - t) / k) ** 0.5
+                last = union[np.concatenate([[True], union[1:] != union[:-1]])][k - 1]
+                keep[i] = np.count_nonzero(both <= last) / k >= t - 6 * (t * (1 - t) / k) ** 0.5
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -140,74 +131,49 @@ def confirmed(rows: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            step = 512  # pairs at once
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 (va, oa, _), (vb, ob, _) = (shingle_sets(*tx.buffers(part[c]), width) for c in ("ta", "tb"))
-                for i in range(part.num_rows):
-                    x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-                    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) if len(y) else 0
-                    keep[at + i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+                both = tx.overlaps(va, oa, vb, ob)
+                keep[at : at + 512] = (both > 0) & (100 * both >= percent * (np.diff(oa) + np.diff(ob) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _lists(sk: DataFrame) -> DataFrame:
-    """Inverted lists of the sketches, whole; those of hot values with another head than the smallest node."""
-    sent = sk.filter("sketch is not null")
-    lists = written(shared_lists(sent.select(F.explode("sketch").alias("v"), "node")), "lists")
-    hot = lists.groupBy("v").count().filter(F.col("count") > HOT).select("v")
-    hot_rows = lists.join(hot, "v", "left_semi")
-    hot_count = hot_rows.groupBy("node").agg(F.count("*").alias("hot"))
-    sizes = sent.select("node", F.size("sketch").alias("kept"))
-    own = sizes.join(hot_count, "node").groupBy("node").agg(F.min(F.col("kept") - F.col("hot")).alias("cold"))
-    copies = sk.filter("node is not null").groupBy("node").agg((-F.count("*")).alias("copies"))
-    rows = hot_rows.select("v", "node").join(own.join(copies, "node"), "node")
-    # The head of a hot list is near the middle of its copies: few values of its own, many equal texts.
-    heads = rows.groupBy("v").agg(F.min(F.struct("cold", "copies", F.xxhash64("v", "node"), "node"))["node"].alias("head"))
-    return lists.join(hot, "v", "left_anti").unionByName(rows.join(heads, "v").select("v", "node", "head"))
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, node) of all documents, and (node, root) of all linked nodes.
 
     Two documents are linked if 100 * intersection >= percent * union of their sets of word shingles.
     """
-    sk = written(sketches(docs, width, percent), "sketches")
-    lists = written(_lists(sk), "lists")
+    sk = written(sketches(docs, width), "sketches")
     sent = sk.filter("sketch is not null")
-    sizes = written(sent.groupBy("node").agg(F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in _BITS]), "sizes")
-    limit = most_bits(percent)
-
-    def plausible(x: str, y: str) -> Column:
-        """Else no overlap is enough, or the signatures differ too much."""
-        differ = sum((F.bit_count(F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))) for c in _BITS), F.lit(0))
-        return (F.least(f"n{x}", f"n{y}") * 100 >= F.greatest(f"n{x}", f"n{y}") * percent) & (differ <= limit)
-
-    def fits(x: dict, y: dict) -> np.ndarray:
-        (n, m), differ = (x["n"].data, y["n"].data), 0
-        for c in _BITS:
-            differ = differ + np.bitwise_count((x[c].data ^ y[c].data).view(np.uint64)).astype(np.int64)
-        return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (differ <= limit)
+    lists = written(shared_lists(sent.select(F.explode(F.slice("sketch", 1, listed(percent))).alias("v"), "node")), "lists")
+    members = lists.select("node").distinct()
+    own = written(sent.join(members, "node", "left_semi").dropDuplicates(["node"]), "members")
+    features = own.select("node", F.col("n_shingles").alias("n"), *_BITS)
+    # A pair at the threshold is ruled out with probability below 10^-9.
+    rule = Rule(percent, _WORDS, 1, most_differing(_WORDS * 64, max(1 - percent / 100, 0.01) / 2, 1e-9))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        own = written(sent.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "own")
         side = lambda x: own.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
         close = written(likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent), "likely")
         texts = _texts(docs, own, close)
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-        return confirmed(close.join(side("a"), "a").join(side("b"), "b"), width, percent)
+        links = written(confirmed(close.join(side("a"), "a").join(side("b"), "b"), width, percent), "links")
+        discard(close, texts)
+        return links
 
-    return sk.select("doc_id", "n_shingles", "node"), link(lists, sizes, plausible, verify, fits)
+    roots = link(lists, features, rule, verify)
+    discard(lists, own)
+    return sk.select("doc_id", "n_shingles", "node"), roots
 
 
 def _texts(docs: DataFrame, own: DataFrame, close: DataFrame) -> DataFrame:
     """(node, text) of the nodes in pairs ``close``; one row of ``docs`` stands for each node."""
     nodes = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
-    wanted = own.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id"))
-    met = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    wanted = written(own.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id")), "wanted")
+    met = docs.select("doc_id", "text").join(small(wanted), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # rows of one doc_id may have different texts
@@ -219,7 +185,9 @@ def _texts(docs: DataFrame, own: DataFrame, close: DataFrame) -> DataFrame:
                 keep[lo:hi] = tx.run_hash(tx.span_hash(low, starts, ends), before).view(np.int64) == node[lo:hi]
             yield batch.filter(pa.array(keep))
 
-    return written(met.mapInArrow(same, "node long, text string").dropDuplicates(["node"]), "texts")
+    texts = written(met.mapInArrow(same, "node long, text string").dropDuplicates(["node"]), "texts")
+    discard(wanted)
+    return texts
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,23 +31,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-BROADCAST_ROWS = 1 << 18
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A written table of a few numbers per row, marked for broadcast if it has at most ``limit`` rows; else as it is."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def discard(*frames: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete the files of tables made by ``written`` that nothing will read again."""
-    for df in frames:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from framewright.llm import text as tx
 from framewright.llm.induced import repeated_spans
-from framewright.llm.linededup import doc_keys
 from framewright.llm.store import written
 
 WIDTH, GRAM = 200, 32
@@ -86,7 +85,7 @@ def _stretches(docs: DataFrame, width: int, gram: int) -> DataFrame:
         for batch in batches:
             for lo, hi, raw, offsets in tx.slices(batch["text"], 1 << 20):
                 m, left, right, doc, twice = stretches(raw, offsets, width, gram)
-                keys = doc_keys(batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), raw, offsets)
+                keys = tx.doc_keys(batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), raw, offsets)
                 _, first, inverse, count = np.unique(m, return_index=True, return_inverse=True, return_counts=True)
                 told = np.zeros(len(m), bool)
                 told[first] = True
@@ -125,7 +124,7 @@ def _strings(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [doc_keys(batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), raw, offsets) for lo, hi, raw, offsets in tx.slices(batch["text"])]
+            found = [tx.doc_keys(batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), raw, offsets) for lo, hi, raw, offsets in tx.slices(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["text"], pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["text", "key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +194,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [doc_keys(batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), raw, offsets) for lo, hi, raw, offsets in tx.slices(batch["text"])]
+            found = [tx.doc_keys(batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), raw, offsets) for lo, hi, raw, offsets in tx.slices(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["text"], pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["doc_id", "text", "key"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,6 +72,11 @@ def lower(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
+def inked(raw: np.ndarray) -> np.ndarray:
+    """Which bytes belong to words."""
+    return ~_SPACE[raw]
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the number of words before each document (n + 1).
 
@@ -143,3 +148,42 @@ def window_hash(hashes: np.ndarray, width: int, taps: tuple[int, ...] | None = N
     for t in taps or range(width):
         total += hashes[t : t + m] * U64(pow(_MUL, 2 * t + 1, 1 << 64))
     return mix(total)
+
+
+def distinct(values: np.ndarray, before: np.ndarray, owner_bits: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of the runs values[before[i]:before[i + 1]]: without repeats, ascending, and how many come before each run.
+
+    Of each value its first 64 - ``owner_bits`` bits count, so that run and value sort as one number.
+    """
+    keep, runs = U64(64 - owner_bits), 1 << owner_bits
+    found, sizes = [], []
+    for lo in range(0, len(before) - 1, runs):
+        cut = before[lo : lo + runs + 1]
+        owner = np.repeat(np.arange(len(cut) - 1, dtype=np.uint64), np.diff(cut))
+        key = np.sort((owner << keep) | (values[cut[0] : cut[-1]] >> U64(owner_bits)))
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]
+        sizes.append(np.bincount((key >> keep).astype(np.int64), minlength=len(cut) - 1))
+        found.append(key & U64((1 << int(keep)) - 1))
+    sets = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return sets, np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else [])]).astype(np.int64)
+
+
+def overlaps(xs: np.ndarray, at: np.ndarray, ys: np.ndarray, bt: np.ndarray, owner_bits: int = 12) -> np.ndarray:
+    """Sizes of the intersections of the i-th sets of two runs of sets as ``distinct`` makes them."""
+    keep, runs, n = U64(64 - owner_bits), 1 << owner_bits, len(at) - 1
+    out = np.zeros(n, np.int64)
+    for lo in range(0, n, runs):
+        parts = []
+        for values, cut in ((xs, at[lo : lo + runs + 1]), (ys, bt[lo : lo + runs + 1])):
+            parts.append((np.repeat(np.arange(len(cut) - 1, dtype=np.uint64), np.diff(cut)) << keep) | values[cut[0] : cut[-1]])
+        key = np.sort(np.concatenate(parts))
+        both = key[1:][key[1:] == key[:-1]]
+        out[lo : lo + runs] = np.bincount((both >> keep).astype(np.int64), minlength=len(at[lo : lo + runs + 1]) - 1)
+    return out
+
+
+def doc_keys(ids: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of doc_id and text."""
+    missing = np.asarray(ids.is_null())
+    value = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64) * U64(2) + missing
+    return mix(mix(value + U64(77)) ^ span_hash(raw, offsets[:-1], offsets[1:])).view(np.int64)
