@@ -161,19 +161,20 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, LINES)
 
 
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw, offsets = tx.buffers(column.cast(pa.string()))
+    return tx.distinct(*shingles(raw, offsets[:-1], offsets[1:]), _OWNERS)
+
+
 def _similar(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows (a, b, ta, tb) whose whole shingle sets reach the threshold."""
 
-    def sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        raw, offsets = tx.buffers(column.cast(pa.string()))
-        return tx.distinct(*shingles(raw, offsets[:-1], offsets[1:]), _OWNERS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                (va, oa), (vb, ob) = sets(part["ta"]), sets(part["tb"])
+                (va, oa), (vb, ob) = _sets(part["ta"]), _sets(part["tb"])
                 both = tx.overlaps(va, oa, vb, ob, _OWNERS)
                 keep[at : at + 1024] = 100 * both >= PERCENT * (np.diff(oa) + np.diff(ob) - both)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
@@ -189,15 +190,28 @@ def line_roots(lines: DataFrame) -> DataFrame:
     features = sent.select("node", "n", F.inline("signs")).join(members, ["node", "kind"], "left_semi")
     features = written(features.dropDuplicates(["node", "kind"]), "line-signs")
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return sent.select("node", "line").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = written(sent.select("node", "line").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
+        texts = written(texts_of(nodes), "line-texts")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"))
         links = written(_similar(pairs.join(side("a"), "a").join(side("b"), "b")), "links")
         discard(texts)
         return links
 
-    roots = link(lists, features, RULE, verify)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                values, before = _sets(part["line"])
+                yield pa.RecordBatch.from_arrays([part["node"], pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(values.view(np.int64)))], ["node", "values"])
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        return written(texts_of(nodes).mapInArrow(whole, "node long, values array<long>"), "line-sets")
+
+    roots = link(lists, features, RULE, verify, sets)
     discard(lists, features)
     return roots
 

@@ -1,13 +1,14 @@
 """Links from inverted lists, and their components by distributed union-find.
 
 A posting (v, node) says that a node holds the value v. Nodes of one list are candidates for a link if their
-features (set size, signature) allow one; whole sets decide. In the first two rounds a list proposes a spanning forest
-only: the closest pairs by signature that would join its components, so a list of m copies costs m - 1 pairs. The
-last round proposes every pair whose features allow a link and whose nodes are still in different components.
-So no such pair that shares a list is left out, and nodes of one component are not paired.
-
-Lists are dealt to tasks in blocks of BLOCK nodes, in the last round in pairs of blocks. Features are compared inside the task; only
-pairs that pass become rows. In the last round that comparing is quadratic in the length of a list that still has several components.
+features (set size, signature) allow one; whole sets decide. In two rounds each list proposes a spanning forest only: the closest pairs by
+signature that would join its components, so a list of m copies costs m - 1 pairs. Proposed pairs, true or not, tie nodes into clusters,
+and two nodes that share a list and may be linked are always in one cluster. Last, the nodes that are left with a possible partner in another
+component meet once more by cluster, with their whole sets; only links that join components leave the task.
+So no such pair that shares a list is left out, and no square of a list or a group is written anywhere.
+
+Lists are dealt to tasks in blocks of BLOCK nodes (later in pairs of blocks), clusters in pairs of blocks of about CLUSTER_NODES nodes and
+CLUSTER_VALUES set values. The comparing inside these tasks is quadratic in the open members of one list or cluster.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm import text as tx
 from framewright.llm.store import discard, written
 
 #: Nodes of a list that one task compares; lists of up to BRIEF nodes are compared many at once.
-BLOCK, BRIEF = 1024, 12
+BLOCK, BRIEF = 8192, 12
+CLUSTER_NODES, CLUSTER_VALUES = 1024, 1 << 19
 _HELD = 1 << 20  # edges that a task joins before it sends them on
 _FAR = 1 << 20
 
@@ -210,18 +213,18 @@ def _brief_forest(rows: dict, group: np.ndarray, first: np.ndarray, rule: Rule)
     return i[chosen], j[chosen], np.unique(group[i[~chosen]])
 
 
-def _forest(rows: dict, rule: Rule) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Prim's algorithm over the rows of one list, whose components count as joined: the chosen pairs, and whether allowed pairs are left out."""
+def _forest(rows: dict, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prim's algorithm over the rows of one list, whose components count as joined: the chosen pairs, and for each row how many pairs are allowed."""
     n = len(rows["node"])
     best, via, todo = np.full(n, _FAR, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
-    at, to, allowed = [], [], 0
+    at, to, allowed = [], [], np.zeros(n, np.int64)
     k = 0
     for _ in range(n):
         todo[k] = False
         d = rule.distance({c: rows[c][k] for c in rule.names}, {c: rows[c] for c in rule.names})
         same = rows["root"] == rows["root"][k]
-        allowed += np.count_nonzero((d < _FAR) & ~same)
-        d = np.where(same, -1, d)
+        allowed[k] = np.count_nonzero((d < _FAR) & ~same)
+        d[same] = -1
         closer = d < best
         best[closer], via[closer] = d[closer], k
         open_rows = np.flatnonzero(todo)
@@ -231,12 +234,12 @@ def _forest(rows: dict, rule: Rule) -> tuple[np.ndarray, np.ndarray, bool]:
         if 0 <= best[k] < _FAR:
             at.append(via[k])
             to.append(k)
-    return np.array(at, np.int64), np.array(to, np.int64), allowed // 2 > len(at)
+    return np.array(at, np.int64), np.array(to, np.int64), allowed
 
 
-def _proposed(rows: DataFrame, rule: Rule, whole: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of rows (v, i, j, block, node, root, features); v is null there. With ``whole`` all allowed pairs between blocks i and j, else
-    a forest of each block, and rows (v, a) for the nodes of lists of which allowed pairs are left out."""
+def _proposed(rows: DataFrame, rule: Rule, last: bool) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (v, i, j, node, root, features) that stand together under v, i, j; v is null there. Rows (v, a) name nodes that have
+    further allowed partners, or stand in a list of several blocks. With ``last``, brief lists propose all pairs, and lists of several blocks come in pairs of blocks."""
 
     def batch(v: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
@@ -250,14 +253,13 @@ def _proposed(rows: DataFrame, rule: Rule, whole: bool) -> DataFrame:
             new[1:] = np.logical_or.reduce([found[k][1:] != found[k][:-1] for k in ("v", "i", "j")])
             start = np.flatnonzero(new)
             size = np.diff(np.concatenate([start, [len(new)]]))
-            brief = np.repeat((size <= BRIEF) & (found["i"][start] == found["j"][start]), size)
+            brief = np.repeat(size <= BRIEF, size)
             few = {c: x[brief] for c, x in found.items()}
             group = np.cumsum(new)[brief]
-            if whole:
+            if last:
                 i, j, _ = _brief_pairs(few, group, rule)
             else:
                 i, j, left = _brief_forest(few, group, new[brief], rule)
-                # Rows of other blocks may be near as well: a list of several blocks stays open.
                 is_open = np.isin(group, left) | (few["i"] > 0)
                 yield batch(few["v"][is_open], few["node"][is_open], None)
             yield batch(None, few["node"][i], few["node"][j])
@@ -265,80 +267,123 @@ def _proposed(rows: DataFrame, rule: Rule, whole: bool) -> DataFrame:
                 if brief[s]:
                     continue
                 own = {c: x[s : s + n] for c, x in found.items()}
-                if whole:
-                    yield from (batch(None, a, b) for a, b in _all_pairs(own, rule))
-                    continue
-                i, j, left = _forest(own, rule)
+                i, j, allowed = _forest(own, rule)
                 yield batch(None, own["node"][i], own["node"][j])
-                if left or n == BLOCK or own["i"][0] > 0:
-                    yield batch(own["v"], own["node"], None)
+                is_open = (allowed > 0) & (allowed.sum() > 2 * len(i))
+                if not last and (n == BLOCK or own["i"][0] > 0):  # rows of other blocks may be near as well
+                    is_open[:] = True
+                yield batch(own["v"][is_open], own["node"][is_open], None)
 
-    names = ["v", "i", "j", "block", "node", "root", *rule.names]
+    names = ["v", "i", "j", "node", "root", *rule.names]
     dealt = rows.select(*names).repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "node")
     return dealt.mapInArrow(run, "v long, a long, b long")
 
 
-def _all_pairs(own: dict, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of the allowed pairs between the two blocks of a group (or within one), some rows at a time."""
-    within = own["i"][0] == own["j"][0]
-    left, right = ({c: x[own["block"] == own[k][0]] for c, x in own.items()} for k in ("i", "j"))
-    for at in range(0, len(left["node"]), 256):
-        x = {c: v[at : at + 256, None] for c, v in left.items()}
-        y = {c: v[None, :] for c, v in right.items()}
-        keep = (rule.distance(x, y) < _FAR) & (x["root"] != y["root"])
-        if within:
-            keep &= x["node"] < y["node"]
-        r, c = np.nonzero(keep)
-        yield left["node"][at + r], right["node"][c]
+def _last_links(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) that join components, from rows (cluster, i, j, block, node, root, features, values): all allowed pairs between blocks i and j are compared by whole sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table["block"].to_numpy()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        own = {c: table[c].to_numpy() for c in ("node", "root", *rule.names)}
+        values = table["values"].combine_chunks()
+        flat, cut = values.flatten().to_numpy().view(np.uint64), np.asarray(values.offsets).astype(np.int64)
+        cut = cut - cut[0]
+        parent = {int(r): int(r) for r in own["root"]}
 
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
 
-def link(lists: DataFrame, features: DataFrame, rule: Rule, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        def sets(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            size = cut[at + 1] - cut[at]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            return flat[np.arange(upto[-1]) + np.repeat(cut[at] - upto[:-1], size)], upto
+
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        links = []
+        for lo in range(0, len(left), 64):
+            x, y = left[lo : lo + 64], right
+            root = np.array([top(int(r)) for r in own["root"]], np.int64)
+            keep = rule.distance({c: own[c][x, None] for c in rule.names}, {c: own[c][None, y] for c in rule.names}) < _FAR
+            keep &= root[x, None] != root[None, y]
+            if i == j:
+                keep &= own["node"][x, None] < own["node"][None, y]
+            r, c = np.nonzero(keep)
+            for at in range(0, len(r), 512):
+                p, q = x[r[at : at + 512]], y[c[at : at + 512]]
+                (vp, sp), (vq, sq) = sets(p), sets(q)
+                both = tx.overlaps(vp, sp, vq, sq)
+                near = 100 * both >= rule.percent * (np.diff(sp) + np.diff(sq) - both)
+                for a, b in zip(p[near].tolist(), q[near].tolist()):
+                    ra, rb = top(int(own["root"][a])), top(int(own["root"][b]))
+                    if ra != rb:
+                        parent[max(ra, rb)] = min(ra, rb)
+                        links.append((int(own["node"][a]), int(own["node"][b])))
+        made = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": made.min(1) if len(made) else made[:, 0], "b": made.max(1) if len(made) else made[:, 1]})
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def link(lists: DataFrame, features: DataFrame, rule: Rule, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) from lists (v, node, block).
 
     ``features`` has one row (node, features of ``rule``) per node; or one per (node, kind), where lists of even v use kind 0 and
-    others kind 1. ``verify`` returns the true links of pairs (a, b) as a written table.
+    others kind 1. ``verify`` returns the true links of pairs (a, b) as a written table; ``sets`` gives (node, values) of a table of nodes: its whole set, ascending.
     """
 
-    def propose(rows: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    def propose(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
         if "kind" in features.columns:
             met = rows.withColumn("kind", F.pmod("v", F.lit(2))).join(features, ["node", "kind"])
         else:
             met = rows.join(features, "node")
-        found = written(_proposed(met, rule, whole), "proposed")
+        found = written(_proposed(met, rule, last), "proposed")
         return found, found.filter("b is not null").select("a", "b").distinct()
 
-    def placed(open_rows: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-        """(v, node, root, blocks, block) of the lists whose nodes are in more than one component."""
-        rows = open_rows.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("root"))
-        some = rows.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1")
-        blocks = F.ceil(F.col("n") / BLOCK)
-        rows = rows.join(some.select("v", blocks.alias("blocks")), "v")
-        return rows.withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("blocks")).cast("long"))
-
-    one = lambda df: df.withColumn("i", F.col("block")).withColumn("j", F.col("block"))
-    found, pairs = propose(one(lists.withColumn("root", F.col("node"))))
+    def placed(nodes: DataFrame, key: str) -> DataFrame:
+        """Rows (key, node) of those keys whose nodes are in more than one component, with root and counts."""
+        rows = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sums = [F.sum("n").alias("values")] if "n" in nodes.columns else []
+        some = rows.groupBy(key).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members"), *sums).filter("r0 <> r1")
+        return rows.join(some.drop("r0", "r1"), key)
+
+    def in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+        """Every row once for each pair of blocks (i, j) that its block is in."""
+        rows = rows.withColumn("blocks", F.ceil(blocks).cast("long")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        return rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    own_block = F.col("block")
+    first, pairs = propose(lists.withColumn("root", F.col("node")).withColumn("i", own_block).withColumn("j", own_block), False)
     tried = written(pairs, "tried")
     links = verify(tried)
     roots = written(components(links), "roots")
     discard(links)
-    for turn in (1, 2):
-        left = found.filter("b is null").select("v", F.col("a").alias("node"))
-        if left.isEmpty():
-            break
-        rows = placed(left, roots, turn)
-        if turn == 1:
-            rows = one(rows)
-        else:
-            every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-            rows = rows.withColumn("other", every).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        last = found
-        found, pairs = propose(rows, whole=turn == 2)
-        discard(last)
-        new = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        if not new.isEmpty():
-            links = verify(new)
-            roots = written(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
-            discard(links)
-        tried = tried.unionByName(new)
-    discard(found)
+    left = first.filter("b is null").select("v", F.col("a").alias("node"))
+    if left.isEmpty():
+        discard(first, tried)
+        return roots
+
+    second, pairs = propose(in_blocks(placed(left, "v"), F.col("members") / BLOCK), True)
+    new = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+    as_edges = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if not new.isEmpty():
+        links = verify(new)
+        roots = written(components(links.unionByName(as_edges())), "roots")
+        discard(links)
+    left = second.filter("b is null").select(F.col("a").alias("node")).distinct()
+    if not left.isEmpty():
+        clusters = written(components(tried.unionByName(new).unionByName(as_edges())), "clusters")
+        kinds = features.groupBy("node").agg(F.first("n").alias("n"))
+        met = left.join(clusters.select("node", F.col("root").alias("cluster")), "node").join(kinds, "node")
+        rows = written(placed(met, "cluster").drop("n"), "apart")
+        rows_sets = sets(rows.select("node"))
+        blocks = F.greatest(F.col("members") / CLUSTER_NODES, F.col("values") / CLUSTER_VALUES)
+        whole = in_blocks(rows, blocks).drop("values").join(rows_sets, "node").join(features, "node")
+        links = written(_last_links(whole, rule), "links")
+        roots = written(components(links.unionByName(as_edges())), "roots")
+        discard(links, rows, rows_sets, clusters)
+    discard(first, second, tried, new)
     return roots

@@ -158,20 +158,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: own.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
         close = written(likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent), "likely")
-        texts = _texts(docs, own, close)
+        texts = _texts(docs, own, close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct())
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
         links = written(confirmed(close.join(side("a"), "a").join(side("b"), "b"), width, percent), "links")
         discard(close, texts)
         return links
 
-    roots = link(lists, features, rule, verify)
+    def sets(nodes: DataFrame) -> DataFrame:
+        texts = _texts(docs, own, nodes)
+        values = written(texts.mapInArrow(whole, "node long, values array<long>"), "sets")
+        discard(texts)
+        return values
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, raw, offsets in tx.slices(batch["text"]):
+                value, at, _ = shingle_sets(raw, offsets, width)
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], ["node", "values"])
+
+    roots = link(lists, features, rule, verify, sets)
     discard(lists, own)
     return sk.select("doc_id", "n_shingles", "node"), roots
 
 
-def _texts(docs: DataFrame, own: DataFrame, close: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in pairs ``close``; one row of ``docs`` stands for each node."""
-    nodes = close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct()
+def _texts(docs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of nodes; one row of ``docs`` stands for each."""
     wanted = written(own.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id")), "wanted")
     met = docs.select("doc_id", "text").join(small(wanted), F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
 
