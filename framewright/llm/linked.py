@@ -25,10 +25,11 @@ from framewright.llm import text as tx
 from framewright.llm.store import discard, written
 
 #: Nodes of a list that one task compares; lists of up to BRIEF nodes are compared many at once.
-BLOCK, BRIEF = 8192, 12
+BLOCK, BRIEF = 8192, 16
 CLUSTER_NODES, CLUSTER_VALUES = 1024, 1 << 19
 _HELD = 1 << 20  # edges that a task joins before it sends them on
 _FAR = 1 << 20
+_AT_ONCE = 512  # lists up to this length are compared in one step
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,8 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     """(v, node, block) of the values that at least two different nodes hold; block numbers each BLOCK nodes of a list.
 
     Each partition is sorted and read as a stream that remembers one row, so a list of any length
-    needs no memory. Repeated postings count once.
+    needs no memory. Repeated postings count once. Lists of the same nodes often come by the dozen: those that a batch holds whole
+    are named by their nodes (v stays odd or even), so that equal lists are found as one later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,15 +96,19 @@ def shared_lists(postings: DataFrame) -> DataFrame:
             place = count - base[group]
             out = np.flatnonzero(new & (place > 0))
             lead = out[place[out] == 1]  # second nodes: the first of the list goes out with them
-            leads_v, leads_node = v[lead], np.where(group[lead] > 0, node[np.concatenate([[0], first])[group[lead]]], last_node if carried else 0)
+            leads_node = np.where(group[lead] > 0, node[np.concatenate([[0], first])[group[lead]]], last_node if carried else 0)
             if carried and lead_out:
-                fresh = group[lead] > 0
-                leads_v, leads_node = leads_v[fresh], leads_node[fresh]
+                leads_node = leads_node[group[lead] > 0]
+            whole = np.zeros(len(first) + 1, bool)
+            whole[1:-1] = True
+            names = np.concatenate([[0], np.add.reduceat(np.where(new, tx.mix(node.view(np.uint64)), 0).astype(np.uint64), first).view(np.int64) if len(first) else []]).astype(np.int64)
+            v = np.where(whole[group], (names[group] & ~np.int64(1)) | (v & 1), v)
+            leads_v = v[lead] if not (carried and lead_out) else v[lead][group[lead] > 0]
             if len(out):
                 rows = [np.concatenate([leads_v, v[out]]), np.concatenate([leads_node, node[out]]), np.concatenate([np.zeros(len(leads_v), np.int64), place[out] // BLOCK])]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2], pa.int64())], ["v", "node", "block"])
             lead_out = place[-1] > 0
-            last_v, last_node, at_last = int(v[-1]), int(node[-1]), int(place[-1])
+            last_v, last_node, at_last = int(batch["v"][-1].as_py()), int(node[-1]), int(place[-1])
 
     dealt = postings.select("v", "node").repartition("v").sortWithinPartitions("v", "node")
     return dealt.mapInArrow(run, "v long, node long, block long")
@@ -218,13 +224,18 @@ def _forest(rows: dict, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     n = len(rows["node"])
     best, via, todo = np.full(n, _FAR, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
     at, to, allowed = [], [], np.zeros(n, np.int64)
+
+    def distances(k: np.ndarray | int) -> np.ndarray:
+        d = rule.distance({c: rows[c][k, None] if isinstance(k, np.ndarray) else rows[c][k] for c in rule.names}, {c: rows[c] for c in rule.names})
+        d[rows["root"] == (rows["root"][k, None] if isinstance(k, np.ndarray) else rows["root"][k])] = -1
+        return d
+
+    every = distances(np.arange(n)) if n <= _AT_ONCE else None
     k = 0
     for _ in range(n):
         todo[k] = False
-        d = rule.distance({c: rows[c][k] for c in rule.names}, {c: rows[c] for c in rule.names})
-        same = rows["root"] == rows["root"][k]
-        allowed[k] = np.count_nonzero((d < _FAR) & ~same)
-        d[same] = -1
+        d = every[k] if every is not None else distances(k)
+        allowed[k] = np.count_nonzero((d >= 0) & (d < _FAR))
         closer = d < best
         best[closer], via[closer] = d[closer], k
         open_rows = np.flatnonzero(todo)
@@ -249,6 +260,9 @@ def _proposed(rows: DataFrame, rule: Rule, last: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _whole_groups(batches, ("v", "i", "j")):
+            once = np.ones(len(found["v"]), bool)
+            once[1:] = np.logical_or.reduce([found[k][1:] != found[k][:-1] for k in ("v", "i", "j", "node")])
+            found = {c: x[once] for c, x in found.items()}
             new = np.ones(len(found["v"]), bool)
             new[1:] = np.logical_or.reduce([found[k][1:] != found[k][:-1] for k in ("v", "i", "j")])
             start = np.flatnonzero(new)
@@ -331,7 +345,7 @@ def link(lists: DataFrame, features: DataFrame, rule: Rule, verify: Callable[[Da
     """(node, root) from lists (v, node, block).
 
     ``features`` has one row (node, features of ``rule``) per node; or one per (node, kind), where lists of even v use kind 0 and
-    others kind 1. ``verify`` returns the true links of pairs (a, b) as a written table; ``sets`` gives (node, values) of a table of nodes: its whole set, ascending.
+    others kind 1. ``lists`` is a written table, discarded here. ``verify`` returns the true links of pairs (a, b) as a written table; ``sets`` gives (node, values) of a table of nodes: its whole set, ascending.
     """
 
     def propose(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
@@ -360,7 +374,7 @@ def link(lists: DataFrame, features: DataFrame, rule: Rule, verify: Callable[[Da
     tried = written(pairs, "tried")
     links = verify(tried)
     roots = written(components(links), "roots")
-    discard(links)
+    discard(links, lists)
     left = first.filter("b is null").select("v", F.col("a").alias("node"))
     if left.isEmpty():
         discard(first, tried)

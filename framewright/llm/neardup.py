@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
                 yield pa.RecordBatch.from_arrays([batch["node"].slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], ["node", "values"])
 
     roots = link(lists, features, rule, verify, sets)
-    discard(lists, own)
+    discard(own)
     return sk.select("doc_id", "n_shingles", "node"), roots
 
 

@@ -30,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
