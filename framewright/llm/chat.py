@@ -1,16 +1,17 @@
 """Chat formatting: schema fingerprints select declarative mappings to canonical turns.
 
-DataFrame functions only. A record is a JSON text. Its fingerprint is a hash of its sorted nested
+DataFrame functions only. A record is a JSON text, or a struct column. Its fingerprint is a hash of its sorted nested
 field paths (types and key order do not count); each known layout is a row of data: an example
 of its shape, and where its roles and texts are. Records of an unknown layout yield no turns and
-are returned by ``unmatched``.
+are returned by ``unmatched``. Spark's JSON parser takes strings of up to 20 million characters; a longer payload that it
+does not parse raises an error, and such records are passed as columns (``column_turns``), which have no such limit.
 
 The template writes ``<turn role>text</turn>`` and a newline per turn. ``&``, ``<`` and ``>`` in
 roles and texts are written as ``&a``, ``&l`` and ``&g``, so no text can hold a control string, and reading back
 restores it exactly. The loss mask is a list of (start, length) in code points, over the texts of
 assistant turns.
 
-Defined results: a null text or role is empty; turns with equal numbers are ordered by role, then
+Defined results: a null text or role is empty; very long texts are kept whole; turns with equal numbers are ordered by role, then
 text; repeated rows are repeated turns; a conversation without rows does not occur in the output;
 rows with a null conversation id form one conversation with a null id. Further columns are not read.
 A long conversation is formatted in segments of SEGMENT turn numbers, so that only its strings, not its
@@ -19,12 +20,16 @@ rows, meet in one place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 SEGMENT = 256
+#: Payloads of so many characters may be beyond the parser's limits.
+LONGEST_JSON = 16_000_000
 TURN = "array<struct<role:string,text:string>>"
 
 
@@ -37,68 +42,116 @@ class Layout:
     turns: str
 
 
-def _text(path: str) -> str:
-    return f"coalesce(try_variant_get(v, '{path}', 'string'), '')"
+@dataclass(frozen=True)
+class Reader:
+    """How SQL reads a record: a string at a path, and turns from a list of objects at a path."""
+
+    text: Callable[[str], str]
+    turns: Callable[[str, str, str, bool], str]
+
+
+def _said(role: str, text: str, human: bool) -> str:
+    role = f"CASE {role} WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE {role} END" if human else role
+    return f"named_struct('role', coalesce({role}, ''), 'text', coalesce({text}, ''))"
+
+
+_VARIANT = Reader(
+    lambda path: f"coalesce(try_variant_get(v, '$.{path}', 'string'), '')",
+    lambda path, role, text, human: f"transform(try_variant_get(v, '$.{path}', 'array<variant>'), x -> {_said(f"try_variant_get(x, '$.{role}', 'string')", f"try_variant_get(x, '$.{text}', 'string')", human)})",
+)
+_STRUCT = Reader(
+    lambda path: f"coalesce(cast(v.{path} AS string), '')",
+    lambda path, role, text, human: f"transform(v.{path}, x -> {_said(f'cast(x.{role} AS string)', f'cast(x.{text} AS string)', human)})",
+)
+
 
+@dataclass(frozen=True)
+class Layout:
+    """``shape``: an example record; ``turns``: SQL over the record ``v`` giving TURN, by the reader of its form."""
+
+    name: str
+    shape: str
+    turns: Callable[[Reader], str]
 
-def _list(path: str, role: str, text: str) -> str:
-    """Turns from a list of objects; ``role`` is a field or an SQL expression of x."""
-    items = f"try_variant_get(v, '{path}', 'array<variant>')"
-    return f"transform({items}, x -> named_struct('role', {role}, 'text', coalesce(try_variant_get(x, '$.{text}', 'string'), '')))"
 
+def _pair(prompt: str, answer: str) -> Callable[[Reader], str]:
+    return lambda r: f"array({_said("'user'", r.text(prompt), False)}, {_said("'assistant'", r.text(answer), False)})"
 
-def _pair(prompt: str, answer: str) -> str:
-    return f"array(named_struct('role', 'user', 'text', {prompt}), named_struct('role', 'assistant', 'text', {answer}))"
+
+def _with_input(r: Reader) -> str:
+    asked = f"concat({r.text('instruction')}, CASE WHEN {r.text('input')} = '' THEN '' ELSE concat('\\n\\n', {r.text('input')}) END)"
+    return f"array({_said("'user'", asked, False)}, {_said("'assistant'", r.text('output'), False)})"
 
 
-_FROM = "CASE try_variant_get(x, '$.from', 'string') WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce(try_variant_get(x, '$.from', 'string'), '') END"
-_ROLE = "coalesce(try_variant_get(x, '$.role', 'string'), '')"
 LAYOUTS = (
-    Layout("turn", '{"role":"","text":""}', f"array(named_struct('role', {_text('$.role')}, 'text', {_text('$.text')}))"),
-    Layout("messages", '{"messages":[{"role":"","content":""}]}', _list("$.messages", _ROLE, "content")),
-    Layout("shared", '{"conversations":[{"from":"","value":""}]}', _list("$.conversations", _FROM, "value")),
-    Layout("prompt", '{"prompt":"","response":""}', _pair(_text("$.prompt"), _text("$.response"))),
-    Layout("completion", '{"prompt":"","completion":""}', _pair(_text("$.prompt"), _text("$.completion"))),
-    Layout("instruction", '{"instruction":"","output":""}', _pair(_text("$.instruction"), _text("$.output"))),
-    Layout(
-        "instruction_input",
-        '{"instruction":"","input":"","output":""}',
-        _pair(f"concat({_text('$.instruction')}, CASE WHEN {_text('$.input')} = '' THEN '' ELSE concat('\\n\\n', {_text('$.input')}) END)", _text("$.output")),
-    ),
-    Layout("question", '{"question":"","answer":""}', _pair(_text("$.question"), _text("$.answer"))),
-    Layout("nested", '{"data":{"prompt":"","response":""}}', _pair(_text("$.data.prompt"), _text("$.data.response"))),
+    Layout("turn", '{"role":"","text":""}', lambda r: f"array({_said(r.text('role'), r.text('text'), False)})"),
+    Layout("messages", '{"messages":[{"role":"","content":""}]}', lambda r: r.turns("messages", "role", "content", False)),
+    Layout("shared", '{"conversations":[{"from":"","value":""}]}', lambda r: r.turns("conversations", "from", "value", True)),
+    Layout("prompt", '{"prompt":"","response":""}', _pair("prompt", "response")),
+    Layout("completion", '{"prompt":"","completion":""}', _pair("prompt", "completion")),
+    Layout("instruction", '{"instruction":"","output":""}', _pair("instruction", "output")),
+    Layout("instruction_input", '{"instruction":"","input":"","output":""}', _with_input),
+    Layout("question", '{"question":"","answer":""}', _pair("question", "answer")),
+    Layout("nested", '{"data":{"prompt":"","response":""}}', _pair("data.prompt", "data.response")),
 )
 
 
+def _shape(kind: DataType) -> str:
+    """The shape of a column's type, as ``fingerprint`` writes that of a variant."""
+    if isinstance(kind, StructType):
+        return f"OBJECT<{', '.join(f'{f.name}: {_shape(f.dataType)}' for f in sorted(kind.fields, key=lambda f: f.name))}>"
+    return f"ARRAY<{_shape(kind.elementType)}>" if isinstance(kind, ArrayType) else "*"
+
+
 def fingerprint(v: Column) -> Column:
     """Hash of the nested field names of a variant: its schema with the types of leaves left out.
 
     Spark lists object keys in sorted order, so key order does not count.
     """
-    shape = F.regexp_replace(F.schema_of_variant(v), r"\b(STRING|VOID|VARIANT|BIGINT|BOOLEAN|DOUBLE|FLOAT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\d+\))(?=[,>]|$)", "*")
-    return F.xxhash64(shape)
+    return F.xxhash64(_variant_shape(v))
+
+
+def _variant_shape(v: Column) -> Column:
+    return F.regexp_replace(F.schema_of_variant(v), r"\b(STRING|VOID|VARIANT|BIGINT|BOOLEAN|DOUBLE|FLOAT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\d+\))(?=[,>]|$)", "*")
 
 
 def known_layouts(spark, layouts=LAYOUTS) -> DataFrame:
-    """One row per layout: fingerprint and name. As many rows as there are layouts: broadcast."""
+    """One row per layout: fingerprint, name, shape. As many rows as there are layouts: broadcast."""
     rows = spark.createDataFrame([(x.name, x.shape) for x in layouts], "layout string, shape string")
-    return rows.select(fingerprint(F.try_parse_json("shape")).alias("fingerprint"), "layout")
+    v = F.try_parse_json("shape")
+    return rows.select(fingerprint(v).alias("fingerprint"), "layout", _variant_shape(v).alias("shape"))
 
 
-def canonical_turns(records: DataFrame, layouts=LAYOUTS, payload: str = "payload") -> DataFrame:
-    """``records`` with ``layout`` and ``turns`` (role, text) in place of the JSON payload."""
-    parsed = records.withColumn("v", F.try_parse_json(payload)).drop(payload).withColumn("fingerprint", fingerprint(F.col("v")))
-    found = parsed.join(F.broadcast(known_layouts(records.sparkSession, layouts)), "fingerprint", "left")
+def _mapped(marked: DataFrame, layouts, reader: Reader, fits: Callable[[Layout], bool] = lambda x: True) -> DataFrame:
+    """``layout`` and ``turns`` in place of the record ``v`` and its fingerprint."""
+    found = marked.join(F.broadcast(known_layouts(marked.sparkSession, layouts).drop("shape")), "fingerprint", "left")
     turns = F.lit(None).cast(TURN)
     for x in layouts:
-        turns = F.when(F.col("layout") == x.name, F.expr(x.turns).cast(TURN)).otherwise(turns)
+        if fits(x):
+            turns = F.when(F.col("layout") == x.name, F.expr(x.turns(reader)).cast(TURN)).otherwise(turns)
     return found.withColumn("turns", turns).drop("v", "fingerprint")
 
 
+def canonical_turns(records: DataFrame, layouts=LAYOUTS, payload: str = "payload") -> DataFrame:
+    """``records`` with ``layout`` and ``turns`` (role, text) in place of the JSON payload."""
+    v = F.try_parse_json(payload)
+    too_long = v.isNull() & (F.char_length(payload) >= LONGEST_JSON)
+    v = F.when(too_long, F.raise_error(F.lit("a payload is too long for the JSON parser: pass it as columns")).cast("variant")).otherwise(v)
+    return _mapped(records.withColumn("v", v).drop(payload).withColumn("fingerprint", fingerprint(F.col("v"))), layouts, _VARIANT)
+
+
+def column_turns(records: DataFrame, layouts=LAYOUTS, record: str = "record") -> DataFrame:
+    """``records`` with ``layout`` and ``turns`` in place of a struct column, whose field paths are those of every row."""
+    shape = F.lit(_shape(records.schema[record].dataType))
+    marked = records.withColumnRenamed(record, "v").withColumn("fingerprint", F.xxhash64(shape))
+    known = {r.shape: r.layout for r in known_layouts(records.sparkSession, layouts).select("shape", "layout").collect()}  # as many as layouts
+    return _mapped(marked, layouts, _STRUCT, lambda x: known.get(_shape(records.schema[record].dataType)) == x.name)
+
+
 def unmatched(records: DataFrame, layouts=LAYOUTS, payload: str = "payload") -> DataFrame:
     """The records whose layout is not known, with their fingerprints, to add mappings for."""
     marked = records.withColumn("fingerprint", fingerprint(F.try_parse_json(payload)))
-    return marked.join(F.broadcast(known_layouts(records.sparkSession, layouts).drop("layout")), "fingerprint", "left_anti")
+    return marked.join(F.broadcast(known_layouts(records.sparkSession, layouts).select("fingerprint")), "fingerprint", "left_anti")
 
 
 def escape(s: Column) -> Column:

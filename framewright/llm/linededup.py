@@ -190,16 +190,12 @@ def line_roots(lines: DataFrame) -> DataFrame:
     features = sent.select("node", "n", F.inline("signs")).join(members, ["node", "kind"], "left_semi")
     features = written(features.dropDuplicates(["node", "kind"]), "line-signs")
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        return sent.select("node", "line").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    def texts(nodes: DataFrame) -> DataFrame:
+        return written(sent.select("node", "line").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = written(texts_of(nodes), "line-texts")
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"))
-        links = written(_similar(pairs.join(side("a"), "a").join(side("b"), "b")), "links")
-        discard(texts)
-        return links
+        return written(_similar(pairs.join(side("a"), "a").join(side("b"), "b")), "links")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,10 +204,10 @@ def line_roots(lines: DataFrame) -> DataFrame:
                 values, before = _sets(part["line"])
                 yield pa.RecordBatch.from_arrays([part["node"], pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(values.view(np.int64)))], ["node", "values"])
 
-    def sets(nodes: DataFrame) -> DataFrame:
-        return written(texts_of(nodes).mapInArrow(whole, "node long, values array<long>"), "line-sets")
+    def sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+        return written(texts.join(nodes, "node", "left_semi").mapInArrow(whole, "node long, values array<long>"), "line-sets")
 
-    roots = link(lists, features, RULE, verify, sets)
+    roots = link(lists, features, RULE, texts, verify, sets)
     discard(features)
     return roots
 
@@ -231,12 +227,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return cuts
 
 
-def without_repeated_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """``docs`` with repeated lines cut from ``text``; with ``counts``, also n_lines and n_removed."""
+def without_repeated_lines(docs: DataFrame, counts: bool = False, counts_as: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with repeated lines cut from ``text``; with ``counts``, also the numbers of lines and of those cut."""
     key, ident, cuts = (fresh_name(docs, x) for x in ("key", "ident", "cuts"))
     gone = repeated_lines(docs).select(F.col("doc_id").alias(ident), F.col("key").alias(key), F.col("numbers").alias(cuts))
     met = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(key)), "left")
     pieces = F.split("text", "\n")
     kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(cuts, i.cast("long"))), "\n")
-    lines = [F.size(pieces).cast("long").alias("n_lines"), F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    lines = [F.size(pieces).cast("long").alias(counts_as[0]), F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias(counts_as[1])] if counts else []
     return met.select(*[F.when(F.col(cuts).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns], *lines)

@@ -341,11 +341,14 @@ def _last_links(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def link(lists: DataFrame, features: DataFrame, rule: Rule, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(lists: DataFrame, features: DataFrame, rule: Rule, texts: Callable, verify: Callable, sets: Callable) -> DataFrame:
     """(node, root) from lists (v, node, block).
 
     ``features`` has one row (node, features of ``rule``) per node; or one per (node, kind), where lists of even v use kind 0 and
-    others kind 1. ``lists`` is a written table, discarded here. ``verify`` returns the true links of pairs (a, b) as a written table; ``sets`` gives (node, values) of a table of nodes: its whole set, ascending.
+    others kind 1. ``lists`` is a written table, discarded here.
+
+    ``texts(nodes)`` writes what is needed of the nodes that may get links, once; ``verify(pairs, texts)`` writes the true links of
+    pairs (a, b); ``sets(nodes, texts)`` writes (node, values) of a table of nodes: its whole set, ascending.
     """
 
     def propose(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
@@ -372,19 +375,21 @@ def link(lists: DataFrame, features: DataFrame, rule: Rule, verify: Callable[[Da
     own_block = F.col("block")
     first, pairs = propose(lists.withColumn("root", F.col("node")).withColumn("i", own_block).withColumn("j", own_block), False)
     tried = written(pairs, "tried")
-    links = verify(tried)
+    involved = first.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
+    known = texts(involved)
+    links = verify(tried, known)
     roots = written(components(links), "roots")
     discard(links, lists)
     left = first.filter("b is null").select("v", F.col("a").alias("node"))
     if left.isEmpty():
-        discard(first, tried)
+        discard(first, tried, known)
         return roots
 
     second, pairs = propose(in_blocks(placed(left, "v"), F.col("members") / BLOCK), True)
     new = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
     as_edges = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not new.isEmpty():
-        links = verify(new)
+        links = verify(new, known)
         roots = written(components(links.unionByName(as_edges())), "roots")
         discard(links)
     left = second.filter("b is null").select(F.col("a").alias("node")).distinct()
@@ -393,11 +398,11 @@ def link(lists: DataFrame, features: DataFrame, rule: Rule, verify: Callable[[Da
         kinds = features.groupBy("node").agg(F.first("n").alias("n"))
         met = left.join(clusters.select("node", F.col("root").alias("cluster")), "node").join(kinds, "node")
         rows = written(placed(met, "cluster").drop("n"), "apart")
-        rows_sets = sets(rows.select("node"))
+        rows_sets = sets(rows.select("node"), known)
         blocks = F.greatest(F.col("members") / CLUSTER_NODES, F.col("values") / CLUSTER_VALUES)
         whole = in_blocks(rows, blocks).drop("values").join(rows_sets, "node").join(features, "node")
         links = written(_last_links(whole, rule), "links")
         roots = written(components(links.unionByName(as_edges())), "roots")
         discard(links, rows, rows_sets, clusters)
-    discard(first, second, tried, new)
+    discard(first, second, tried, new, known)
     return roots

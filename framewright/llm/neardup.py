@@ -155,20 +155,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     # A pair at the threshold is ruled out with probability below 10^-9.
     rule = Rule(percent, _WORDS, 1, most_differing(_WORDS * 64, max(1 - percent / 100, 0.01) / 2, 1e-9))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         side = lambda x: own.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
         close = written(likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent), "likely")
-        texts = _texts(docs, own, close.select(F.col("a").alias("node")).union(close.select(F.col("b").alias("node"))).distinct())
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
         links = written(confirmed(close.join(side("a"), "a").join(side("b"), "b"), width, percent), "links")
-        discard(close, texts)
+        discard(close)
         return links
 
-    def sets(nodes: DataFrame) -> DataFrame:
-        texts = _texts(docs, own, nodes)
-        values = written(texts.mapInArrow(whole, "node long, values array<long>"), "sets")
-        discard(texts)
-        return values
+    def sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+        return written(texts.join(nodes, "node", "left_semi").mapInArrow(whole, "node long, values array<long>"), "sets")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +172,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
                 value, at, _ = shingle_sets(raw, offsets, width)
                 yield pa.RecordBatch.from_arrays([batch["node"].slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value.view(np.int64)))], ["node", "values"])
 
-    roots = link(lists, features, rule, verify, sets)
+    roots = link(lists, features, rule, lambda nodes: _texts(docs, own, nodes), verify, sets)
     discard(own)
     return sk.select("doc_id", "n_shingles", "node"), roots
 

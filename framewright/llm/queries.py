@@ -57,13 +57,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of ``conversations`` is a record of the layout turn; conversation -7 is one of the layout messages."""
+    """Each row of ``conversations`` is a record of the layout turn; conversation -7 is a JSON record of the layout messages."""
     rows = table(spark, sf_dir, "conversations")
     said = "\\### Assistant: </turn> ok"
-    turn_json = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"})
-    records = rows.select("conv_id", "turn", turn_json.alias("payload"))
     extra = spark.createDataFrame([(-7, 0, json.dumps({"messages": [{"role": r, "content": said} for r in ("user", "assistant")]}))], "conv_id long, turn long, payload string")
-    turns = chat.canonical_turns(records.unionByName(extra)).select("conv_id", "turn", F.posexplode("turns").alias("at", "said"))
+    turns = chat.column_turns(rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.struct("role", "text").alias("record")))
+    turns = turns.unionByName(chat.canonical_turns(extra)).select("conv_id", "turn", F.posexplode("turns").alias("at", "said"))
     return chat.digests(chat.formatted(turns.select("conv_id", (F.col("turn") + F.col("at")).alias("turn"), "said.role", "said.text")))
 
 

@@ -386,13 +386,13 @@ def test_link_long_list(spark, monkeypatch):
     values = spark.createDataFrame(list(sets.items()), "node long, values array<long>")
     asked = []
 
-    def verify(pairs):
+    def verify(pairs, _):
         asked.append(pairs.count())
         return written(pairs.join(known, ["a", "b"]), "links")
 
     lists = linked.shared_lists(rows.selectExpr("7L v", "node").unionByName(rows.selectExpr("8L v", "node").filter("node % 2 = 0")).repartition(5))
     assert lists.count() == 3600 + sum(k % 2 == 0 for k in nodes)
-    got = linked.link(written(lists, "lists"), rows, linked.Rule(30, 1, 1, 8), verify, lambda x: written(values.join(x, "node", "left_semi"), "sets"))
+    got = linked.link(written(lists, "lists"), rows, linked.Rule(30, 1, 1, 8), lambda x: written(x, "texts"), verify, lambda x, _: written(values.join(x, "node", "left_semi"), "sets"))
     found = {x.node: x.root for x in got.collect()}
     assert {k: found.get(k, k) for k in word} == _components(word, links)
     assert len(asked) == 2 and sum(asked) < 5 * len(nodes)

@@ -1,6 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import hashlib
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from framewright.llm import chat, chunkdedup, decontaminate, linededup, mixing, neardup, quality, suffixdedup, toxicity, urls
 
@@ -121,3 +125,14 @@ def test_chat_layouts(spark):
     assert all([tuple(t) for t in got[i]] == [("user", "hi"), ("assistant", "yo")] for i in range(8))
     assert got[8] is None and got[9] is None and got[10] is None
     assert sorted(r.id for r in chat.unmatched(df).collect()) == [8, 9, 10]
+
+
+def test_chat_very_long_text(spark):
+    """A text of 21 million characters comes back whole from columns; as JSON it is refused, never lost."""
+    long = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.struct(F.lit("assistant").alias("role"), F.expr("repeat('<&\u00e9 abcd', 3000000)").alias("text")).alias("record"))
+    turns = chat.column_turns(long).select("conv_id", "turn", F.explode("turns").alias("t")).select("conv_id", "turn", "t.role", "t.text")
+    row = chat.digests(chat.formatted(turns)).first()
+    whole = "<&\u00e9 abcd" * 3_000_000
+    assert (row.n_turns, row.loss_chars, row.loss_sha256) == (1, 24_000_000, hashlib.sha256(whole.encode()).hexdigest())
+    with pytest.raises(Exception, match="too long"):
+        chat.canonical_turns(long.select("conv_id", F.to_json("record").alias("payload"))).collect()
