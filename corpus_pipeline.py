@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. Null and empty
-texts pass through all filters (they are not toxic, hold no lines, duplicate nothing and match no
-item) and weigh nothing in the mix. Rows equal in doc_id and text count as copies of one another from
+texts of the input pass through all filters (they are not toxic, hold no lines, duplicate nothing and match no
+item) and weigh nothing in the mix; a document whose last word goes with the repeated lines is dropped there. Rows equal in doc_id and text count as copies of one another from
 the near-duplicate stage on.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import decontaminate, linededup, mixing, neardup, toxicity
-from framewright.llm.store import written
+from framewright.llm.store import fresh_name, written
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,14 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document, or the same one, has already; n_chars follows."""
-    return linededup.without_repeated_lines(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Documents without the lines that an earlier document, or the same one, has already; n_chars follows.
+
+    A document of which no word is left goes: all of it stands elsewhere.
+    """
+    names = fresh_name(docs, "lines"), fresh_name(docs, "cut")
+    found = linededup.without_repeated_lines(docs, counts=True, counts_as=names)
+    found = found.filter((F.col(names[1]) == 0) | F.col("text").rlike(mixing.WORD))
+    return found.select(*docs.columns).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
