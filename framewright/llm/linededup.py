@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import text as tx
 from framewright.llm.linked import Rule, link, most_differing, shared_lists
-from framewright.llm.store import discard, fresh_name, written
+from framewright.llm.store import discard, fresh_name, nodes_of, written
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 10, 4
@@ -37,7 +37,10 @@ LONG = 192
 RULE = Rule(PERCENT, 2, 2, most_differing(_K, 0.75 * (1 - PERCENT / 100), 1e-6))
 _OWNERS = 16  # bits for the number of a line in ``tx.distinct``
 _SEEN = 1 << 20
-_A = np.random.default_rng(11).integers(1, 1 << 63, _K, dtype=np.uint64) * tx.U64(2) + tx.U64(1)
+#: Lines of lists that stay open get a signature of so many values by functions.
+_SHARP = 128
+SHARP_RULE = Rule(PERCENT, _SHARP // 32, 2, most_differing(_SHARP, 0.75 * (1 - PERCENT / 100), 1e-6))
+_A = np.random.default_rng(11).integers(1, 1 << 63, _SHARP, dtype=np.uint64) * tx.U64(2) + tx.U64(1)
 
 
 def shingles(raw: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,14 +62,21 @@ def shingles(raw: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
     return values, before
 
 
-def _by_functions(values: np.ndarray, before: np.ndarray) -> np.ndarray:
-    out = np.empty((len(before) - 1, _K), np.uint64)
+def _by_functions(values: np.ndarray, before: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The least product of each run of values with each factor."""
+    out = np.empty((len(before) - 1, len(factors)), np.uint64)
     hashed = np.empty_like(values)
-    for k in range(_K):
-        out[:, k] = np.minimum.reduceat(np.multiply(values, _A[k], out=hashed), before[:-1])
+    for k, factor in enumerate(factors):
+        out[:, k] = np.minimum.reduceat(np.multiply(values, factor, out=hashed), before[:-1])
     return out
 
 
+def _packed(signature: np.ndarray, words: int) -> np.ndarray:
+    """Two bits of each value, in ``words`` columns."""
+    each = signature.shape[1] // words
+    return ((signature & tx.U64(3)).reshape(len(signature), words, each) << (np.arange(each, dtype=np.uint64) * tx.U64(2))).sum(2)
+
+
 def _by_bins(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Of ascending values the first in each of _K equal parts of their range."""
     n = len(before) - 1
@@ -90,19 +100,18 @@ def signs(values: np.ndarray, before: np.ndarray) -> list[tuple[np.ndarray, np.n
     """For both kinds of signature, from the distinct shingles of lines: the lines that have it, their band hashes (even ones for the first kind) and signature words."""
     size = np.diff(before)
     found = []
-    for kind, chosen, make in ((0, size * PERCENT <= LONG * 100, _by_functions), (1, size >= LONG, _by_bins)):
+    for kind, chosen, make in ((0, size * PERCENT <= LONG * 100, lambda v, b: _by_functions(v, b, _A[:_K])), (1, size >= LONG, _by_bins)):
         rows = np.flatnonzero(chosen & (size > 0))
         if not len(rows):
             found.append((rows, np.zeros((0, BANDS), np.uint64), np.zeros((0, 2), np.uint64)))
             continue
         use = np.repeat(chosen, size)
         signature = tx.mix(make(values[use], np.concatenate([[0], np.cumsum(size[rows])])))
-        pairs = (signature & tx.U64(3)).reshape(len(rows), 2, _K // 2) << (np.arange(_K // 2, dtype=np.uint64) * tx.U64(2))
         total = np.zeros((len(rows), BANDS), np.uint64)
         for r in range(ROWS):
             total = tx.mix(total * tx.U64(31) + signature[:, r::ROWS])
         total = tx.mix(total + np.arange(BANDS, dtype=np.uint64))
-        found.append((rows, (total & ~tx.U64(1)) | tx.U64(kind), pairs.sum(2)))
+        found.append((rows, (total & ~tx.U64(1)) | tx.U64(kind), _packed(signature, 2)))
     return found
 
 
@@ -193,7 +202,21 @@ def line_roots(lines: DataFrame) -> DataFrame:
     def texts(nodes: DataFrame) -> DataFrame:
         return written(sent.select("node", "line").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
 
+    def sharp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                values, before = _sets(part["line"])
+                packed = _packed(tx.mix(_by_functions(values, before, _A)), SHARP_RULE.words)
+                columns = [np.ascontiguousarray(packed[:, k]).view(np.int64) for k in range(SHARP_RULE.words)]
+                yield pa.RecordBatch.from_arrays([part["node"], pa.array(np.diff(before)), *map(pa.array, columns)], ["node", *SHARP_RULE.names])
+
+    def sharper(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+        met = texts.join(nodes, "node", "left_semi")
+        return written(met.mapInArrow(sharp, "node long" + "".join(f", {c} long" for c in SHARP_RULE.names)), "line-signs")
+
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        texts = texts.join(nodes_of(pairs), "node", "left_semi")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"))
         return written(_similar(pairs.join(side("a"), "a").join(side("b"), "b")), "links")
 
@@ -207,7 +230,7 @@ def line_roots(lines: DataFrame) -> DataFrame:
     def sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         return written(texts.join(nodes, "node", "left_semi").mapInArrow(whole, "node long, values array<long>"), "line-sets")
 
-    roots = link(lists, features, RULE, texts, verify, sets)
+    roots = link(lists, features, RULE, texts, verify, sets, (SHARP_RULE, sharper))
     discard(features)
     return roots
 

@@ -26,7 +26,7 @@ from framewright.llm.store import discard, written
 
 #: Nodes of a list that one task compares; lists of up to BRIEF nodes are compared many at once.
 BLOCK, BRIEF = 8192, 16
-CLUSTER_NODES, CLUSTER_VALUES = 1024, 1 << 19
+CLUSTER_NODES, CLUSTER_VALUES = 4096, 1 << 22
 _HELD = 1 << 20  # edges that a task joins before it sends them on
 _FAR = 1 << 20
 _AT_ONCE = 512  # lists up to this length are compared in one step
@@ -341,17 +341,18 @@ def _last_links(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def link(lists: DataFrame, features: DataFrame, rule: Rule, texts: Callable, verify: Callable, sets: Callable) -> DataFrame:
+def link(lists: DataFrame, features: DataFrame, rule: Rule, texts: Callable, verify: Callable, sets: Callable, sharper: tuple[Rule, Callable] | None = None) -> DataFrame:
     """(node, root) from lists (v, node, block).
 
     ``features`` has one row (node, features of ``rule``) per node; or one per (node, kind), where lists of even v use kind 0 and
     others kind 1. ``lists`` is a written table, discarded here.
 
     ``texts(nodes)`` writes what is needed of the nodes that may get links, once; ``verify(pairs, texts)`` writes the true links of
-    pairs (a, b); ``sets(nodes, texts)`` writes (node, values) of a table of nodes: its whole set, ascending.
+    pairs (a, b); ``sets(nodes, texts)`` writes (node, values) of a table of nodes: its whole set, ascending. ``sharper`` has a rule with longer
+    signatures for the lists that stay open, and writes the features of it: ``make(nodes, texts)``, one row per node.
     """
 
-    def propose(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    def propose(rows: DataFrame, last: bool, features: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
         if "kind" in features.columns:
             met = rows.withColumn("kind", F.pmod("v", F.lit(2))).join(features, ["node", "kind"])
         else:
@@ -373,7 +374,7 @@ def link(lists: DataFrame, features: DataFrame, rule: Rule, texts: Callable, ver
         return rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     own_block = F.col("block")
-    first, pairs = propose(lists.withColumn("root", F.col("node")).withColumn("i", own_block).withColumn("j", own_block), False)
+    first, pairs = propose(lists.withColumn("root", F.col("node")).withColumn("i", own_block).withColumn("j", own_block), False, features, rule)
     tried = written(pairs, "tried")
     involved = first.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
     known = texts(involved)
@@ -385,7 +386,12 @@ def link(lists: DataFrame, features: DataFrame, rule: Rule, texts: Callable, ver
         discard(first, tried, known)
         return roots
 
-    second, pairs = propose(in_blocks(placed(left, "v"), F.col("members") / BLOCK), True)
+    rows = written(placed(left, "v"), "open")
+    if sharper:
+        rule, make = sharper
+        features = make(rows.select("node").distinct(), known)
+    second, pairs = propose(in_blocks(rows, F.col("members") / BLOCK), True, features, rule)
+    discard(rows)
     new = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
     as_edges = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not new.isEmpty():
@@ -395,8 +401,7 @@ def link(lists: DataFrame, features: DataFrame, rule: Rule, texts: Callable, ver
     left = second.filter("b is null").select(F.col("a").alias("node")).distinct()
     if not left.isEmpty():
         clusters = written(components(tried.unionByName(new).unionByName(as_edges())), "clusters")
-        kinds = features.groupBy("node").agg(F.first("n").alias("n"))
-        met = left.join(clusters.select("node", F.col("root").alias("cluster")), "node").join(kinds, "node")
+        met = left.join(clusters.select("node", F.col("root").alias("cluster")), "node").join(features.select("node", "n").distinct(), "node")
         rows = written(placed(met, "cluster").drop("n"), "apart")
         rows_sets = sets(rows.select("node"), known)
         blocks = F.greatest(F.col("members") / CLUSTER_NODES, F.col("values") / CLUSTER_VALUES)
@@ -404,5 +409,5 @@ def link(lists: DataFrame, features: DataFrame, rule: Rule, texts: Callable, ver
         links = written(_last_links(whole, rule), "links")
         roots = written(components(links.unionByName(as_edges())), "roots")
         discard(links, rows, rows_sets, clusters)
-    discard(first, second, tried, new, known)
+    discard(first, second, tried, new, known, *([features] if sharper else []))
     return roots

@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from framewright.llm import text as tx
 from framewright.llm.linked import Rule, link, most_differing, shared_lists
-from framewright.llm.store import discard, fresh_name, small, written
+from framewright.llm.store import discard, fresh_name, nodes_of, small, written
 
 KEPT = 128
 #: Signatures of _WORDS * 64 bits, each of the smallest shingle under a function of its own. At similarity t a bit differs
@@ -158,6 +158,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         side = lambda x: own.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
         close = written(likely(pairs.join(side("a"), "a").join(side("b"), "b"), percent), "likely")
+        texts = texts.join(nodes_of(close), "node", "left_semi")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
         links = written(confirmed(close.join(side("a"), "a").join(side("b"), "b"), width, percent), "links")
         discard(close)

@@ -42,8 +42,19 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables made by ``written`` that nothing will read again."""
+    """Delete the files of tables made by ``written`` that nothing will read again.
+
+    Spark frees the shuffle files of jobs that are over when the driver collects its garbage, by itself every half hour; here it is asked to.
+    """
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    """The distinct nodes of a written table of pairs (a, b), marked for broadcast if they are few."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return F.broadcast(nodes) if 2 * pairs.count() <= BROADCAST_ROWS else nodes
