@@ -391,7 +391,6 @@ def link(lists: DataFrame, features: DataFrame, rule: Rule, texts: Callable, ver
         rule, make = sharper
         features = make(rows.select("node").distinct(), known)
     second, pairs = propose(in_blocks(rows, F.col("members") / BLOCK), True, features, rule)
-    discard(rows)
     new = written(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
     as_edges = lambda: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not new.isEmpty():
@@ -400,7 +399,10 @@ def link(lists: DataFrame, features: DataFrame, rule: Rule, texts: Callable, ver
         discard(links)
     left = second.filter("b is null").select(F.col("a").alias("node")).distinct()
     if not left.isEmpty():
-        clusters = written(components(tried.unionByName(new).unionByName(as_edges())), "clusters")
+        # What round two proposed, and its components, tie each node that is left to its possible partners.
+        ties = pairs.unionByName(rows.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+        clusters = written(components(ties), "clusters")
+        discard(rows)
         met = left.join(clusters.select("node", F.col("root").alias("cluster")), "node").join(features.select("node", "n").distinct(), "node")
         rows = written(placed(met, "cluster").drop("n"), "apart")
         rows_sets = sets(rows.select("node"), known)
