@@ -27,7 +27,7 @@ from framewright.llm.store import discard, written
 #: Nodes of a list that one task compares; lists of up to BRIEF nodes are compared many at once.
 BLOCK, BRIEF = 8192, 16
 CLUSTER_NODES, CLUSTER_VALUES = 4096, 1 << 22
-_HELD = 1 << 20  # edges that a task joins before it sends them on
+_HELD = 1 << 18  # edges that a task joins before it sends them on
 _FAR = 1 << 20
 _AT_ONCE = 512  # lists up to this length are compared in one step
 
@@ -136,7 +136,7 @@ def _joined(edges: DataFrame) -> DataFrame:
                     parent[b] = b = parent[parent[b]]
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-            if len(parent) > _HELD:
+            if len(parent) > 4 * _HELD:
                 yield stars(parent)
                 parent = {}
         yield stars(parent)
@@ -147,12 +147,13 @@ def _joined(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge (a, b); root is the smallest node of its component.
 
-    Tasks join their own edges first. Then large-star and small-star steps alternate; each round is written, so a lost executor costs one round.
+    Tasks join _HELD edges each first. Then large-star and small-star steps alternate; each round is written, so a lost executor costs one round.
     """
 
     def down(df: DataFrame, a: str, b: str) -> DataFrame:
         return df.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
 
+    edges = edges.coalesce(max(1, -(-edges.count() // _HELD)))
     edges, before = written(down(_joined(edges), "a", "b"), "edges"), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
@@ -401,8 +402,9 @@ def link(lists: DataFrame, features: DataFrame, rule: Rule, texts: Callable, ver
     if not left.isEmpty():
         # What round two proposed, and its components, tie each node that is left to its possible partners.
         ties = pairs.unionByName(rows.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
+        ties = written(ties, "ties")
         clusters = written(components(ties), "clusters")
-        discard(rows)
+        discard(rows, ties)
         met = left.join(clusters.select("node", F.col("root").alias("cluster")), "node").join(features.select("node", "n").distinct(), "node")
         rows = written(placed(met, "cluster").drop("n"), "apart")
         rows_sets = sets(rows.select("node"), known)
