@@ -112,23 +112,22 @@ def fingerprint(v: Column) -> Column:
 
 
 def _variant_shape(v: Column) -> Column:
+    """The schema of a variant without the types of its leaves, as ``_shape`` writes that of a column."""
     return F.regexp_replace(F.schema_of_variant(v), r"\b(STRING|VOID|VARIANT|BIGINT|BOOLEAN|DOUBLE|FLOAT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\(\d+,\d+\))(?=[,>]|$)", "*")
 
 
 def known_layouts(spark, layouts=LAYOUTS) -> DataFrame:
-    """One row per layout: fingerprint, name, shape. As many rows as there are layouts: broadcast."""
+    """One row per layout: fingerprint and name. As many rows as there are layouts: broadcast."""
     rows = spark.createDataFrame([(x.name, x.shape) for x in layouts], "layout string, shape string")
-    v = F.try_parse_json("shape")
-    return rows.select(fingerprint(v).alias("fingerprint"), "layout", _variant_shape(v).alias("shape"))
+    return rows.select(fingerprint(F.try_parse_json("shape")).alias("fingerprint"), "layout")
 
 
-def _mapped(marked: DataFrame, layouts, reader: Reader, fits: Callable[[Layout], bool] = lambda x: True) -> DataFrame:
-    """``layout`` and ``turns`` in place of the record ``v`` and its fingerprint."""
-    found = marked.join(F.broadcast(known_layouts(marked.sparkSession, layouts).drop("shape")), "fingerprint", "left")
+def _mapped(marked: DataFrame, layouts) -> DataFrame:
+    """``layout`` and ``turns`` in place of the variant ``v`` and its fingerprint."""
+    found = marked.join(F.broadcast(known_layouts(marked.sparkSession, layouts)), "fingerprint", "left")
     turns = F.lit(None).cast(TURN)
     for x in layouts:
-        if fits(x):
-            turns = F.when(F.col("layout") == x.name, F.expr(x.turns(reader)).cast(TURN)).otherwise(turns)
+        turns = F.when(F.col("layout") == x.name, F.expr(x.turns(_VARIANT)).cast(TURN)).otherwise(turns)
     return found.withColumn("turns", turns).drop("v", "fingerprint")
 
 
@@ -137,15 +136,17 @@ def canonical_turns(records: DataFrame, layouts=LAYOUTS, payload: str = "payload
     v = F.try_parse_json(payload)
     too_long = v.isNull() & (F.char_length(payload) >= LONGEST_JSON)
     v = F.when(too_long, F.raise_error(F.lit("a payload is too long for the JSON parser: pass it as columns")).cast("variant")).otherwise(v)
-    return _mapped(records.withColumn("v", v).drop(payload).withColumn("fingerprint", fingerprint(F.col("v"))), layouts, _VARIANT)
+    return _mapped(records.withColumn("v", v).drop(payload).withColumn("fingerprint", fingerprint(F.col("v"))), layouts)
 
 
 def column_turns(records: DataFrame, layouts=LAYOUTS, record: str = "record") -> DataFrame:
     """``records`` with ``layout`` and ``turns`` in place of a struct column, whose field paths are those of every row."""
-    shape = F.lit(_shape(records.schema[record].dataType))
-    marked = records.withColumnRenamed(record, "v").withColumn("fingerprint", F.xxhash64(shape))
-    known = {r.shape: r.layout for r in known_layouts(records.sparkSession, layouts).select("shape", "layout").collect()}  # as many as layouts
-    return _mapped(marked, layouts, _STRUCT, lambda x: known.get(_shape(records.schema[record].dataType)) == x.name)
+    fields = _shape(records.schema[record].dataType)
+    known = known_layouts(records.sparkSession, layouts).filter(F.col("fingerprint") == F.xxhash64(F.lit(fields))).select("layout").first()
+    chosen = next((x for x in layouts if known and x.name == known.layout), None)
+    turns = F.lit(None) if chosen is None else F.expr(chosen.turns(_STRUCT))
+    found = records.withColumnRenamed(record, "v").withColumn("layout", F.lit(chosen and chosen.name).cast("string"))
+    return found.withColumn("turns", turns.cast(TURN)).drop("v")
 
 
 def unmatched(records: DataFrame, layouts=LAYOUTS, payload: str = "payload") -> DataFrame:
