@@ -142,9 +142,9 @@ def best_hypothesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hypotheses(spark, sf_dir)[2]
 
 
-@query(f"""WITH {CUBE}, {FRAMES}, {EXPECTED}, {RESIDUAL}, {HYPOTHESIS} SELECT r.x, r.y, r.frame,
-    round(CASE WHEN s > 0.1 AND r.x % 2 = 0 THEN value - e.expected * s ELSE value END, 6) + 0.0 AS value
-    FROM res r LEFT JOIN best b ON b.x = r.x AND b.y = r.y AND s > 0.1 LEFT JOIN expected e ON e.x = r.x AND e.y = r.y AND e.frame = r.frame AND e.signal_time = b.signal_time""")
+@query(f"""WITH {CUBE}, {FRAMES}, {EXPECTED}, {RESIDUAL}, {HYPOTHESIS}, picked AS MATERIALIZED (SELECT x, y, signal_time, s FROM best WHERE s > 0.1 AND x % 2 = 0),
+    own AS MATERIALIZED (SELECT e.x, e.y, e.frame, e.expected * s AS share FROM expected e JOIN picked USING (x, y, signal_time))
+    SELECT r.x, r.y, r.frame, round(CASE WHEN o.frame IS NULL THEN value ELSE value - share END, 6) + 0.0 AS value FROM res r LEFT JOIN own o USING (x, y, frame)""")
 def residual_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residual with the expected signal taken out at selected pixels that have a signal time, the plain one elsewhere."""
     res, expected, best = _hypotheses(spark, sf_dir)
