@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def center(size: Column | int) -> Column:
@@ -87,3 +88,23 @@ def injection_angle(label: Column) -> Column:
     """Degrees of the six azimuthal positions; another label is an error."""
     found = F.create_map(*[F.lit(x) for pair in INJECTION_ANGLES.items() for x in pair])[label]
     return checked(found.isNotNull(), found, "unknown azimuthal position")
+
+
+def with_setting(config: Column, path: str, value: Column) -> Column:
+    """A nested field of a struct, named by its dotted path, set to ``value``."""
+    return config.withField(path, value)
+
+
+def flattened(name: str, schema: StructType, separator: str = "_") -> list[Column]:
+    """The leaves of a struct column, each named by the fields that lead to it."""
+    def leaves(path: tuple[str, ...], kind: StructType) -> list[Column]:
+        out = []
+        for f in kind.fields:
+            below = (*path, f.name)
+            if isinstance(f.dataType, StructType):
+                out += leaves(below, f.dataType)
+            else:
+                out.append(F.col(".".join(f"`{p}`" for p in (name, *below))).alias(separator.join(below)))
+        return out
+
+    return leaves((), schema)

@@ -152,6 +152,20 @@ def target_metrics(maps: DataFrame, targets: DataFrame, cx: float, cy: float, ra
     return t_test(samples, ["map_id", "target", "rotation"], F.col("is_signal"), "flux")
 
 
+def stellar_fluxes(templates: DataFrame, metadata: DataFrame, radius: float, size_x: int, size_y: int) -> DataFrame:
+    """(dataset, stellar_flux): flux in a circle at the centre of each template, scaled to the integration time of the stack and by the filter."""
+    met = templates.join(metadata, "dataset")
+    scaled = met.select("dataset", "x", "y", (F.col("value") * F.col("dit_stack") / F.col("dit_psf_template") / F.col("nd_filter")).alias("value"))
+    at = scaled.select("dataset").distinct().select("dataset", F.lit(size_x / 2 - 0.5).alias("px"), F.lit(size_y / 2 - 0.5).alias("py"))
+    return aperture_sums(scaled, at, radius, ["dataset"], ["dataset"]).withColumnRenamed("flux", "stellar_flux")
+
+
+def less_baseline(maps: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Maps less the map made without any source (x, y, value); missing values count as 0."""
+    b = baseline.select("x", "y", F.col("value").alias("_b"))
+    return maps.join(b, ["x", "y"], "left").withColumn("value", F.coalesce(F.col("value") - F.col("_b"), F.lit(0.0))).drop("_b")
+
+
 def contrasts(fluxes: DataFrame) -> DataFrame:
     """Contrast and throughput from (raw_flux, background_flux, stellar_flux, expected_contrast)."""
     ratio = (F.col("raw_flux") - F.col("background_flux")) / F.col("stellar_flux")

@@ -100,20 +100,42 @@ def derotated(cube: DataFrame, frames: DataFrame, size_x: int, size_y: int, orde
     return rows.withColumnsRenamed({"x0": "x", "y0": "y"})
 
 
+def _stamped(cube: DataFrame, positions: DataFrame, template: Column, template_size: int) -> DataFrame:
+    """The cube with ``scale`` times the template added around (px, py) of each of ``positions``."""
+    half = (template_size - 1) / 2
+    stamp = positions.select("dataset", "frame", "px", "py", "scale", F.explode(template).alias("t"))
+    stamp = stamp.select("dataset", "frame", F.explode(_cells(F.col("px") - half + F.col("t.tx"), F.col("py") - half + F.col("t.ty"), F.col("t.tv") * F.col("scale"))).alias("c"))
+    added = stamp.groupBy("dataset", "frame", F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("c.v").alias("added"))
+    out = cube.join(added, ["dataset", "frame", "x", "y"], "left").withColumn("value", F.col("value") + F.coalesce("added", F.lit(0.0)))
+    return out.drop("added")
+
+
 def injected(cube: DataFrame, frames: DataFrame, template: Column, template_size: int, separation: float, angle_deg: float, magnitude: float, size_x: int, size_y: int, dit_ratio: float = 1.0, extra: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """The cube with a scaled template added at the position of each frame, and those positions.
 
     With ``extra`` = -1 a known source is taken out.
     """
-    phi = F.radians(F.lit(angle_deg) + 90 - F.col("parang"))
-    positions = frames.select("dataset", "frame", (separation * F.cos(phi) + center(size_x)).alias("px"), (separation * F.sin(phi) + center(size_y)).alias("py"))
-    half = (template_size - 1) / 2
     scale = flux_ratio(F.lit(float(magnitude))) * dit_ratio * extra
-    stamp = positions.select("dataset", "frame", "px", "py", F.explode(template).alias("t"))
-    stamp = stamp.select("dataset", "frame", F.explode(_cells(F.col("px") - half + F.col("t.tx"), F.col("py") - half + F.col("t.ty"), F.col("t.tv") * scale)).alias("c"))
-    added = stamp.groupBy("dataset", "frame", F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("c.v").alias("added"))
-    out = cube.join(added, ["dataset", "frame", "x", "y"], "left").withColumn("value", F.col("value") + F.coalesce("added", F.lit(0.0)))
-    return out.drop("added"), positions
+    positions = source_positions(frames.select("dataset", "frame", "parang"), F.lit(float(separation)), F.lit(float(angle_deg)), size_x, size_y)
+    return _stamped(cube, positions.withColumn("scale", scale), template, template_size), positions
+
+
+def source_positions(frames: DataFrame, separation: Column, angle_deg: Column, size_x: int, size_y: int) -> DataFrame:
+    """(dataset, frame, px, py) of a source that moves with the angles."""
+    phi = F.radians(angle_deg + 90 - F.col("parang"))
+    return frames.withColumn("px", separation * F.cos(phi) + center(size_x)).withColumn("py", separation * F.sin(phi) + center(size_y)).drop("parang", "separation", "position_angle")
+
+
+def without_sources(cube: DataFrame, frames: DataFrame, template: Column, template_size: int, targets: DataFrame, metadata: DataFrame, size_x: int, size_y: int) -> DataFrame:
+    """The cube with all known sources of each dataset taken out, however many there are.
+
+    ``targets`` (dataset, name, separation in arcsec, position_angle, contrast), ``metadata`` one row per dataset. A source is the
+    template at its contrast, scaled by the integration times and the filter.
+    """
+    t = targets.join(metadata, "dataset").select("dataset", (F.col("separation") / F.col("pixscale")).alias("separation"), "position_angle",
+        (-flux_ratio(F.col("contrast")) * F.col("dit_stack") / F.col("dit_psf_template") / F.col("nd_filter")).alias("scale"))
+    moving = frames.select("dataset", "frame", "parang").join(t, "dataset")
+    return _stamped(cube, source_positions(moving, F.col("separation"), F.col("position_angle"), size_x, size_y), template, template_size)
 
 
 def expected_series(targets: DataFrame, frames: DataFrame, template, sigma: float, size_x: int, size_y: int) -> DataFrame:

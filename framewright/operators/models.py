@@ -14,6 +14,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.series import first_peak
+
 
 def least_squares(x: np.ndarray, y: np.ndarray, penalty: float = 0.0) -> np.ndarray:
     """Coefficients for centred x and y; ``penalty`` shrinks them."""
@@ -47,7 +49,8 @@ def fit_series(x: np.ndarray, y: np.ndarray, folds: int, model: str = "RidgeCV",
     """Residual of y under predictions from x, each fold predicted by a fit on the others.
 
     ``signal_fitting`` fits the expected signal along and drops it from the prediction (a negative share means a refit
-    without it); ``signal_masking`` fits where the signal is below 0.2, if a third of the rows is left.
+    without it); ``signal_masking`` fits where the signal is below 0.2, if a third of the rows is left. Rows without a y are neither
+    fitted nor predicted.
     """
     n = len(y)
     residual, signal, penalties = np.full(n, np.nan), [], []
@@ -56,7 +59,9 @@ def fit_series(x: np.ndarray, y: np.ndarray, folds: int, model: str = "RidgeCV",
     solve = BASE_MODELS[model]
     for k in range(folds):
         apply = fold == k
-        train = ~apply if folds > 1 else apply
+        train = (~apply if folds > 1 else apply) & np.isfinite(y)
+        if train.sum() < 2:
+            continue
         if mode == "signal_masking" and expected is not None:
             calm = train & ~(expected >= 0.2)
             if calm.sum() < 0.33 * train.sum():
@@ -84,7 +89,7 @@ def fit_series(x: np.ndarray, y: np.ndarray, folds: int, model: str = "RidgeCV",
         coefficients[k] = c
         signal.append(share)
         penalties.append(alpha)
-    return {"residual": residual, "coefficients": coefficients, "signal": float(np.mean(signal)), "penalty": float(np.mean(penalties))}
+    return {"residual": residual, "coefficients": coefficients, "signal": float(np.mean(signal)) if signal else np.nan, "penalty": float(np.mean(penalties)) if signal else np.nan}
 
 
 FIT_SCHEMA = "tx int, ty int, signal_time int, residual array<double>, px array<int>, py array<int>, coefficients array<double>, signal double, penalty double"
@@ -112,7 +117,7 @@ def fit_pixels(pairs: DataFrame, series: DataFrame, expected: DataFrame | None =
         if not len(p) or not (pdf.kind == 1).any():
             return pd.DataFrame(columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
         x = as_array(p.v).T
-        x = np.where(np.isnan(x), np.nanmean(x, 0), x)
+        x = np.where(np.isnan(x), np.nan_to_num(pd.DataFrame(x).mean().to_numpy()), x)
         y = as_array(pdf[pdf.kind == 1].v)[0]
         signals = [(int(r.signal_time), as_array([r.v])[0]) for r in pdf[pdf.kind == 2].itertuples()] or [(None, None)]
         out = []
@@ -124,6 +129,16 @@ def fit_pixels(pairs: DataFrame, series: DataFrame, expected: DataFrame | None =
     return rows.groupBy("tx", "ty").applyInPandas(run, FIT_SCHEMA)
 
 
+def expected_of_overlay(overlay: DataFrame, least: float = 0.2) -> DataFrame:
+    """(tx, ty, signal_time, e) of the pixels that an overlay (dataset, frame, x, y, value) reaches with more than ``least`` of its
+    largest value: its series over that value, and the first frame of its peak. For ``fit_pixels``, which fits all others without."""
+    top = overlay.groupBy("dataset").agg(F.max("value").alias("top"))
+    peak, frame = first_peak()
+    series = F.array_sort(F.collect_list(F.struct("frame", "value")))
+    rows = overlay.groupBy("dataset", "x", "y").agg(series.alias("s"), peak.alias("peak"), frame.cast("int").alias("signal_time")).join(top, "dataset").filter(F.col("peak") > least * F.col("top"))
+    return rows.select(F.col("x").alias("tx"), F.col("y").alias("ty"), "signal_time", F.transform("s", lambda c: c["value"] / F.col("top")).alias("e"))
+
+
 def fold_moments(pairs: DataFrame, cube: DataFrame, folds: int) -> DataFrame:
     """Additive statistics per target, predictor and fold: count, sums, squares and products. Train = total - fold."""
     a = cube.select(F.col("x").alias("tx"), F.col("y").alias("ty"), "frame", F.col("value").alias("b"))

@@ -29,6 +29,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.sum(a * b), F.when(norm > 0, norm)), F.lit(0.0))
 
 
+def admissible_covariates(expected: DataFrame, obscon: DataFrame, most: float = 0.5) -> DataFrame:
+    """(x, y, signal_time, key) of the covariates that may serve as predictors: those not too much like the expected signal.
+
+    All of them where the expected signal has a missing value or does not vary; a covariate that does not vary is out elsewhere.
+    """
+    o = obscon.select("frame", "key", F.col("value").alias("_o"))
+    e = F.col("expected")
+    g = expected.join(o, "frame").groupBy("x", "y", "signal_time", "key").agg(F.max(e.isNull()).alias("_gap"), F.min(e).alias("_low"), F.max(e).alias("_high"), pearson(e, F.col("_o")).alias("r"))
+    return g.filter(F.col("_gap") | (F.col("_low") == F.col("_high")) | (F.abs("r") <= most)).select("x", "y", "signal_time", "key", "r")
+
+
 def correlation_map(series: DataFrame, block: int = 256, epsilon: float = 2.220446049250313e-16) -> DataFrame:
     """Correlation over time of every two pixels (x, y) <= (x2, y2), from (x, y, v).
 

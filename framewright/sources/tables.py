@@ -69,6 +69,34 @@ def obscon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy(F.hour("ts").alias("frame"), F.col("parameter").alias("key")).agg(F.avg("value").alias("value")).withColumn("dataset", F.lit("items"))
 
 
+def covariates(spark: SparkSession, sf_dir: str, n_frames: int = 64) -> DataFrame:
+    """Events as covariates of the frames of the dense cube: the mean value of each kind of event that falls to a frame."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy((F.col("event_id") % n_frames).cast("int").alias("frame"), F.col("event_type").alias("key")).agg(F.avg(F.col("value").cast("double")).alias("value")).withColumn("dataset", F.lit("dense"))
+
+
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integration times, filter and pixel scale of each dataset: one row per nation."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    return n.select(F.col("n_nationkey").cast("int").alias("dataset"), (0.2 + 0.01 * k).alias("dit_stack"), F.lit(0.05).alias("dit_psf_template"), F.lit(0.0956).alias("lambda_over_d"),
+        (0.02 + 0.001 * (k % 3)).alias("nd_filter"), F.lit(0.0271).alias("pixscale"))
+
+
+def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known sources of each dataset: one row per supplier of the nation."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(F.col("s_nationkey").cast("int").alias("dataset"), F.col("s_name").alias("name"), (0.0271 * (3 + k % 5)).alias("separation"), (k * 37 % 360).cast("double").alias("position_angle"), (5.0 + k % 4).alias("contrast"))
+
+
+def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as one 11 x 11 template per dataset (the line number)."""
+    rows = table(spark, sf_dir, "lineitem")
+    cell = [(F.col(c) % 11).cast("int").alias(a) for c, a in (("l_partkey", "x"), ("l_suppkey", "y"))]
+    return rows.groupBy(F.col("l_linenumber").cast("int").alias("dataset"), *cell).agg((F.avg("l_extendedprice") / 1e4).alias("value"))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as a table of evaluation results."""
     rows = table(spark, sf_dir, "lineitem")
@@ -133,6 +161,24 @@ def one_template(psf: DataFrame) -> DataFrame:
     return psf.join(twice.select("dataset", ok.alias("ok")).filter("ok"), "dataset").drop("ok")
 
 
+def manifest(cube: DataFrame, frames: DataFrame, obscon: DataFrame, psf: DataFrame, metadata: DataFrame, targets: DataFrame) -> DataFrame:
+    """What an assembled dataset holds, one row each: frames, grid, field of angles, covariates, template, targets, and whether all is there.
+
+    All tables are keyed by dataset; each is summed up before the join. Complete: an angle for every frame, a template, one row of metadata.
+    """
+    c = cube.groupBy("dataset").agg(F.countDistinct("frame").alias("n_frames"), (F.max("x") + 1).alias("size_x"), (F.max("y") + 1).alias("size_y"))
+    a = frames.groupBy("dataset").agg(F.count("parang").alias("n_angles"), (F.max("parang") - F.min("parang")).alias("field"))
+    o = obscon.groupBy("dataset").agg(F.countDistinct("key").alias("n_covariates"))
+    p = psf.groupBy("dataset").agg(F.count("value").alias("n_template"))
+    m = metadata.groupBy("dataset").agg(F.count("*").alias("n_metadata"))
+    t = targets.groupBy("dataset").agg(F.count("*").alias("n_targets"))
+    out = c
+    for part in (a, o, p, m, t):
+        out = out.join(part, "dataset", "left")
+    out = out.fillna(0, ["n_angles", "n_covariates", "n_template", "n_metadata", "n_targets"])
+    return out.withColumn("complete", (F.col("n_angles") == F.col("n_frames")) & (F.col("n_template") > 0) & (F.col("n_metadata") == 1))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder named in spark.checkpoint.dir and read again; own folder only where that is unset."""
     spark = df.sparkSession
