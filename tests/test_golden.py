@@ -207,3 +207,14 @@ def test_template_and_labels_are_checked(spark):
     assert spark.range(1).select(fx.injection_angle(F.lit("b"))).first()[0] == 330
     with pytest.raises(PySparkException):
         spark.range(1).select(fx.injection_angle(F.lit("z"))).collect()
+
+
+def test_missing_target_values_are_left_out():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2))
+    y = x @ [1.0, 2.0] + 0.5
+    y[[4, 17]] = np.nan
+    f = models.fit_series(x, y, 3, "LinearRegression")
+    assert np.isnan(f["residual"][[4, 17]]).all()
+    assert np.abs(np.delete(f["residual"], [4, 17])).max() < 1e-9
+    assert np.isnan(models.fit_series(x, np.full(60, np.nan), 3, "LinearRegression")["residual"]).all()
