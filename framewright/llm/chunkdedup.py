@@ -60,7 +60,7 @@ def chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _chunk_rows(docs: DataFrame) -> DataFrame:
-    """Chunks with a digest (v, w) of 128 bits; ``sure`` ones have an earlier equal in their task, and digests of no meaning."""
+    """Chunks with a digest (v, w) of two independent hashes of 64 bits; ``sure`` ones have an earlier equal in their task, and digests of no meaning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {c: np.zeros(REMEMBERED, np.int64) for c in ("v", "w", "none", "doc_id", "key", "start")}
@@ -71,7 +71,7 @@ def _chunk_rows(docs: DataFrame) -> DataFrame:
                 left, right, doc = chunks(raw, offsets)
                 if not len(left):
                     continue
-                own = {"v": tx.span_hash(raw, left, right).view(np.int64), "w": tx.span_hash(raw ^ np.uint8(0x5A), left, right).view(np.int64)}
+                own = {"v": tx.span_hash(raw, left, right).view(np.int64), "w": tx.span_hash(raw, left, right, 1).view(np.int64)}
                 own["none"] = np.asarray(ids.is_null()).astype(np.int64)[doc]
                 own["doc_id"] = np.asarray(ids.fill_null(0)).astype(np.int64)[doc]
                 own["key"], own["start"] = batch["key"].slice(lo, hi - lo).to_numpy()[doc], left - offsets[doc]

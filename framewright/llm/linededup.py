@@ -252,10 +252,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, counts: bool = False, counts_as: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``; with ``counts``, also the numbers of lines and of those cut."""
-    key, ident, cuts = (fresh_name(docs, x) for x in ("key", "ident", "cuts"))
+    key, ident, cuts, parts = (fresh_name(docs, x) for x in ("key", "ident", "cuts", "parts"))
     gone = repeated_lines(docs).select(F.col("doc_id").alias(ident), F.col("key").alias(key), F.col("numbers").alias(cuts))
     met = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(key)), "left")
-    pieces = F.split("text", "\n")
-    kept = F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(cuts, i.cast("long"))), "\n")
-    lines = [F.size(pieces).cast("long").alias(counts_as[0]), F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias(counts_as[1])] if counts else []
+    met = met.withColumn(parts, F.split("text", "\n"))
+    n = F.size(parts).cast("long")
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), n - 1), cuts)  # by a set: linear in the lines of a text
+    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i.cast("int"))), "\n")
+    lines = [n.alias(counts_as[0]), F.coalesce(F.size(cuts), F.lit(0)).cast("long").alias(counts_as[1])] if counts else []
     return met.select(*[F.when(F.col(cuts).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns], *lines)

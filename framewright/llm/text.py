@@ -14,7 +14,6 @@ import pyarrow as pa
 
 U64 = np.uint64
 _MUL = 0x9E3779B97F4A7C15
-_INV = pow(_MUL, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes that end a token where punctuation is not wanted: all ASCII but letters and digits.
@@ -22,19 +21,9 @@ NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = _powers[base] = np.multiply.accumulate(have)
-    return have[:n]
+#: Blocks of 8 bytes of a span that are read for all spans at once, and the masks of its last one.
+_BLOCKS = 4
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,21 +111,58 @@ def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return points, before[offsets]
 
 
-def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, the same for equal bytes anywhere."""
-    n = len(raw)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _power(_MUL, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(_INV, n + 1)[starts] + (ends - starts).astype(np.uint64))
+def _place(index: np.ndarray, seed: int) -> np.ndarray:
+    """A fixed scrambled number for each place in a run, another one for each seed."""
+    return mix((index.astype(np.uint64) + U64(1)) * U64(_MUL) ^ U64(mix_int(seed)))
+
+
+def mix_int(seed: int) -> int:
+    """``mix`` of a plain number."""
+    return int(mix(np.array([seed * 2 + 1], np.uint64))[0])
+
+
+def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans, the same for equal bytes anywhere; another seed gives an independent hash.
+
+    Every block of 8 bytes is scrambled together with its place in the span before blocks are summed, so no
+    regular arrangement of the text makes the sum cancel out, as it does in a polynomial modulo 2^64.
+    """
+    size = (ends - starts).astype(np.int64)
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    at = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    starts = np.asarray(starts, np.int64)
+    total = np.zeros(len(size), np.uint64)
+    for k in range(_BLOCKS):
+        here = np.flatnonzero(size > 8 * k) if k else np.flatnonzero(size > 0)
+        if not len(here):
+            break
+        total[here] += mix((at[starts[here] + 8 * k] & _KEEP[np.minimum(size[here] - 8 * k, 8)]) ^ _place(np.array([k]), seed)[0])
+    long = np.flatnonzero(size > 8 * _BLOCKS)
+    if len(long):
+        n = -(-size[long] // 8) - _BLOCKS
+        for some in np.split(np.arange(len(long)), np.searchsorted(np.cumsum(n), np.arange(1, int(n.sum() >> 20) + 1) << 20)):
+            m, first = n[some], starts[long[some]]
+            before = np.concatenate([[0], np.cumsum(m)])
+            k = np.arange(before[-1]) - np.repeat(before[:-1], m) + _BLOCKS
+            block = at[np.repeat(first, m) + 8 * k] & _KEEP[np.minimum(np.repeat(size[long[some]], m) - 8 * k, 8)]
+            total[long[some]] += _totals(mix(block ^ _place(k, seed)), before)
+    return mix(total + size.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F))
+
+
+def _totals(values: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Sums modulo 2**64 of the runs values[before[i]:before[i + 1]]."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return sums[before[1:]] - sums[before[:-1]]
 
 
 def run_hash(values: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Hashes of whole runs of values: run i is values[before[i]:before[i + 1]]."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _power(_MUL, n), out=sums[1:])
-    lo, hi = before[:-1], before[1:]
-    return mix((sums[hi] - sums[lo]) * _power(_INV, n + 1)[lo] + (hi - lo).astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F))
+    """Hashes of whole runs of values: run i is values[before[i]:before[i + 1]]; each value is scrambled with its place."""
+    size = np.diff(before)
+    place = np.arange(before[0], before[-1]) - np.repeat(before[:-1], size)
+    total = _totals(mix(values[before[0] : before[-1]] ^ _place(place, 77)), before - before[0])
+    return mix(total + size.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F))
 
 
 def window_hash(hashes: np.ndarray, width: int, taps: tuple[int, ...] | None = None) -> np.ndarray:
