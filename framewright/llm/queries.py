@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import chat, chunkdedup, decontaminate, linededup, mixing, neardup, quality, suffixdedup, toxicity, urls
+from framewright.llm import chat, chunkdedup, collocations, decontaminate, linededup, mixing, neardup, quality, runs, suffixdedup, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,31 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(turns.select("conv_id", (F.col("turn") + F.col("at")).alias("turn"), "said.role", "said.text")))
 
 
+def _repeated_words(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by crc32 of doc_id, with their words from a place on replaced by repetitions of the first ones there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    rows = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapsed(_repeated_words(table(spark, sf_dir, "documents")))
+    found = found.withColumn("best", runs.strongest(F.col("runs")))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"], F.lit("\n")))))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("path_words")
+
+
 QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -77,6 +102,8 @@ QUERIES = {
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_chat_format": op10_chat_format,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 _SAID = "'\\### Assistant: </turn> ok'"
 ORACLES: dict[str, str] = {
@@ -93,4 +120,22 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(n + 15) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+        t AS (SELECT lang, piece, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+        q AS (SELECT lang, w, w || ' ' || lead(w) OVER p AS w2, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS w3, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p AS w4
+              FROM t WINDOW p AS (PARTITION BY piece ORDER BY i)),
+        total AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM q GROUP BY 1),
+        grams AS (SELECT lang, unnest([w, w2, w3, w4]) AS phrase FROM q),
+        f AS MATERIALIZED (SELECT lang, phrase, string_split(phrase, ' ') AS g, n FROM (SELECT lang, phrase, CAST(count(*) AS BIGINT) AS n FROM grams WHERE phrase IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30)),
+        longer AS (SELECT lang, unnest(CASE WHEN len(g) = 3 THEN [g[1:2], g[2:3]] ELSE [g[1:2], g[2:3], g[3:4], g[1:3], g[2:4]] END) AS g, n FROM f WHERE len(g) > 2),
+        over AS MATERIALIZED (SELECT lang, array_to_string(g, ' ') AS phrase, max(n) AS m FROM longer GROUP BY 1, 2),
+        c AS MATERIALIZED (SELECT lang, phrase, n, k, array_to_string(g[1:k], ' ') AS one, array_to_string(g[k + 1:], ' ') AS two FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f)),
+        cuts AS (SELECT c.lang, c.phrase, c.n AS a, k, l.n AS l, r.n AS r, CAST(2000000::HUGEINT * c.n // (l.n + r.n) AS BIGINT) AS score FROM c JOIN f l ON l.lang = c.lang AND l.phrase = one JOIN f r ON r.lang = c.lang AND r.phrase = two),
+        worst AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts),
+        kept AS (SELECT worst.lang, worst.phrase, a, l, r, score FROM worst LEFT JOIN over USING (lang, phrase) WHERE place = 1 AND NOT coalesce(100::HUGEINT * m >= 80::HUGEINT * a, FALSE)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
