@@ -158,33 +158,95 @@ def moment_ridge(moments: DataFrame, penalty: float) -> DataFrame:
     return moments.withColumn("slope", F.try_divide(cov, var + penalty))
 
 
-def pca_residuals(cube: DataFrame, n_components: list[int]) -> tuple[DataFrame, DataFrame]:
+#: Up to so many frames the whole frame-by-frame product is taken at once; beyond, a range finder of EXTRA columns more than components and PASSES passes.
+EXACT_FRAMES, EXTRA, PASSES = 512, 16, 4
+_BLOCK, _BRANCHES = 256, 32
+
+
+def _dense(pdf: pd.DataFrame, frames: np.ndarray) -> np.ndarray:
+    """One row per pixel over all frames, less its mean; frames that a pixel lacks count as its mean."""
+    d = np.zeros((len(pdf), len(frames)))
+    for i, (f, v) in enumerate(zip(pdf.f, pdf.v)):
+        values = np.asarray(v, float)
+        d[i, np.searchsorted(frames, f)] = values - values.mean()
+    return d
+
+
+def frame_product(pixels: DataFrame, frames: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """D D' ``right`` for the matrix D of frames x pixels, ``pixels`` (f, v) as arrays.
+
+    Each task sums over its pixels; the sums of blocks of frames are added up in two levels. The driver gets one row per block of frames.
+    """
+    shared = pixels.sparkSession.sparkContext.broadcast(right)
+    k = right.shape[1]
+
+    def part(parts):
+        from pyspark import TaskContext
+
+        total = np.zeros((len(frames), k))
+        for pdf in parts:
+            d = _dense(pdf, frames)
+            total += d.T @ (d @ shared.value)
+        for at in range(0, len(frames), _BLOCK):
+            yield pd.DataFrame({"block": [at // _BLOCK], "branch": [TaskContext.get().partitionId() % _BRANCHES], "m": [total[at : at + _BLOCK].tobytes()]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(m=[sum(np.frombuffer(m) for m in pdf.m).tobytes()])
+
+    schema = "block int, branch int, m binary"
+    sums = pixels.select("f", "v").mapInPandas(part, schema)
+    for keys in (["block", "branch"], ["block"]):
+        sums = sums.groupBy(*keys).applyInPandas(added, schema)
+    blocks = {r.block: np.frombuffer(r.m).reshape(-1, k) for r in sums.collect()}
+    return np.concatenate([blocks[i] for i in sorted(blocks)]) if blocks else np.zeros((len(frames), k))
+
+
+def principal_frames(pixels: DataFrame, frames: np.ndarray, top: int, exact_frames: int = EXACT_FRAMES) -> np.ndarray:
+    """The ``top`` leading left vectors of the matrix of frames x pixels: exact for few frames, else from a random range refined by passes."""
+    n = len(frames)
+    if n <= exact_frames:
+        basis = np.eye(n)
+        gram = frame_product(pixels, frames, basis)
+    else:
+        basis = np.linalg.qr(np.random.default_rng(7).normal(size=(n, min(n, top + EXTRA))))[0]
+        for _ in range(PASSES):
+            basis = np.linalg.qr(frame_product(pixels, frames, basis))[0]
+        gram = basis.T @ frame_product(pixels, frames, basis)
+    vectors = np.linalg.eigh((gram + gram.T) / 2)[1][:, ::-1]
+    return basis @ vectors[:, :top]
+
+
+def pca_residuals(cube: DataFrame, n_components: list[int], exact_frames: int = EXACT_FRAMES) -> tuple[DataFrame, DataFrame]:
     """(n, frame, x, y, value) after subtracting the rank-n reconstruction, and (component, frame, score).
 
-    The frame-by-frame Gram matrix is one self-join; its few thousand entries a side at most are solved on
-    the driver. Scores go back as a table; ranks share one running sum over components.
+    A pixel is one row with its series; a missing value counts as 0. The driver holds frames x components numbers (frames x frames up to ``exact_frames``).
     """
-    pixel = Window.partitionBy("x", "y")
-    d = cube.select("frame", "x", "y", (F.coalesce("value", F.lit(0.0)) - F.avg(F.coalesce("value", F.lit(0.0))).over(pixel)).alias("d"))
-    other = d.select(F.col("frame").alias("g"), "x", "y", F.col("d").alias("e"))
-    gram = d.join(other, ["x", "y"]).groupBy("frame", "g").agg(F.sum(F.col("d") * F.col("e")).alias("s"))
-    frames = [r["frame"] for r in cube.select("frame").distinct().orderBy("frame").collect()]
-    if len(frames) > 4096:
-        raise ValueError("bin the cube first: the Gram matrix is solved on the driver")
-    at = {f: i for i, f in enumerate(frames)}
-    g = np.zeros((len(frames), len(frames)))
-    for r in gram.collect():
-        g[at[r["frame"]], at[r["g"]]] = r["s"]
-    values, vectors = np.linalg.eigh(g)
-    top = min(max(n_components), len(frames))
-    scores = [(k, int(f), float(vectors[i, -1 - k])) for k in range(top) for f, i in at.items()]
+    from framewright.sources.tables import checkpointed
+
     spark = cube.sparkSession
-    u = spark.createDataFrame(scores, "component int, frame int, score double")
-    component = d.join(u, "frame").groupBy("component", "x", "y").agg(F.sum(F.col("d") * F.col("score")).alias("c"))
-    part = component.join(u, "component").withColumn("piece", F.col("c") * F.col("score"))
-    so_far = F.sum("piece").over(Window.partitionBy("x", "y", "frame").orderBy("component"))
-    rank = part.withColumn("model", so_far).withColumn("n", F.col("component") + 1).filter(F.col("n").isin(sorted(set(n_components))))
-    return rank.join(d, ["frame", "x", "y"]).select("n", "frame", "x", "y", (F.col("d") - F.col("model")).alias("value")), u
+    at = F.array_sort(F.collect_list(F.struct("frame", F.coalesce("value", F.lit(0.0)).alias("value"))))
+    pixels = cube.groupBy("x", "y").agg(at.alias("s")).select("x", "y", F.col("s.frame").alias("f"), F.col("s.value").alias("v"))
+    frames = np.array([r["frame"] for r in cube.select("frame").distinct().orderBy("frame").collect()], np.int64)  # one number a frame
+    if len(frames) > exact_frames:
+        pixels = checkpointed(pixels)
+    top = min(max(n_components), len(frames))
+    u = principal_frames(pixels, frames, top, exact_frames)
+    shared = spark.sparkContext.broadcast((frames, u))
+    ranks = sorted({n for n in n_components if n <= top})
+
+    def less(parts):
+        frames, u = shared.value
+        for pdf in parts:
+            d = _dense(pdf, frames)
+            c = d @ u
+            for n in ranks:
+                left = d - c[:, :n] @ u[:, :n].T
+                yield pd.DataFrame({"n": n, "x": pdf.x, "y": pdf.y, "f": list(pdf.f), "r": [row[np.searchsorted(frames, f)] for row, f in zip(left, pdf.f)]})
+
+    rows = pixels.mapInPandas(less, "n int, x int, y int, f array<int>, r array<double>")
+    rows = rows.select("n", "x", "y", F.explode(F.arrays_zip("f", "r")).alias("c")).select("n", F.col("c.f").alias("frame"), "x", "y", F.col("c.r").alias("value"))
+    scores = [(k, int(f), float(u[i, k])) for k in range(top) for i, f in enumerate(frames)]
+    return rows, spark.createDataFrame(scores, "component int, frame int, score double")
 
 
 def clustered(series: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:

@@ -1,6 +1,6 @@
 """Named queries over the given tables, with the DuckDB SQL they are held against."""
 
-from framewright.plans import basic, detection, search, studies
+from framewright.plans import basic, detection, search, studies, training
 
-QUERIES = {**basic.QUERIES, **detection.QUERIES, **search.QUERIES, **studies.QUERIES}
-ORACLES = {**basic.ORACLES, **detection.ORACLES, **search.ORACLES, **studies.ORACLES}
+QUERIES = {**basic.QUERIES, **detection.QUERIES, **search.QUERIES, **studies.QUERIES, **training.QUERIES}
+ORACLES = {**basic.ORACLES, **detection.ORACLES, **search.ORACLES, **studies.ORACLES, **training.ORACLES}

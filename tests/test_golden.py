@@ -161,6 +161,24 @@ def test_pca_matches_svd(spark):
         assert r.value == pytest.approx(want[r.frame, r.x * 5 + r.y], abs=1e-9)
 
 
+def test_pca_beyond_the_exact_product(spark):
+    rng = np.random.default_rng(6)
+    strong = rng.normal(size=(700, 3)) @ (np.array([[30.0], [20.0], [10.0]]) * rng.normal(size=(3, 30)))
+    v = strong + 0.1 * rng.normal(size=(700, 30))
+    v[5, 7] = np.nan
+    cube = spark.createDataFrame([(f, p // 5, p % 5, None if np.isnan(v[f, p]) else float(v[f, p])) for f in range(700) for p in range(30)], "frame int, x int, y int, value double")
+    got, scores = models.pca_residuals(cube, [2, 3])
+    m = np.nan_to_num(v)
+    m = m - m.mean(0)
+    u, s, w = np.linalg.svd(m, full_matrices=False)
+    assert scores.count() == 3 * 700
+    left = {n: np.zeros_like(m) for n in (2, 3)}
+    for r in got.collect():
+        left[r.n][r.frame, r.x * 5 + r.y] = r.value
+    for n in (2, 3):
+        assert left[n] == pytest.approx(m - (u[:, :n] * s[:n]) @ w[:n], abs=1e-6)
+
+
 def test_gaussian_fit(spark):
     rows = [(0, x, y, 3.0 * math.exp(-((x - 10.3) ** 2 + (y - 9.6) ** 2) / (2 * 1.7**2))) for x in range(21) for y in range(21)]
     maps = spark.createDataFrame(rows, "map_id int, x int, y int, value double")
