@@ -34,7 +34,7 @@ from framewright.llm.store import discard, written
 LEAST, TOP, WORDS = 30, 2000, 4
 #: Bits of the map of frequent neighbours, and bits of one of its rows.
 BITS, ROW = 1 << 26, 1 << 12
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 _GAP = _BREAK.copy()
