@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import chat, chunkdedup, collocations, decontaminate, linededup, mixing, neardup, quality, runs, suffixdedup, toxicity, urls
+from framewright.llm import chat, chunkdedup, collocations, decontaminate, langid, linededup, mixing, neardup, quality, runs, suffixdedup, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.held_out(F.col("doc_id"))
+    found = langid.identified(docs, langid.train(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents")).drop("path_words")
 
@@ -103,6 +110,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_chat_format": op10_chat_format,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_language_ppm": op12_language_ppm,
     "op13_collocations": op13_collocations,
 }
 _SAID = "'\\### Assistant: </turn> ok'"
