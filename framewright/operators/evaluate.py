@@ -18,13 +18,13 @@ from framewright.operators.series import cosine
 def best_hypothesis(residuals: DataFrame, expected: DataFrame, least: float = 0.0) -> DataFrame:
     """(x, y, signal_time, similarity) of the signal time whose expected series is most like its residual.
 
-    Similarity is clipped to [0, 1] and rounded to 3 places; series with a missing value do not count; the
+    Similarity is clipped to [0, 1] and rounded to 3 places, half to even; series with a missing value do not count; the
     earliest of equal signal times wins; no signal time where none is above ``least``.
     """
     met = residuals.join(expected, ["x", "y", "signal_time", "frame"])
     both = F.col("value").isNotNull() & F.col("expected").isNotNull()
     s = met.groupBy("x", "y", "signal_time").agg(cosine(F.col("value"), F.col("expected")).alias("s"), F.min(both).alias("whole"))
-    s = s.withColumn("s", F.when(F.col("whole"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "s")), 3)))
+    s = s.withColumn("s", F.when(F.col("whole"), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "s")), 3)))
     best = s.groupBy("x", "y").agg(F.max(F.when(F.col("s").isNotNull(), F.struct("s", (-F.col("signal_time")).alias("t")))).alias("b"))
     found = F.col("b.s") > least
     return best.select("x", "y", F.when(found, -F.col("b.t")).cast("int").alias("signal_time"), F.when(found, F.col("b.s")).otherwise(F.lit(0.0) if least < 0 else F.col("b.s")).alias("similarity"))

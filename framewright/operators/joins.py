@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.coords import center, flux_ratio, rotated
 from framewright.operators.masks import circle
+from framewright.operators.scans import bracketed
 
 
 def _tile(c: Column, width: float) -> Column:
@@ -46,17 +47,11 @@ def unmatched_frames(cube: DataFrame, frames: DataFrame) -> DataFrame:
     return have.join(want, ["dataset", "frame"], "full").filter("in_cube is null or in_frames is null")
 
 
-def nearest(values: DataFrame, grid: DataFrame, value: str, point: str, keys: list[str]) -> DataFrame:
-    """The nearest grid point of each value, the lower one on ties: neighbours found on the sorted union of both."""
-    tagged = values.withColumn("_at", F.col(value)).withColumn("_point", F.lit(None).cast("double")).withColumn("_row", F.lit(1))
-    points = grid.select(*keys, F.col(point).cast("double").alias("_at"), F.col(point).cast("double").alias("_point")).withColumn("_row", F.lit(0))
-    order = Window.partitionBy(*keys).orderBy("_at", "_row")
-    both = tagged.unionByName(points, allowMissingColumns=True)
-    below = F.last("_point", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("_point", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumn("_b", below).withColumn("_a", above).filter("_row = 1")
-    pick = F.when(F.col("_a").isNull() | (F.col("_at") - F.col("_b") <= F.col("_a") - F.col("_at")), F.col("_b")).otherwise(F.col("_a"))
-    return both.withColumn(point, pick).drop("_at", "_point", "_row", "_b", "_a")
+def nearest(values: DataFrame, grid: DataFrame, value: str, point: str, keys: list[str], width: float = 1024.0) -> DataFrame:
+    """The nearest grid point of each value, the lower one on ties: neighbours found in tiles of ``width``, which know the points next to them."""
+    met = bracketed(values, grid.select(*keys, point), value, point, keys, width)
+    low, high = F.col("below.at"), F.col("above.at")
+    return met.withColumn(point, F.when(high.isNull() | (F.col(value) - low <= high - F.col(value)), low).otherwise(high)).drop("below", "above")
 
 
 def _cells(x: Column, y: Column, value: Column) -> Column:

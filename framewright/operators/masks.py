@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.coords import center
+from framewright.operators.scans import numbered
 
 
 def crop_start(old: int, new: int) -> int:
@@ -71,9 +72,9 @@ def predictor(x: Column, y: Column, tx: Column, ty: Column, size_x: int, size_y:
 
 
 def split_of(pixels: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
-    """Every n-th position of each map in order of (x, y) goes to the same split."""
-    order = Window.partitionBy(*(keys or [])).orderBy("x", "y")
-    return pixels.withColumn("split", ((F.row_number().over(order) - 1) % n).cast("int"))
+    """Every n-th position of each map in order of (x, y) goes to the same split; columns of pixels are counted first."""
+    rows = numbered(pixels, list(keys or []), ["x", "y"], F.col("x"), "split")
+    return rows.withColumn("split", (F.col("split") % n).cast("int")).drop("_n")
 
 
 def zero_outside(value: Column, x: Column, y: Column, cx, cy, radius) -> Column:

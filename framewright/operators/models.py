@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.scans import spline_derivatives
 from framewright.operators.series import first_peak
 
 
@@ -284,25 +285,5 @@ def spline_slopes(t: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def interpolated(integrals: DataFrame, times: DataFrame, chunk_seconds: int = 86400) -> DataFrame:
-    """(parameter, t, value): derivative at ``times`` (parameter, t) of the spline through (parameter, t, integral).
-
-    Time is cut into chunks; each sees the knots of its neighbours too, for a knot's pull on a spline falls
-    by a factor of almost four at each further knot.
-    """
-    chunk = F.floor(F.col("t") / chunk_seconds)
-    k = integrals.select("parameter", F.explode(F.array(chunk - 1, chunk, chunk + 1)).alias("chunk"), "t", F.col("integral").alias("y"))
-    q = times.select("parameter", chunk.alias("chunk"), "t")
-
-    def run(key, knots: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        knots = knots.drop_duplicates("t").sort_values("t")
-        if len(knots) < 2 or not len(wanted):
-            return wanted.assign(value=np.nan)[["parameter", "t", "value"]]
-        t, y, x = knots.t.to_numpy(), knots.y.to_numpy(), wanted.t.to_numpy()
-        s = spline_slopes(t - t[0], y - y[0])
-        i = np.clip(np.searchsorted(t, x, "right") - 1, 0, len(t) - 2)
-        h, u = t[i + 1] - t[i], (x - t[i]) / (t[i + 1] - t[i])
-        value = 6 * (y[i + 1] - y[i]) / h * u * (1 - u) + s[i] * (1 - 4 * u + 3 * u**2) + s[i + 1] * (3 * u**2 - 2 * u)
-        return wanted.assign(value=np.where((x >= t[0]) & (x <= t[-1]), value, np.nan))[["parameter", "t", "value"]]
-
-    out = k.groupBy("parameter", "chunk").cogroup(q.groupBy("parameter", "chunk")).applyInPandas(run, "parameter string, t double, value double")
-    return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    """(parameter, t, value): derivative at ``times`` (parameter, t) of the one spline through (parameter, t, integral) of all readings of a parameter."""
+    return spline_derivatives(integrals.select("parameter", "t", F.col("integral").alias("y")), times, float(chunk_seconds))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.scans import running_areas
+
 
 def binned(df: DataFrame, k: int, keys: list[str], value: str = "value", how: Callable[[Column], Column] = F.avg) -> DataFrame:
     """Blocks of ``k`` frames, a short last one kept; ``how`` combines them."""
@@ -126,13 +128,10 @@ def signal_times(cube: DataFrame, k: int) -> DataFrame:
     return each.select("dataset", F.floor(F.col("i") * F.col("step") + 1e-9).cast("int").alias("signal_time"))
 
 
-def running_integral(readings: DataFrame) -> DataFrame:
-    """``integral``: sum over earlier readings of value times the seconds until the next one; missing readings are dropped."""
-    w = Window.partitionBy("parameter").orderBy("ts")
+def running_integral(readings: DataFrame, width: float = 86400.0) -> DataFrame:
+    """``integral``: sum over earlier readings of value times the seconds until the next one; missing readings are dropped. Tiles of ``width`` seconds are summed first."""
     rows = readings.filter("value is not null").withColumn("t", F.unix_micros("ts") / 1e6)
-    area = F.lag("value").over(w) * (F.col("t") - F.lag("t").over(w))
-    rows = rows.withColumn("area", F.coalesce(area, F.lit(0.0)))
-    return rows.withColumn("integral", F.sum("area").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("area")
+    return running_areas(rows, "parameter", "t", "value", width)
 
 
 def block_offsets(blocks: DataFrame, key: str, order: str, size: str) -> DataFrame:

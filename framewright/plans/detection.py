@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import coords as fx
 from framewright.operators import evaluate as ev
-from framewright.operators import joins, masks, models
+from framewright.operators import joins, masks, models, scans, tiles
 from framewright.operators import series as ts
 from framewright.plans.basic import CORR, CUBE, FRAMES, ITEMS, OBSCON, PREDICTORS, READINGS, _pairs, grid
 from framewright.sources import tables as src
@@ -121,7 +121,7 @@ def expected_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RESIDUAL = """res AS (SELECT x, y, frame, value - avg(value) OVER (PARTITION BY x, y) AS value FROM cube)"""
-HYPOTHESIS = """sim AS (SELECT x, y, signal_time, round(greatest(0, least(1, sum(value * expected) / nullif(sqrt(sum(value * value) * sum(expected * expected)), 0))), 3) AS s
+HYPOTHESIS = """sim AS (SELECT x, y, signal_time, round_even(greatest(0, least(1, sum(value * expected) / nullif(sqrt(sum(value * value) * sum(expected * expected)), 0))), 3) AS s
       FROM res JOIN expected USING (x, y, frame) GROUP BY 1, 2, 3 HAVING count(*) = count(expected)),
     best AS (SELECT x, y, signal_time, s FROM (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY s DESC, signal_time) AS k FROM sim) WHERE k = 1)"""
 
@@ -205,9 +205,8 @@ def moment_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mirror_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fit of every pixel on its mirror image, all frames at once, through the same fit as any number of predictors."""
     s = src.series(spark, sf_dir)
-    sx, sy = grid(s)
-    pairs = s.select(F.col("x").alias("tx"), F.col("y").alias("ty"), (sx - 1 - F.col("x")).cast("int").alias("x"), (sy - 1 - F.col("y")).cast("int").alias("y"))
-    out = models.fit_pixels(pairs, s, folds=1, model="LinearRegression")
+    mirror = tiles.PredictorMask(*grid(s), 0.0, 0.5, 0.0)
+    out = tiles.fit_tiles(s, s.select("dataset", F.col("x").alias("tx"), F.col("y").alias("ty")), mirror, folds=1, model="LinearRegression")
     return out.select("tx", "ty", F.posexplode("residual").alias("frame", "r")).select("tx", "ty", F.col("frame").cast("int").alias("frame"), _r("r", 5).alias("residual"))
 
 
@@ -411,7 +410,7 @@ BLOCKS = """seq AS (SELECT event_type AS parameter, ts, row_number() OVER (PARTI
 
 def _blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     r = src.readings(spark, sf_dir)
-    rows = r.select("parameter", "ts", (F.row_number().over(Window.partitionBy("parameter").orderBy("ts")) - 1).alias("idx"))
+    rows = scans.numbered(r.select("parameter", "ts"), ["parameter"], ["ts"], F.date_trunc("day", "ts"), "idx").select("parameter", "ts", "idx")
     t = F.unix_micros("ts") / 1e6
     b = r.groupBy("parameter", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"), F.min(t).alias("t0"), F.max(t).alias("t1"))
     return rows, ts.block_offsets(b, "parameter", "day", "n")

@@ -6,6 +6,7 @@ obscon(dataset, frame, key, value), readings(parameter, ts, integration_time, va
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -180,10 +181,13 @@ def manifest(cube: DataFrame, frames: DataFrame, obscon: DataFrame, psf: DataFra
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder named in spark.checkpoint.dir and read again; own folder only where that is unset."""
+    """``df`` written to the shared folder named in spark.checkpoint.dir and read again. Where that is unset, a folder of this process if all of
+    Spark is in this process; else an error."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
