@@ -180,16 +180,19 @@ def manifest(cube: DataFrame, frames: DataFrame, obscon: DataFrame, psf: DataFra
     return out.withColumn("complete", (F.col("n_angles") == F.col("n_frames")) & (F.col("n_template") > 0) & (F.col("n_metadata") == 1))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder named in spark.checkpoint.dir and read again. Where that is unset, a folder of this process if all of
-    Spark is in this process; else an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where that is unset, one of this process if all of Spark is in this process; else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
