@@ -342,7 +342,13 @@ def gaussian_fluxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.select("map_id", "target", F.round(fx.gaussian_integral(F.col("amplitude"), F.col("sigma")), 4).alias("flux"), F.round(F.col("sigma") * (2 * math.sqrt(2 * math.log(2))), 4).alias("fwhm"))
 
 
-@query()
+@query(f"""WITH {CUBE}, {MAPS}, off AS (SELECT CAST(k AS INT) AS k, -1.0::DOUBLE + (k % 21) * (2.0::DOUBLE / 20) AS ox, -1.0::DOUBLE + (k // 21) * (2.0::DOUBLE / 20) AS oy FROM range(0, 441) r(k)),
+    pos AS (SELECT t, k, (5 + t) * cos(radians(40 * t) + pi() / 2) + sx / 2 - 0.5 + ox AS px, (5 + t) * sin(radians(40 * t) + pi() / 2) + sy / 2 - 0.5 + oy AS py FROM dim, range(0, 3) r(t), off),
+    sub AS (SELECT (i + 0.5) / 10 - 0.5 AS u, (j + 0.5) / 10 - 0.5 AS w FROM range(0, 10) a(i), range(0, 10) b(j)),
+    share AS MATERIALIZED (SELECT t, k, px, py, q.x, q.y, count(*) / 100.0::DOUBLE AS s FROM pos JOIN (SELECT DISTINCT x, y FROM cube) q ON abs(q.x - px) < 2.5 AND abs(q.y - py) < 2.5, sub WHERE pow(q.x - px + u, 2) + pow(q.y - py + w, 2) <= 2.25 GROUP BY 1, 2, 3, 4, 5, 6),
+    fl AS (SELECT map_id, t, k, px, py, round(sum(s * value), 12) AS flux FROM share JOIN maps USING (x, y) GROUP BY 1, 2, 3, 4, 5),
+    best AS (SELECT *, row_number() OVER (PARTITION BY map_id, t ORDER BY flux DESC, k) AS place FROM fl)
+    SELECT map_id, CAST(t AS INT) AS target, round(flux, 5) AS flux, round(px, 5) AS px, round(py, 5) AS py FROM best WHERE place = 1""")
 def brightest_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     maps = _maps(spark, sf_dir)
     sx, sy = grid(maps)
@@ -455,7 +461,10 @@ def header_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.matched_headers(h, wanted, "a", "b").select("dataset", "id")
 
 
-@query()
+@query(f"""WITH {CUBE}, {MAPS}, g AS (SELECT CAST(r AS INT) AS r, CAST(p AS INT) AS p, r * (least(sx, sy) / 2.0::DOUBLE / 32) AS d, p * (2 * pi() / 32) AS phi, floor(8.0 / least(sx, sy) * 32) AS zero FROM dim, range(0, 32) a(r), range(0, 32) b(p)),
+    pt AS (SELECT r, p, zero, sx / 2 - 0.5 + d * cos(phi) AS px, sy / 2 - 0.5 + d * sin(phi) AS py FROM g, dim), k AS (SELECT * FROM range(0, 2) a(i), range(0, 2) b(j)), ids AS (SELECT DISTINCT map_id FROM maps),
+    s AS (SELECT ids.map_id, r, p, any_value(zero) AS zero, sum(coalesce(value, 0) * {SHARE.format(a='floor(px) + i', b='px')} * {SHARE.format(a='floor(py) + j', b='py')}) AS v FROM ids, pt CROSS JOIN k LEFT JOIN maps m ON m.map_id = ids.map_id AND m.x = floor(px) + i AND m.y = floor(py) + j GROUP BY 1, 2, 3)
+    SELECT map_id, r, p, round(v * CASE WHEN r < zero THEN 1e-8 ELSE 1e-8 + (r - zero) * ((1 - 1e-8) / greatest(32 - zero - 1, 1)) END, 6) + 0.0 AS value FROM s""")
 def polar_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each map on a polar grid, weighted towards the edge."""
     maps = _maps(spark, sf_dir)
@@ -465,7 +474,9 @@ def polar_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("map_id", "r", "p", _r(F.col("value") * masks.radial_weight(F.col("r"), 32, min(sx, sy))).alias("value"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CUBE}, {MAPS}, bright AS MATERIALIZED (SELECT map_id, x, y FROM maps WHERE value > 0.03),
+    reach AS (SELECT map_id, x AS x0, y AS y0, x, y FROM bright UNION SELECT r.map_id, r.x0, r.y0, b.x, b.y FROM reach r JOIN bright b ON b.map_id = r.map_id AND b.x BETWEEN r.x - 1 AND r.x + 1 AND b.y BETWEEN r.y - 1 AND r.y + 1 AND abs(b.x - r.x) + abs(b.y - r.y) = 1)
+    SELECT map_id, x0 AS x, y0 AS y FROM reach GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
 def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bright cells of each map in components of at least three."""
     from framewright.sources.tables import checkpointed

@@ -12,8 +12,9 @@ from framewright.functions import coords as fx
 from framewright.operators import evaluate as ev
 from framewright.operators import joins, masks, models
 from framewright.operators import series as ts
-from framewright.plans.basic import CUBE, grid
-from framewright.plans.detection import MAPS, SIGMA, _maps, _r, _targets
+from framewright.plans.basic import CUBE, FRAMES, grid
+from framewright.plans.detection import MAPS, RING, SHARE, SIGMA, _maps, _r, _targets
+from framewright.plans.studies import META, SCALE
 from framewright.sources import tables as src
 
 QUERIES, ORACLES = {}, {}
@@ -64,11 +65,39 @@ def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("map_id", "x", "y", _r("observed_flux_ratio").alias("ratio"), F.when(F.col("observed_contrast") < float("inf"), F.round("observed_contrast", 5)).alias("contrast"), F.round("throughput", 5).alias("throughput"))
 
 
-@query()
+RINGED = f"""sub AS (SELECT (i + 0.5) / 10 - 0.5 AS u, (j + 0.5) / 10 - 0.5 AS w FROM range(0, 10) a(i), range(0, 10) b(j)),
+    spot AS (SELECT map_id, target, TRUE AS own, 0 AS i, sep, angle FROM tg UNION ALL SELECT map_id, target, FALSE, i, sep, ref_angle FROM ring),
+    spots AS (SELECT map_id, target, own, i, sep * cos(radians(angle) + pi() / 2) + sx / 2 - 0.5 AS px, sep * sin(radians(angle) + pi() / 2) + sy / 2 - 0.5 AS py FROM spot, dim),
+    flux AS (SELECT s.map_id, target, own, s.i, sum(CASE WHEN pow(x - px + u, 2) + pow(y - py + w, 2) <= 2.25 THEN value / 100 ELSE 0 END) AS f FROM spots s JOIN maps m ON m.map_id = s.map_id AND abs(x - px) < 2.5 AND abs(y - py) < 2.5, sub GROUP BY 1, 2, 3, 4),
+    less AS (SELECT map_id, target, max(f) FILTER (own) - median(f) FILTER (NOT own) AS f FROM flux GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {CUBE}, {MAPS}, {RING}, {RINGED}, q AS (SELECT map_id, target, f / (2 * pi() * 10 * {SIGMA * SIGMA} * (1 - exp(-2.25 / (2 * {SIGMA * SIGMA})))) AS ratio FROM less)
+    SELECT map_id, CAST(target AS INT) AS target, round(ratio, 6) + 0.0 AS ratio, CASE WHEN ratio > 1e-8 THEN round(-2.5 * log10(ratio), 5) END AS contrast, round(greatest(ratio / pow(10, -5.0 / 2.5), 0), 5) AS throughput FROM q""")
 def target_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flux at each target less the median of its ring, over a stellar flux of the template, for every map at once."""
+    rows = _above_ring(spark, sf_dir).withColumn("stellar_flux", fx.gaussian_integral(F.lit(10.0), F.lit(SIGMA), 1.5)).withColumn("expected_contrast", F.lit(5.0))
+    c = ev.contrasts(rows)
+    finite = F.when(F.col("observed_contrast") < float("inf"), F.round("observed_contrast", 5))
+    return c.select("map_id", "target", _r("observed_flux_ratio").alias("ratio"), finite.alias("contrast"), F.round("throughput", 5).alias("throughput"))
+
+
+@query(f"""WITH {CUBE}, {MAPS}, {RING}, {RINGED}, {META}, psf AS (SELECT l_linenumber AS dataset, l_partkey % 11 AS x, l_suppkey % 11 AS y, avg(l_extendedprice) / 1e4 AS v FROM lineitem GROUP BY 1, 2, 3),
+    stellar AS (SELECT dataset, sum(v / 100 * {SCALE}) AS flux FROM psf JOIN meta USING (dataset), sub WHERE pow(x - 5 + u, 2) + pow(y - 5 + w, 2) <= 2.25 GROUP BY 1),
+    q AS (SELECT map_id, target, f / flux AS ratio FROM less JOIN stellar ON dataset = map_id)
+    SELECT map_id, CAST(target AS INT) AS target, round(ratio, 9) + 0.0 AS ratio, CASE WHEN ratio > 1e-8 THEN round(-2.5 * log10(ratio), 4) END AS contrast, round(greatest(ratio / pow(10, -(8 + target) / 2.5), 0), 5) AS throughput FROM q""")
+def ring_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contrast of each target against the star of its dataset's own template: the background is the median of the ring."""
+    star = ev.stellar_fluxes(src.templates(spark, sf_dir), src.metadata(spark, sf_dir), 1.5, 11, 11).withColumnRenamed("dataset", "map_id")
+    c = ev.contrasts(_above_ring(spark, sf_dir).join(star, "map_id").withColumn("expected_contrast", 8.0 + F.col("target")))
+    finite = F.when(F.col("observed_contrast") < float("inf"), F.round("observed_contrast", 4))
+    return c.select("map_id", "target", _r("observed_flux_ratio", 9).alias("ratio"), finite.alias("contrast"), F.round("throughput", 5).alias("throughput"))
+
+
+def _above_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(map_id, target, raw_flux, background_flux): flux at each target and the median flux on its ring."""
     maps = _maps(spark, sf_dir)
-    sx, sy = grid(maps)
+    sx, sy = grid(src.series(spark, sf_dir))
 
     def place(df: DataFrame, angle: str) -> DataFrame:
         px, py = fx.polar_to_cartesian(F.col("sep"), F.radians(angle), fx.center(sx), fx.center(sy))
@@ -78,11 +107,7 @@ def target_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = ev.aperture_sums(maps, place(t, "angle").select("map_id", "target", "px", "py"), 1.5, ["map_id"], ["map_id", "target"])
     ring = place(joins.ring_positions(t, 1.5), "ref_angle").select("map_id", "target", "i", "px", "py")
     back = ev.aperture_sums(maps, ring, 1.5, ["map_id"], ["map_id", "target", "i"]).groupBy("map_id", "target").agg(F.median("flux").alias("background_flux"))
-    stellar = fx.gaussian_integral(F.lit(10.0), F.lit(SIGMA), 1.5)
-    rows = raw.withColumnRenamed("flux", "raw_flux").join(back, ["map_id", "target"]).withColumn("stellar_flux", stellar).withColumn("expected_contrast", F.lit(5.0))
-    c = ev.contrasts(rows)
-    finite = F.when(F.col("observed_contrast") < float("inf"), F.round("observed_contrast", 5))
-    return c.select("map_id", "target", F.round("observed_flux_ratio", 6).alias("ratio"), finite.alias("contrast"), F.round("throughput", 5).alias("throughput"))
+    return raw.withColumnRenamed("flux", "raw_flux").join(back, ["map_id", "target"])
 
 
 @query()
@@ -104,7 +129,12 @@ def selection_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arcs.withColumn("share", share).filter("share > 0.1").select("map_id", "x", "y", F.round("share", 6).alias("share"))
 
 
-@query()
+@query(f"""WITH {CUBE}, {FRAMES}, psf AS (SELECT i AS tx, j AS ty, exp(-((i - 4) * (i - 4) + (j - 4) * (j - 4)) / (2 * {SIGMA} * {SIGMA})) AS tv FROM range(0, 9) a(i), range(0, 9) b(j)),
+    pos AS (SELECT frame, 5 * cos(radians(45 + 90 - parang)) + sx / 2 - 0.5 AS px, 5 * sin(radians(45 + 90 - parang)) + sy / 2 - 0.5 AS py FROM frames, dim),
+    added AS (SELECT c.frame, c.x, c.y, sum(tv * {SHARE.format(a='px - 4 + tx', b='c.x')} * {SHARE.format(a='py - 4 + ty', b='c.y')}) AS a FROM cube c JOIN pos USING (frame), psf WHERE abs(px - 4 + tx - c.x) < 1 AND abs(py - 4 + ty - c.y) < 1 GROUP BY 1, 2, 3),
+    lit AS (SELECT frame, x, y, value + coalesce(a, 0) AS v FROM cube LEFT JOIN added USING (frame, x, y)), d AS (SELECT frame, i - 4 AS dx, j - 4 AS dy, px + i - 4 AS qx, py + j - 4 AS qy FROM pos, range(0, 9) a(i), range(0, 9) b(j)), k AS (SELECT * FROM range(0, 2) a(i), range(0, 2) b(j)),
+    s AS (SELECT d.frame, dx, dy, sum(coalesce(v, 0) * {SHARE.format(a='floor(qx) + i', b='qx')} * {SHARE.format(a='floor(qy) + j', b='qy')}) AS v FROM d CROSS JOIN k LEFT JOIN lit l ON l.frame = d.frame AND l.x = floor(qx) + i AND l.y = floor(qy) + j GROUP BY 1, 2, 3)
+    SELECT CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy, round(median(v), 6) + 0.0 AS value FROM s GROUP BY 1, 2""")
 def median_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median over frames of the window around an injected source that moves with the angles."""
     cube = src.dense_cube(spark, sf_dir)
