@@ -128,6 +128,20 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(n + 15) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op9_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, s FROM (SELECT doc_id, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS s FROM t WINDOW p AS (PARTITION BY doc_id ORDER BY i)) WHERE s IS NOT NULL
+            UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 2
+        ), n AS MATERIALIZED (SELECT doc_id, CAST(count(s) AS BIGINT) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY 1),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+        ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM ways UNION SELECT r.doc_id, b FROM reach r JOIN ways ON a = other),
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+        SELECT doc_id, n AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM n LEFT JOIN least USING (doc_id)""",
     "op13_collocations": r"""
         WITH pieces AS (
             SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
