@@ -14,7 +14,7 @@ from framewright.operators import joins, masks, models
 from framewright.operators import series as ts
 from framewright.plans.basic import CUBE, FRAMES, grid
 from framewright.plans.detection import MAPS, RING, SHARE, SIGMA, _maps, _r, _targets
-from framewright.plans.studies import META, SCALE
+from framewright.plans.studies import META, SCALE, TARGETS
 from framewright.sources import tables as src
 
 QUERIES, ORACLES = {}, {}
@@ -34,17 +34,64 @@ class Dataset(NamedTuple):
     cube: DataFrame
     frames: DataFrame
     obscon: DataFrame
+    psf: DataFrame
+    metadata: DataFrame
 
 
-def load_dataset(spark: SparkSession, sf_dir: str, binning: int = 1, crop: tuple[int, int] = (-1, -1)) -> Dataset:
-    """Cube, angles and covariates: cropped in the scan, then binned, all lazily."""
+def load_dataset(spark: SparkSession, sf_dir: str, binning: int = 1, crop: tuple[int, int] = (-1, -1), without_targets: bool = False) -> Dataset:
+    """Cube, angles, covariates, template and metadata of the item cube: cropped in the scan, then known sources taken out, then binned, all lazily.
+
+    The item cube has the metadata and the sources of nation 3 and the template of line number 1.
+    """
+    named = lambda df, k: df.filter(F.col("dataset") == k).withColumn("dataset", F.lit("items"))
     cube = src.item_cube(spark, sf_dir)
     frames = src.frames(cube.select("dataset", "frame"))
-    cube = masks.cropped(cube, {"x": 11, "y": 11}, {"x": crop[0], "y": crop[1]})
+    sizes = {"x": 11, "y": 11}
+    cube = masks.cropped(cube, sizes, {"x": crop[0], "y": crop[1]})
+    metadata = named(src.metadata(spark, sf_dir), 3)
+    if without_targets:
+        sx, sy = (c if 0 < c <= 11 else 11 for c in crop)
+        cube = joins.without_sources(cube, frames, src.gaussian_template(9, SIGMA), 9, named(src.targets(spark, sf_dir), 3), metadata, sx, sy)
     obscon = src.obscon(spark, sf_dir)
-    if binning == 1:
-        return Dataset(cube, frames, obscon)
-    return Dataset(ts.binned(cube, binning, ["dataset", "x", "y"]), ts.binned(frames, binning, ["dataset"], "parang"), ts.binned(obscon, binning, ["dataset", "key"]))
+    if binning != 1:
+        cube, frames, obscon = ts.binned(cube, binning, ["dataset", "x", "y"]), ts.binned(frames, binning, ["dataset"], "parang"), ts.binned(obscon, binning, ["dataset", "key"])
+    return Dataset(cube, frames, obscon, src.one_template(named(src.templates(spark, sf_dir), 1)), metadata)
+
+
+@query(f"""WITH {META}, {TARGETS}, items AS (SELECT CAST(l_orderkey % 24 AS INT) AS frame, CAST(l_partkey % 11 AS INT) AS x, CAST(l_suppkey % 11 AS INT) AS y, avg(ln(l_extendedprice)) AS value FROM lineitem GROUP BY 1, 2, 3),
+    last AS (SELECT max(frame) AS m FROM items), fr AS (SELECT CAST(k AS INT) AS frame, 17.0::DOUBLE + k * (120.0::DOUBLE / m) AS parang FROM last, range(0, m + 1) r(k)),
+    crop AS (SELECT frame, x - 2 AS x, y - 1 AS y, value FROM items WHERE x BETWEEN 2 AND 8 AND y BETWEEN 1 AND 9),
+    tg AS (SELECT sep, angle, pow(10, -contrast / 2.5) * {SCALE} AS scale FROM targets JOIN meta USING (dataset) WHERE dataset = 3),
+    pos AS (SELECT frame, sep * cos(radians(angle + 90 - parang)) + 3 AS px, sep * sin(radians(angle + 90 - parang)) + 4 AS py, scale FROM tg, fr),
+    psf AS (SELECT i AS tx, j AS ty, exp(-((i - 4) * (i - 4) + (j - 4) * (j - 4)) / (2 * {SIGMA} * {SIGMA})) AS tv FROM range(0, 9) a(i), range(0, 9) b(j)),
+    added AS (SELECT c.frame, c.x, c.y, sum(scale * tv * {SHARE.format(a='px - 4 + tx', b='c.x')} * {SHARE.format(a='py - 4 + ty', b='c.y')}) AS a FROM crop c JOIN pos USING (frame), psf WHERE abs(px - 4 + tx - c.x) < 1 AND abs(py - 4 + ty - c.y) < 1 GROUP BY 1, 2, 3),
+    b AS (SELECT frame // 3 AS f, x, y, avg(value - coalesce(a, 0)) AS v FROM crop LEFT JOIN added USING (frame, x, y) GROUP BY 1, 2, 3), an AS (SELECT frame // 3 AS f, avg(parang) AS p FROM fr GROUP BY 1),
+    oc AS (SELECT frame // 3 AS f, avg(o) AS o FROM (SELECT CAST(hour(ts) AS INT) AS frame, avg(CAST(value AS DOUBLE)) AS o FROM events WHERE event_type = 'click' GROUP BY 1) GROUP BY 1)
+    SELECT CAST(f AS INT) AS frame, CAST(x AS INT) AS x, CAST(y AS INT) AS y, round(v, 6) + 0.0 AS value, round(p, 6) AS parang, round(o, 6) AS covariate, round(0.2 + 0.03, 6)::DOUBLE AS dit FROM b JOIN an USING (f) JOIN oc USING (f)""")
+def loaded_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole bundle, cropped, without its known sources and binned; one covariate and the metadata beside each cell."""
+    d = load_dataset(spark, sf_dir, 3, (7, 9), without_targets=True)
+    one = d.obscon.filter("key = 'click'").select("dataset", "frame", F.col("value").alias("covariate"))
+    rows = d.cube.join(d.frames, ["dataset", "frame"]).join(one, ["dataset", "frame"]).join(d.metadata.select("dataset", "dit_stack"), "dataset")
+    return rows.select("frame", "x", "y", _r("value").alias("value"), F.round("parang", 6).alias("parang"), F.round("covariate", 6).alias("covariate"), F.round("dit_stack", 6).alias("dit"))
+
+
+@query("""SELECT l_returnflag AS method, CAST(pow(2, l_linenumber) AS INT) AS factor, round(median(l_discount), 6) AS score, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2""")
+def scores_by_binning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of two methods in order of their binning factors."""
+    rows = src.table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'N'").select(F.col("l_returnflag").alias("method"), F.pow(F.lit(2), "l_linenumber").cast("int").alias("factor"), "l_discount")
+    return rows.groupBy("method", "factor").agg(F.round(F.median("l_discount"), 6).alias("score"), F.count("*").alias("n")).orderBy("method", "factor")
+
+
+@query("""WITH items AS (SELECT CAST(l_partkey % 11 AS INT) AS x, CAST(l_suppkey % 11 AS INT) AS y, avg(ln(l_extendedprice)) AS v FROM lineitem GROUP BY 1, 2)
+    SELECT 'cropped' AS kind, x - 2 AS x, y - 3 AS y, round(v, 6) AS value FROM items WHERE x BETWEEN 2 AND 8 AND y BETWEEN 3 AND 7
+    UNION ALL SELECT 'padded', CAST(i AS INT), CAST(j AS INT), round(coalesce(v, 0), 6) FROM range(0, 15) a(i), range(0, 12) b(j) LEFT JOIN items ON x + 2 = i AND y = j""")
+def cropped_or_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One map brought to a smaller and to a larger size by the same operator."""
+    m = src.table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 11).cast("int").alias("x"), (F.col("l_suppkey") % 11).cast("int").alias("y")).agg(F.avg(F.log("l_extendedprice")).alias("value")).withColumn("dataset", F.lit("items"))
+    sizes = {"x": 11, "y": 11}
+    both = [masks.crop_or_pad(m, sizes, wanted, ["dataset"]).select(F.lit(kind).alias("kind"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.round("value", 6).alias("value")) for kind, wanted in (("cropped", {"x": 7, "y": 5}), ("padded", {"x": 15, "y": 12}))]
+    return both[0].unionByName(both[1])
 
 
 @query("""WITH items AS (SELECT CAST(l_orderkey % 24 AS INT) AS frame, CAST(l_partkey % 11 AS INT) AS x, CAST(l_suppkey % 11 AS INT) AS y, avg(ln(l_extendedprice)) AS value FROM lineitem GROUP BY 1, 2, 3),
