@@ -10,7 +10,7 @@ words (with at most 3 in each, the score is at most the words left over, fewer t
 masks are all ways to choose them. Items shorter than LEAST are found as whole runs.
 
 The benchmark is used in blocks of at most BLOCK_SEEDS seeds; each block is broadcast and meets
-all texts, so a larger benchmark takes more passes, never more memory.
+all texts. All blocks are sent before the first job, so memory grows with the benchmark.
 
 Defined results: null and empty texts or items have no words and match nothing; repeated items are
 all reported; repeated rows are all judged; an empty benchmark or table gives no rows. Columns other

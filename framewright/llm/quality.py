@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import text as tx
+from framewright.llm.store import agreed
 
 SYMBOLS = b"#*$%&|<>"
 N_FEATURES = 14
@@ -228,10 +229,10 @@ def fit(x: np.ndarray, lines: np.ndarray, good: np.ndarray, rounds: int = 3, ste
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Crf:
-    """Fit on at most ``per_label`` labelled rows of each label, those of smallest hashed id."""
-    ids = labels.filter("doc_id is not null and quality is not null").select("doc_id", F.expr("quality > 0").alias("good"))
+    """Fit on at most ``per_label`` labelled rows of each label, those of smallest hashed id; a document labelled both ways is left out."""
+    ids = agreed(labels.filter("doc_id is not null and quality is not null").select("doc_id", F.expr("quality > 0").alias("good")), "good")
     parts = [ids.filter(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for g in (True, False)]
-    wanted = parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"])  # at most 2 * per_label rows: broadcast
+    wanted = parts[0].unionByName(parts[1])  # at most 2 * per_label rows: broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
 
     def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,6 +44,12 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def agreed(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the documents whose labels say one thing; a document labelled both ways is left out."""
+    both = labels.groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("other"))
+    return both.filter(F.col(label) == F.col("other")).drop("other")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables made by ``written`` that nothing will read again.
 
