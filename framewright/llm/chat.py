@@ -33,15 +33,6 @@ LONGEST_JSON = 16_000_000
 TURN = "array<struct<role:string,text:string>>"
 
 
-@dataclass(frozen=True)
-class Layout:
-    """``shape``: an example record; ``turns``: SQL over the parsed record ``v`` (a variant) giving TURN."""
-
-    name: str
-    shape: str
-    turns: str
-
-
 @dataclass(frozen=True)
 class Reader:
     """How SQL reads a record: a string at a path, and turns from a list of objects at a path."""

@@ -28,6 +28,20 @@ def test_stages(spark, sf_dir):
     assert list(seen) == ["toxicity", "line_dedup", "near_dedup", "decontaminate", "mix"]
     total = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert 0.7 * total < seen["toxicity"] < total and seen["near_dedup"] <= seen["line_dedup"]
+    removed = {b: seen[a] - seen[b] for a, b in zip(seen, list(seen)[1:])}
+    assert removed["line_dedup"] > 0 and removed["decontaminate"] > 0 and removed["mix"] == 0, removed
+
+
+def test_near_dedup_has_work_after_line_dedup(spark, tmp_path):
+    """Documents whose lines all differ a little stay in line dedup as lines of their own, and go as near copies."""
+    words = [f"word{k}" for k in range(400)]
+    copies = [words, words[:397] + ["x", "y", "z"], [f"other{k}" for k in range(400)]]
+    text = ["\n".join(" ".join(w[i : i + 5]) + f" line {n} {i} {'ab'[n % 2] * 9}" for i in range(0, 400, 5)) for n, w in enumerate(copies)]
+    text.append(text[2].replace("other7 ", "else "))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(text)], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    after = {r.doc_id for r in stages["near_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert 2 in after and 3 not in after
 
 
 def test_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
