@@ -1,10 +1,12 @@
 """Mixing sources to target weights, in fixed-length blocks of words.
 
 DataFrame functions only. The documents of a source, in hashed order, form one stream of words, cut
-into blocks. A source's slots are its target over its mean words per block, the fraction drawn. Every output
-shard gets the whole part of its share of them; for each of the rest a shard is drawn (so the counts are
-multinomial). The k-th slot of a source takes block p(k mod B), where p is a pseudorandom permutation of its
-B blocks that changes with each pass over them. Slots and documents meet by block index.
+into blocks. A source's slots are its target over its mean words per block, the fraction drawn. Output shards have
+SLOTS_PER_SHARD slots (the last one the rest), and every slot draws its source with probability in proportion to
+slots, so a shard's counts are multinomial. Over all shards a source comes out a little above or below its slots, by
+about the square root of them: what is above, at places chosen by a permutation, goes to the sources below. The k-th slot of
+a source takes block p(k mod B), where p is a pseudorandom permutation of its B blocks that changes with
+each pass over them. Slots and documents meet by block index.
 
 No source has slots beyond two passes over it, so no document is taken more than twice.
 
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.store import written
+from framewright.llm.store import small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -29,8 +31,7 @@ TOTAL, MOST = 1.5, 2
 BLOCK_WORDS, SLOTS_PER_SHARD = 64, 1024
 #: Rows whose running totals one task sums; the totals of such groups are summed in turn.
 GROUP = 2000
-_PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)  # fixed values
-_LONG_PRIME = (1 << 61) - 1
+_ROUNDS = range(10)
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ def _before(df: DataFrame, key: str, group: Column, order: list[str], value: str
     ahead = F.sum("_s").over(Window.partitionBy(key).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(key, "_g", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
     inside = F.sum(value).over(Window.partitionBy(key, "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums, [key, "_g"]).withColumn(name, F.col("_ahead") + F.col("_inside")).drop("_g", "_ahead", "_inside")
+    return df.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums.hint("merge"), [key, "_g"]).withColumn(name, F.col("_ahead") + F.col("_inside")).drop("_g", "_ahead", "_inside")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
@@ -80,15 +81,62 @@ def _uniform(*key: Column) -> Column:
 
 
 def _permuted(k: Column, blocks: Column, sid: Column, seed: int) -> Column:
-    """Block of the k-th slot: an affine map modulo ``blocks``, another one for each pass."""
+    """Place of k mod ``blocks`` under a keyed permutation, another one for each pass.
+
+    A Feistel network on x = left * b + right with a = floor(sqrt(blocks)) and b = blocks div a: each round adds a
+    hash of one part to the other. The fewer than a numbers from a * b on stay where they are; a keyed rotation of all numbers
+    after every four rounds brings them into the next four, so that no walk along a cycle is needed.
+    """
     turn, at = F.floor(k / blocks), F.pmod(k, blocks)
-    h = F.xxhash64(F.lit(seed), sid, turn)
-    prime = F.element_at(F.array(*[F.lit(p).cast("long") for p in _PRIMES]), F.pmod(h, F.lit(len(_PRIMES))).cast("int") + 1)
-    shift = F.pmod(F.shiftright(h, 8), blocks)
-    wide = lambda x: x.cast("decimal(19,0)")
-    long_way = (F.pmod(wide(at) * wide(F.lit(_LONG_PRIME)) , wide(blocks)).cast("long"))
-    near = F.pmod(at * prime, blocks)
-    return F.pmod(F.when(blocks < F.lit(_PRIMES[-1]), near).otherwise(long_way) + shift, blocks)
+    a = F.greatest(F.floor(F.sqrt(blocks)), F.least(blocks, F.lit(2))).cast("long")
+    b = F.floor(blocks / a).cast("long")
+
+    def round_(x: Column, i: Column) -> Column:
+        left, right = F.floor(x / b), F.pmod(x, b)
+        noise = lambda part: F.xxhash64(F.lit(seed), sid, turn, i, part)
+        return (
+            F.when(i % 5 == 4, F.pmod(x + F.pmod(noise(blocks), blocks), blocks))
+            .when(x >= a * b, x)
+            .when(i % 2 == 0, F.pmod(left + F.pmod(noise(right), a), a) * b + right)
+            .otherwise(left * b + F.pmod(right + F.pmod(noise(left), b), b))
+        )
+
+    return F.aggregate(F.array(*[F.lit(i) for i in _ROUNDS]), at.cast("long"), round_)
+
+
+def _drawn(sources: DataFrame, n_slots: int, seed: int) -> DataFrame:
+    """shard, sid, n: how many slots of each shard draw each source.
+
+    Slot j draws a number below ``n_slots``; the source whose interval holds it is found by tiles, with at most two candidates on average.
+    """
+    spark = sources.sparkSession
+    intervals = sources.filter("slots > 0").withColumn("end", F.sum("slots").over(Window.orderBy("sid"))).withColumn("begin", F.col("end") - F.col("slots"))
+    width = max(1, n_slots // max(1, sources.count()))
+    tiles = intervals.select("sid", "begin", "end", F.explode(F.sequence(F.floor(F.col("begin") / width), F.floor((F.col("end") - 1) / width))).alias("tile"))
+    tiles = small(written(tiles, "mix-tiles"))
+    value = F.floor(_uniform(F.lit(seed), F.lit(-2), F.col("id")) * n_slots)
+    slots = spark.range(n_slots).select(F.floor(F.col("id") / SLOTS_PER_SHARD).alias("shard"), value.alias("v")).withColumn("tile", F.floor(F.col("v") / width))
+    return slots.join(tiles, "tile").filter("begin <= v AND v < end").groupBy("shard", "sid").agg(F.count("*").alias("n"))
+
+
+def _slots(sources: DataFrame, seed: int) -> DataFrame:
+    """shard, sid, k, blocks: every slot of every source once, in the shard that drew it or that got it in exchange."""
+    n_slots = int(sources.agg(F.sum("slots")).first()[0] or 0)
+    counts = written(_drawn(sources, n_slots, seed), "mix-counts")
+    totals = sources.select("sid", "blocks", "slots").join(counts.groupBy("sid").agg(F.sum("n").alias("drawn")), "sid", "left").na.fill(0, ["drawn"])
+    above, below = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
+    ahead = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = written(totals.withColumn("above_before", ahead(above)).withColumn("below_before", ahead(below)), "mix-totals")
+
+    placed = _before(counts, "sid", F.floor(F.col("shard") / GROUP), ["shard"], "n", "first")
+    rows = placed.join(small(totals), "sid").select("*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i"))
+    mixed = F.when(F.col("drawn") > F.col("slots"), _permuted(F.col("i"), F.col("drawn"), F.col("sid"), seed + 1)).otherwise(F.col("i"))
+    rows = rows.select("shard", "sid", "blocks", "slots", "above_before", mixed.alias("k"))
+    kept = rows.filter("k < slots").select("shard", "sid", "k", "blocks")
+    given = rows.filter("k >= slots").select("shard", (F.col("above_before") + F.col("k") - F.col("slots")).alias("r"))
+    wanted = totals.filter("drawn < slots").select("sid", "blocks", "below_before", "drawn", F.explode(F.sequence(F.col("drawn"), F.col("slots") - 1)).alias("k"))
+    wanted = wanted.select("sid", "k", "blocks", (F.col("below_before") + F.col("k") - F.col("drawn")).alias("r"))
+    return kept.unionByName(given.join(wanted.hint("merge"), "r").select("shard", "sid", "k", "blocks"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MOST, block_words: int = BLOCK_WORDS, seed: int = 7) -> Mix:
@@ -104,22 +152,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MO
     sources = written(sources.withColumn("slots", drawn_count), "mix-sources")
 
     groups = max(1, n_rows // GROUP)
-    placed = sizes.join(sources.select("source", "sid").withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    placed = sizes.join(small(sources.select("source", "sid").withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = placed.withColumn("h", _uniform(F.lit(seed), F.col("doc_id"), F.col("size")))
     documents = written(_before(placed, "sid", F.floor(F.col("h") * groups), ["h", "doc_id", "size"], "size", "start").drop("h"), "mix-documents")
-
-    all_slots = int(sources.agg(F.sum("slots")).first()[0] or 0)
-    shards = max(1, -(-all_slots // SLOTS_PER_SHARD))
-    spread = sources.filter("slots > 0").withColumn("whole", F.floor(F.col("slots") / shards).cast("long"))
-    every = spread.filter("whole > 0").select("sid", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), "whole")
-    first = F.col("shard") * F.col("whole")
-    whole = every.select("sid", "shard", "blocks", F.explode(F.sequence(first, first + F.col("whole") - 1)).alias("k"))
-    # Slots by draw come after all whole-count slots of the source.
-    rest = spread.filter(F.col("slots") > F.col("whole") * shards)
-    rest = rest.select("sid", "blocks", F.explode(F.sequence(F.col("whole") * shards, F.col("slots") - 1)).alias("k"))
-    drawn = rest.select("sid", F.floor(_uniform(F.lit(seed), F.col("sid"), F.col("k")) * shards).cast("long").alias("shard"), "blocks", "k")
-    taken = whole.unionByName(drawn)
-    return Mix(documents, sources, taken.select("shard", "k", "sid", _permuted(F.col("k"), F.col("blocks"), F.col("sid"), seed).alias("block")), block_words)
+    slots = _slots(sources, seed)
+    return Mix(documents, sources, slots.select("shard", "k", "sid", _permuted(F.col("k"), F.col("blocks"), F.col("sid"), seed).alias("block")), block_words)
 
 
 def pieces(plan: Mix) -> DataFrame:
@@ -134,8 +171,8 @@ def pieces(plan: Mix) -> DataFrame:
 def taken(plan: Mix) -> DataFrame:
     """Every document with its source's size and target and the number of its words that the mix takes."""
     times = plan.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    sums = pieces(plan).join(times, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    rows = plan.documents.join(sums, ["sid", "start"], "left").join(plan.sources.select("sid", "source_size", "target"), "sid")
+    sums = pieces(plan).join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    rows = plan.documents.join(sums.hint("merge"), ["sid", "start"], "left").join(small(plan.sources.select("sid", "source_size", "target")), "sid")
     return rows.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"), "source")
 
 
