@@ -3,8 +3,8 @@
 DataFrame functions only. A record is a JSON text, or a struct column. Its fingerprint is a hash of its sorted nested
 field paths (types and key order do not count); each known layout is a row of data: an example
 of its shape, and where its roles and texts are. Records of an unknown layout yield no turns and
-are returned by ``unmatched``. Spark's JSON parser takes strings of up to 20 million characters; a longer payload that it
-does not parse raises an error, and such records are passed as columns (``column_turns``), which have no such limit.
+are returned by ``unmatched``, payload included. Spark's JSON parser takes strings of up to 20 million characters; a longer payload
+that it does not parse is such a record too, marked ``too_long`` there: passed as columns (``column_turns``), it has no such limit.
 
 The template writes ``<turn role>text</turn>`` and a newline per turn. ``&``, ``<`` and ``>`` in
 roles and texts are written as ``&a``, ``&l`` and ``&g``, so no text can hold a control string, and reading back
@@ -123,10 +123,8 @@ def _mapped(marked: DataFrame, layouts) -> DataFrame:
 
 
 def canonical_turns(records: DataFrame, layouts=LAYOUTS, payload: str = "payload") -> DataFrame:
-    """``records`` with ``layout`` and ``turns`` (role, text) in place of the JSON payload."""
+    """``records`` with ``layout`` and ``turns`` (role, text) in place of the JSON payload; both null where no layout fits."""
     v = F.try_parse_json(payload)
-    too_long = v.isNull() & (F.char_length(payload) >= LONGEST_JSON)
-    v = F.when(too_long, F.raise_error(F.lit("a payload is too long for the JSON parser: pass it as columns")).cast("variant")).otherwise(v)
     return _mapped(records.withColumn("v", v).drop(payload).withColumn("fingerprint", fingerprint(F.col("v"))), layouts)
 
 
@@ -141,8 +139,10 @@ def column_turns(records: DataFrame, layouts=LAYOUTS, record: str = "record") ->
 
 
 def unmatched(records: DataFrame, layouts=LAYOUTS, payload: str = "payload") -> DataFrame:
-    """The records whose layout is not known, with their fingerprints, to add mappings for."""
-    marked = records.withColumn("fingerprint", fingerprint(F.try_parse_json(payload)))
+    """The records whose layout is not known, with their fingerprints, to add mappings for, and whether the payload may be too long for the parser."""
+    v = F.try_parse_json(payload)
+    too_long = F.coalesce(v.isNull() & (F.char_length(payload) >= LONGEST_JSON), F.lit(False))
+    marked = records.withColumn("fingerprint", fingerprint(v)).withColumn("too_long", too_long)
     return marked.join(F.broadcast(known_layouts(records.sparkSession, layouts).select("fingerprint")), "fingerprint", "left_anti")
 
 

@@ -9,11 +9,14 @@ No such stretch is missed: cut into runs of SPAN words from its start, one run h
 words (with at most 3 in each, the score is at most the words left over, fewer than SPAN), and the
 masks are all ways to choose them. Items shorter than LEAST are found as whole runs.
 
-The benchmark is used in blocks of at most BLOCK_SEEDS seeds; each block is broadcast and meets
-all texts. All blocks are sent before the first job, so memory grows with the benchmark.
-
-Defined results: null and empty texts or items have no words and match nothing; repeated items are
-all reported; repeated rows are all judged; an empty benchmark or table gives no rows. Columns other
+The benchmark is used in blocks of about BLOCK_SEEDS seeds; each block is broadcast and meets
+all texts. With more than one block, what a block finds (or leaves) is written to the shared folder and its
+broadcast destroyed before the next one is built: a larger benchmark takes more passes, not more memory. Items are
+dealt to blocks by hash, so only an item that is itself longer than a block makes one larger.
+
+Defined results: null and empty texts or items have no words and match nothing; texts of any length are read whole, in
+slices of whole texts; repeated items are all reported; repeated rows are all judged; an empty benchmark or table gives no rows;
+of stretches that score the same in a document and item, that of the smallest alignment is reported. Columns other
 than doc_id and text, item_id and text are not read.
 """
 
@@ -26,10 +29,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import text as tx
+from framewright.llm.store import discard, written
 
 SPAN = 6
 #: The positions that each mask compares.
@@ -153,8 +158,8 @@ def overlaps(block: Block, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[i
     return [(d, i, *v[1:]) for (d, i), v in found.items()]
 
 
-def blocks(benchmark: DataFrame, block_seeds: int = BLOCK_SEEDS) -> Iterator[Block]:
-    """The benchmark as blocks of about ``block_seeds`` seeds."""
+def blocks(benchmark: DataFrame, block_seeds: int = BLOCK_SEEDS) -> tuple[int, Iterator[Block]]:
+    """How many blocks of about ``block_seeds`` seeds the benchmark has, and the blocks, built one at a time."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,17 +170,22 @@ def blocks(benchmark: DataFrame, block_seeds: int = BLOCK_SEEDS) -> Iterator[Blo
                 packed = pa.array([h[i:j].tobytes() for i, j in zip(before[:-1], before[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch["item_id"].slice(lo, hi - lo).cast(pa.int64()), packed], ["item_id", "words"])
 
-    items = benchmark.select("item_id", "text").mapInArrow(hashed, "item_id long, words binary")
-    seeds = items.agg(F.sum(F.length("words") / 8 * len(MASKS))).first()[0] or 0
-    n = max(1, -(-int(seeds) // block_seeds))
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == k).collect()
-        yield build([r["item_id"] for r in rows], [np.frombuffer(r["words"], np.uint64) for r in rows])
+    items = written(benchmark.select("item_id", "text").mapInArrow(hashed, "item_id long, words binary"), "benchmark-words")
+    size = items.agg(F.coalesce(F.sum(F.length("words") / 8 * len(MASKS)), F.lit(0)).alias("seeds"), F.count("*").alias("items")).first()
+    n = max(1, min(-(-int(size.seeds) // block_seeds), size.items))
+
+    def built() -> Iterator[Block]:
+        for k in range(n):
+            rows = items.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == k).collect()
+            if n > 1 and not rows:
+                continue
+            yield build([r["item_id"] for r in rows], [np.frombuffer(r["words"], np.uint64) for r in rows])
+        discard(items)
 
+    return n, built()
 
-def _scan(docs: DataFrame, block: Block) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
 
+def _scan(docs: DataFrame, shared: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
@@ -191,22 +201,43 @@ def _scan(docs: DataFrame, block: Block) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def _left(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, _, raw, offsets in tx.slices(batch["text"]):
+                keep[[lo + r[0] for r in overlaps(shared.value, raw, offsets)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """A row for each document and benchmark item that overlap: where, and how many words are equal."""
-    return reduce(DataFrame.unionByName, [_scan(docs, b) for b in blocks(benchmark, block_seeds)])
+    n, found = blocks(benchmark, block_seeds)
+    send = docs.sparkSession.sparkContext.broadcast
+    if n == 1:
+        return [_scan(docs, send(block)) for block in found][0]
+    parts = []
+    for block in found:
+        shared = send(block)
+        parts.append(written(_scan(docs, shared), "overlaps"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """The rows of ``docs``, all columns, that overlap no item."""
-    for block in blocks(benchmark, block_seeds):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for lo, _, raw, offsets in tx.slices(batch["text"]):
-                    keep[[lo + r[0] for r in overlaps(shared.value, raw, offsets)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    n, found = blocks(benchmark, block_seeds)
+    send = docs.sparkSession.sparkContext.broadcast
+    if n == 1:
+        return [_left(docs, send(block)) for block in found][0]
+    left = None
+    for block in found:
+        shared = send(block)
+        kept = written(_left(docs if left is None else left, shared), "uncontaminated")
+        shared.destroy()
+        if left is not None:
+            discard(left)
+        left = kept
+    return left

@@ -3,7 +3,6 @@
 import hashlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from framewright.llm import chat, chunkdedup, decontaminate, linededup, mixing, neardup, quality, suffixdedup, toxicity, urls
@@ -128,11 +127,14 @@ def test_chat_layouts(spark):
 
 
 def test_chat_very_long_text(spark):
-    """A text of 21 million characters comes back whole from columns; as JSON it is refused, never lost."""
+    """A text of 21 million characters comes back whole from columns; as JSON it is marked and returned, beside the others."""
     long = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.struct(F.lit("assistant").alias("role"), F.expr("repeat('<&\u00e9 abcd', 3000000)").alias("text")).alias("record"))
     turns = chat.column_turns(long).select("conv_id", "turn", F.explode("turns").alias("t")).select("conv_id", "turn", "t.role", "t.text")
     row = chat.digests(chat.formatted(turns)).first()
     whole = "<&\u00e9 abcd" * 3_000_000
     assert (row.n_turns, row.loss_chars, row.loss_sha256) == (1, 24_000_000, hashlib.sha256(whole.encode()).hexdigest())
-    with pytest.raises(Exception, match="too long"):
-        chat.canonical_turns(long.select("conv_id", F.to_json("record").alias("payload"))).collect()
+    payloads = long.select("conv_id", F.to_json("record").alias("payload")).unionByName(spark.createDataFrame([(2, '{"prompt":"hi","response":"yo"}'), (3, "not json")], "conv_id long, payload string"))
+    assert {r.conv_id: r.turns and len(r.turns) for r in chat.canonical_turns(payloads).collect()} == {1: None, 2: 2, 3: None}
+    rest = {r.conv_id: r for r in chat.unmatched(payloads).select("conv_id", "too_long", F.sha2("payload", 256).alias("sha")).collect()}
+    assert set(rest) == {1, 3} and rest[1].too_long and not rest[3].too_long
+    assert rest[1].sha == hashlib.sha256(payloads.filter("conv_id = 1").first().payload.encode()).hexdigest()
