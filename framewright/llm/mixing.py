@@ -32,6 +32,7 @@ BLOCK_WORDS, SLOTS_PER_SHARD = 64, 1024
 #: Rows whose running totals one task sums; the totals of such groups are summed in turn.
 GROUP = 2000
 _ROUNDS = range(10)
+SLOTS_PER_TASK = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -80,28 +81,25 @@ def _uniform(*key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*key), 11) / float(1 << 53)
 
 
-def _permuted(k: Column, blocks: Column, sid: Column, seed: int) -> Column:
-    """Place of k mod ``blocks`` under a keyed permutation, another one for each pass.
+def _permuted(df: DataFrame, name: str, k: str, size: str, seed: int) -> DataFrame:
+    """``df`` with the place of k mod ``size`` under a permutation keyed by ``sid``, another one for each pass.
 
-    A Feistel network on x = left * b + right with a = floor(sqrt(blocks)) and b = blocks div a: each round adds a
+    A Feistel network on x = left * b + right with a = floor(sqrt(size)) and b = size div a: each round adds a
     hash of one part to the other. The fewer than a numbers from a * b on stay where they are; a keyed rotation of all numbers
-    after every four rounds brings them into the next four, so that no walk along a cycle is needed.
+    after every four rounds brings them into the next four, so that no walk along a cycle is needed. One projection per round: written
+    as one expression, a round would be repeated for each of its uses.
     """
-    turn, at = F.floor(k / blocks), F.pmod(k, blocks)
-    a = F.greatest(F.floor(F.sqrt(blocks)), F.least(blocks, F.lit(2))).cast("long")
-    b = F.floor(blocks / a).cast("long")
-
-    def round_(x: Column, i: Column) -> Column:
-        left, right = F.floor(x / b), F.pmod(x, b)
-        noise = lambda part: F.xxhash64(F.lit(seed), sid, turn, i, part)
-        return (
-            F.when(i % 5 == 4, F.pmod(x + F.pmod(noise(blocks), blocks), blocks))
-            .when(x >= a * b, x)
-            .when(i % 2 == 0, F.pmod(left + F.pmod(noise(right), a), a) * b + right)
-            .otherwise(left * b + F.pmod(right + F.pmod(noise(left), b), b))
-        )
-
-    return F.aggregate(F.array(*[F.lit(i) for i in _ROUNDS]), at.cast("long"), round_)
+    df = df.withColumn("_size", F.col(size).cast("long")).withColumn("_key", F.expr(f"xxhash64({seed}, sid, {k} div _size)")).withColumn("_x", F.expr(f"cast({k} % _size AS bigint)"))
+    df = df.withColumn("_a", F.expr("cast(greatest(floor(sqrt(_size)), least(_size, 2)) AS bigint)")).withColumn("_b", F.expr("_size div _a"))
+    for i in _ROUNDS:
+        if i % 5 == 4:
+            x = f"(_x + pmod(xxhash64(_key, {i}), _size)) % _size"
+        elif i % 2 == 0:
+            x = f"if(_x >= _a * _b, _x, (_x div _b + pmod(xxhash64(_key, {i}, _x % _b), _a)) % _a * _b + _x % _b)"
+        else:
+            x = f"if(_x >= _a * _b, _x, _x div _b * _b + (_x % _b + pmod(xxhash64(_key, {i}, _x div _b), _b)) % _b)"
+        df = df.withColumn("_x", F.expr(x))
+    return df.withColumn(name, F.col("_x")).drop("_size", "_key", "_x", "_a", "_b")
 
 
 def _drawn(sources: DataFrame, n_slots: int, seed: int) -> DataFrame:
@@ -129,9 +127,11 @@ def _slots(sources: DataFrame, seed: int) -> DataFrame:
     totals = written(totals.withColumn("above_before", ahead(above)).withColumn("below_before", ahead(below)), "mix-totals")
 
     placed = _before(counts, "sid", F.floor(F.col("shard") / GROUP), ["shard"], "n", "first")
+    spark = sources.sparkSession
+    placed = placed.repartition(max(spark.sparkContext.defaultParallelism, n_slots // SLOTS_PER_TASK), "sid", "shard")  # few rows here, many slots below
     rows = placed.join(small(totals), "sid").select("*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i"))
-    mixed = F.when(F.col("drawn") > F.col("slots"), _permuted(F.col("i"), F.col("drawn"), F.col("sid"), seed + 1)).otherwise(F.col("i"))
-    rows = rows.select("shard", "sid", "blocks", "slots", "above_before", mixed.alias("k"))
+    rows = _permuted(rows, "mixed", "i", "drawn", seed + 1)
+    rows = written(rows.select("shard", "sid", "blocks", "slots", "above_before", F.when(F.col("drawn") > F.col("slots"), F.col("mixed")).otherwise(F.col("i")).alias("k")), "mix-draws")
     kept = rows.filter("k < slots").select("shard", "sid", "k", "blocks")
     given = rows.filter("k >= slots").select("shard", (F.col("above_before") + F.col("k") - F.col("slots")).alias("r"))
     wanted = totals.filter("drawn < slots").select("sid", "blocks", "below_before", "drawn", F.explode(F.sequence(F.col("drawn"), F.col("slots") - 1)).alias("k"))
@@ -155,8 +155,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, most: float = MO
     placed = sizes.join(small(sources.select("source", "sid").withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = placed.withColumn("h", _uniform(F.lit(seed), F.col("doc_id"), F.col("size")))
     documents = written(_before(placed, "sid", F.floor(F.col("h") * groups), ["h", "doc_id", "size"], "size", "start").drop("h"), "mix-documents")
-    slots = _slots(sources, seed)
-    return Mix(documents, sources, slots.select("shard", "k", "sid", _permuted(F.col("k"), F.col("blocks"), F.col("sid"), seed).alias("block")), block_words)
+    slots = written(_permuted(_slots(sources, seed), "block", "k", "blocks", seed).drop("blocks"), "mix-slots")
+    return Mix(documents, sources, slots, block_words)
 
 
 def pieces(plan: Mix) -> DataFrame:

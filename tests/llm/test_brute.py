@@ -161,7 +161,8 @@ def test_op3_permutation(spark):
     from pyspark.sql import functions as F
 
     for blocks in (1, 7, 1000):
-        k = spark.range(2 * blocks).select((F.col("id") >= blocks).alias("turn"), mixing._permuted(F.col("id"), F.lit(blocks).cast("long"), F.lit(3), 7).alias("b"))
+        k = spark.range(2 * blocks).select((F.col("id") >= blocks).alias("turn"), "id", F.lit(blocks).alias("n"), F.lit(3).alias("sid"))
+        k = mixing._permuted(k, "b", "id", "n", 7)
         assert [r.n for r in k.groupBy("turn").agg(F.countDistinct("b").alias("n")).collect()] == [blocks, blocks]
 
 

@@ -39,7 +39,7 @@ def test_permutation_of_any_size(spark):
     sizes = [*range(1, 40), 199, 1021, 4096, 20_001]
     rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
     found = collections.defaultdict(dict)
-    for r in rows.select("n", "k", mixing._permuted(F.col("k"), F.col("n"), F.lit(3), 7).alias("b")).collect():
+    for r in mixing._permuted(rows.withColumn("sid", F.lit(3)), "b", "k", "n", 7).collect():
         found[r.n][r.k] = r.b
     for n in sizes:
         values = [found[n][k] for k in range(n)]
