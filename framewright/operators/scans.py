@@ -48,12 +48,13 @@ def bracketed(values: DataFrame, points: DataFrame, at: str, point: str, keys: l
     p = points.select(*keys, F.floor(F.col(point) / width).alias("_tile"), F.col(point).cast("double").alias("_at"), mine.alias("_point"))
     v = values.withColumn("_at", F.col(at).cast("double")).withColumn("_tile", F.floor(F.col("_at") / width)).withColumn("_row", F.lit(True))
     borders = p.select(*keys, "_tile", "_point").unionByName(v.select(*keys, "_tile").distinct(), allowMissingColumns=True).groupBy(*keys, "_tile").agg(F.max("_point").alias("_high"), F.min("_point").alias("_low"))
-    after = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(1, Window.unboundedFollowing)
-    carried = borders.select(*keys, "_tile", F.last("_high", ignorenulls=True).over(_before(keys)).alias("_left"), F.first("_low", ignorenulls=True).over(after).alias("_right"))
-    order = Window.partitionBy(*keys, "_tile").orderBy("_at")
+    # what follows is taken over the rows in falling order: a frame that ends at the end of its window is gone through anew for every row
+    after = Window.partitionBy(*keys).orderBy(F.desc("_tile")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = borders.select(*keys, "_tile", F.max("_high").over(_before(keys)).alias("_left"), F.min("_low").over(after).alias("_right"))
+    tile, so_far = Window.partitionBy(*keys, "_tile"), (Window.unboundedPreceding, Window.currentRow)
     both = v.unionByName(p, allowMissingColumns=True)
-    both = both.withColumn("_below", F.last("_point", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_above", F.first("_point", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))).filter("_row").drop("_point", "_row", "_at")
+    both = both.withColumn("_below", F.max("_point").over(tile.orderBy("_at").rangeBetween(*so_far)))
+    both = both.withColumn("_above", F.min("_point").over(tile.orderBy(F.desc("_at")).rangeBetween(*so_far))).filter("_row").drop("_point", "_row", "_at")
     met = both.join(carried, [*keys, "_tile"])
     return met.withColumn("below", F.coalesce("_below", "_left")).withColumn("above", F.coalesce("_above", "_right")).drop("_tile", "_below", "_above", "_left", "_right")
 

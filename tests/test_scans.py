@@ -59,3 +59,10 @@ def test_derivatives(spark):
     for r in scans.spline_derivatives(df, times, 10.0, 16).collect():
         inside = t[0] <= r.t <= t[-1]
         assert r.value == (pytest.approx(3 * r.t**2 - 40 * r.t, rel=1e-6, abs=1e-5) if inside else None)
+
+
+def test_brackets_go_through_a_tile_once(rows):
+    """A frame up to the end of its window is gone through anew for every row: quadratic in the rows of a tile."""
+    got = scans.bracketed(rows, rows.select("parameter", F.col("t").alias("p")), "t", "p", ["parameter"], 1e6)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().analyzed().toString().lower()
+    assert all(r.below["at"] == r.t == r.above["at"] for r in got.collect())
