@@ -107,7 +107,8 @@ def without_weaker_neighbours(blobs: DataFrame, key: str = "map_id", reach: floa
 def components(mask: DataFrame, written, key: str = "map_id") -> DataFrame:
     """(map, x, y, label) of 4-connected components of mask cells: the least (x, y) of each.
 
-    Labels spread to neighbours and then jump along labels; each round is written by ``written``.
+    Labels spread to neighbours and then jump along labels; each round is written by ``written``. Its joins are by sort and merge: files of
+    labels are small for the rows in them, and a broadcast would take them all through the driver in every round.
     """
     cell = F.struct("x", "y")
     labels = written(mask.select(key, "x", "y", cell.alias("label")))
@@ -115,9 +116,9 @@ def components(mask: DataFrame, written, key: str = "map_id") -> DataFrame:
         steps = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
         sent = labels.select(key, F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in steps])).alias("to"), "label")
         least = sent.groupBy(key, F.col("to.x").alias("x"), F.col("to.y").alias("y")).agg(F.min("label").alias("near"))
-        spread = labels.join(least, [key, "x", "y"]).select(key, "x", "y", "label", "near")
+        spread = labels.join(least.hint("merge"), [key, "x", "y"]).select(key, "x", "y", "label", "near")
         root = spread.select(F.col(key), F.struct("x", "y").alias("near"), F.col("near").alias("far"))
-        new = spread.join(root, [key, "near"]).select(key, "x", "y", F.least("near", "far").alias("label"), (F.least("near", "far") != F.col("label")).alias("moved"))
+        new = spread.join(root.hint("merge"), [key, "near"]).select(key, "x", "y", F.least("near", "far").alias("label"), (F.least("near", "far") != F.col("label")).alias("moved"))
         new = written(new)
         if new.filter("moved").isEmpty():
             return new.drop("moved")
@@ -129,7 +130,7 @@ def without_components(mask: DataFrame, written, least: int = 1, most: int | Non
     labelled = components(mask, written, key)
     sizes = labelled.groupBy(key, "label").agg(F.count("*").alias("n"))
     ok = F.col("n") >= least if most is None else F.col("n").between(least, most)
-    return labelled.join(sizes.filter(ok), [key, "label"], "left_semi").select(key, "x", "y")
+    return labelled.join(sizes.filter(ok).hint("merge"), [key, "label"], "left_semi").select(key, "x", "y")
 
 
 def union(masks: list[DataFrame]) -> DataFrame:

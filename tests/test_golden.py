@@ -236,3 +236,18 @@ def test_missing_target_values_are_left_out():
     assert np.isnan(f["residual"][[4, 17]]).all()
     assert np.abs(np.delete(f["residual"], [4, 17])).max() < 1e-9
     assert np.isnan(models.fit_series(x, np.full(60, np.nan), 3, "LinearRegression")["residual"]).all()
+
+
+def test_components_send_nothing_through_the_driver(spark):
+    """Labels spread by sort and merge: small files of labels hold many rows, and a broadcast takes them all to the driver in every round."""
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return src.checkpointed(df)
+
+    mask = spark.createDataFrame([(0, x, y) for x, y in [(0, 0), (0, 1), (0, 2), (5, 5), (5, 6), (9, 9)]], "map_id int, x int, y int")
+    kept = masks.without_components(mask, written, least=2)
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert {(r.x, r.y) for r in kept.collect()} == {(0, 0), (0, 1), (0, 2), (5, 5), (5, 6)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
