@@ -1,6 +1,6 @@
 """Leave-fold-out regressions per pixel, PCA subtraction, clustering, covariate interpolation.
 
-A group is one target pixel with the series of its predictors, whose number the mask radii bound.
+A target pixel goes with the series of its predictors, whose number the mask radii bound; a group is a small square of targets.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -93,14 +94,17 @@ def fit_series(x: np.ndarray, y: np.ndarray, folds: int, model: str = "RidgeCV",
     return {"residual": residual, "coefficients": coefficients, "signal": float(np.mean(signal)) if signal else np.nan, "penalty": float(np.mean(penalties)) if signal else np.nan}
 
 
+_TYPES = {"int": pa.int32(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
 FIT_SCHEMA = "tx int, ty int, signal_time int, residual array<double>, px array<int>, py array<int>, coefficients array<double>, signal double, penalty double"
+FIT_TYPES = {c.split()[0]: _TYPES[c.split()[1]] for c in FIT_SCHEMA.split(", ")}
+_TILE = 8  # targets a side of a group
 
 
 def fit_pixels(pairs: DataFrame, series: DataFrame, expected: DataFrame | None = None, folds: int = 3, model: str = "RidgeCV", alphas=(1.0,), mode: str = "default") -> DataFrame:
     """One row per target and signal time: residual series, mean coefficient of each predictor, signal share, penalty.
 
     ``pairs`` (tx, ty, x, y); ``series`` (x, y, v); ``expected`` (tx, ty, signal_time, e) as series. All signal times of a target
-    are fitted in its group, so its predictors move once.
+    are fitted together, so its predictors move once. A group is a square of _TILE targets a side: the cost of a group is not paid for each target.
     """
     met = pairs.select("tx", "ty", "x", "y").join(series.select("x", "y", "v"), ["x", "y"])
     own = series.select(F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("x"), F.col("y"), "v")
@@ -111,23 +115,34 @@ def fit_pixels(pairs: DataFrame, series: DataFrame, expected: DataFrame | None =
         e = expected.select("tx", "ty", F.col("tx").alias("x"), F.col("ty").alias("y"), F.col("e").alias("v"), F.lit(2).alias("kind"), "signal_time")
         rows = rows.unionByName(e.join(targets, ["tx", "ty"], "left_semi").select(*rows.columns))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        as_array = lambda v: np.array([[np.nan if z is None else z for z in a] for a in v], float)
-        pdf = pdf.sort_values(["kind", "x", "y", "signal_time"])
-        p = pdf[pdf.kind == 0]
-        if not len(p) or not (pdf.kind == 1).any():
-            return pd.DataFrame(columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
-        x = as_array(p.v).T
-        x = np.where(np.isnan(x), np.nan_to_num(pd.DataFrame(x).mean().to_numpy()), x)
-        y = as_array(pdf[pdf.kind == 1].v)[0]
-        signals = [(int(r.signal_time), as_array([r.v])[0]) for r in pdf[pdf.kind == 2].itertuples()] or [(None, None)]
-        out = []
-        for time, e in signals:
-            f = fit_series(x, y, folds, model, alphas, None if e is None else np.nan_to_num(e), mode)
-            out.append((pdf.tx.iloc[0], pdf.ty.iloc[0], time, f["residual"], p.x.to_list(), p.y.to_list(), f["coefficients"].mean(0), f["signal"], f["penalty"]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
+    def matrix(v: pa.ChunkedArray) -> np.ndarray:
+        """One row per series, NaN where a value is missing."""
+        v = v.combine_chunks()
+        return v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
 
-    return rows.groupBy("tx", "ty").applyInPandas(run, FIT_SCHEMA)
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by([(c, "ascending") for c in ("tx", "ty", "kind", "x", "y", "signal_time")])
+        tx, ty, kind, px, py = (tile[c].to_numpy() for c in ("tx", "ty", "kind", "x", "y"))
+        times = tile["signal_time"].to_pylist()
+        out = []
+        starts = np.flatnonzero(np.append(True, (np.diff(tx) != 0) | (np.diff(ty) != 0)))
+        for lo, hi in zip(starts, np.append(starts[1:], len(tx))):
+            own, signal = lo + np.searchsorted(kind[lo:hi], [1, 2])
+            if own == lo or own == signal:
+                continue
+            x = matrix(tile["v"].slice(lo, own - lo)).T
+            if np.isnan(x).any():
+                x = np.where(np.isnan(x), np.nan_to_num(pd.DataFrame(x).mean().to_numpy()), x)
+            y = matrix(tile["v"].slice(own, 1))[0]
+            for at in range(signal, hi) if signal < hi else [None]:
+                e = None if at is None else np.nan_to_num(matrix(tile["v"].slice(at, 1))[0])
+                f = fit_series(x, y, folds, model, alphas, e, mode)
+                out.append((tx[lo], ty[lo], None if at is None else times[at], f["residual"], px[lo:own], py[lo:own], f["coefficients"].mean(0), f["signal"], f["penalty"]))
+        columns = list(zip(*out)) or [()] * len(FIT_TYPES)
+        return pa.table({name: pa.array(column, kind, from_pandas=True) for (name, kind), column in zip(FIT_TYPES.items(), columns)})
+
+    tile = [F.floor(F.col(c) / _TILE).alias(name) for c, name in (("tx", "ti"), ("ty", "tj"))]
+    return rows.withColumns(dict(zip(("ti", "tj"), tile))).groupBy("ti", "tj").applyInArrow(run, FIT_SCHEMA)
 
 
 def expected_of_overlay(overlay: DataFrame, least: float = 0.2) -> DataFrame:

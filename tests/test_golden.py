@@ -251,3 +251,25 @@ def test_components_send_nothing_through_the_driver(spark):
     plans.append(kept._jdf.queryExecution().executedPlan().toString())
     assert {(r.x, r.y) for r in kept.collect()} == {(0, 0), (0, 1), (0, 2), (5, 5), (5, 6)}
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_pixels_are_fitted_by_squares_of_targets(spark):
+    """The same fits as one by one, also with missing values, in one group per square of targets."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(11, 9, 12))
+    v[2, 3, 4] = v[10, 8, 0] = np.nan
+    s = spark.createDataFrame([(x, y, [None if np.isnan(z) else float(z) for z in v[x, y]]) for x in range(11) for y in range(9)], "x int, y int, v array<double>")
+    pairs = spark.createDataFrame([(x, y, 10 - x, 8 - y) for x in range(11) for y in range(9)] + [(0, 0, 3, 3)], "tx int, ty int, x int, y int")
+    e = np.exp(-((np.arange(12) - 5.0) ** 2) / 4)
+    expected = spark.createDataFrame([(1, 1, k, e.tolist()) for k in (5, 2)], "tx int, ty int, signal_time int, e array<double>")
+    out = models.fit_pixels(pairs, s, expected, folds=2, model="LinearRegression", mode="signal_fitting")
+    got = {(r.tx, r.ty, r.signal_time): r for r in out.collect()}
+    assert len(got) == 11 * 9 + 1 and {(1, 1, 2), (1, 1, 5)} <= set(got)
+    for (x, y, time), r in got.items():
+        p = v[[3, 10], [3, 8]].T if (x, y) == (0, 0) else v[10 - x, 8 - y][:, None]
+        p = np.where(np.isnan(p), np.nanmean(p, axis=0), p)
+        want = models.fit_series(p, v[x, y], 2, "LinearRegression", (1.0,), None if time is None else e, "signal_fitting")
+        assert np.array(r.residual, float) == pytest.approx(want["residual"], abs=1e-12, nan_ok=True)
+        assert r.coefficients == pytest.approx(want["coefficients"].mean(0), abs=1e-12) and (r.signal is None) == (time is None)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroups" in plan and "ti#" in plan.split("FlatMapGroups")[1].split("\n")[0]
