@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,31 +42,43 @@ def admissible_covariates(expected: DataFrame, obscon: DataFrame, most: float =
     return g.filter(F.col("_gap") | (F.col("_low") == F.col("_high")) | (F.abs("r") <= most)).select("x", "y", "signal_time", "key", "r")
 
 
-def correlation_map(series: DataFrame, block: int = 256, epsilon: float = 2.220446049250313e-16) -> DataFrame:
+#: Pairs of pixels in a batch of results, and the least number of blocks of pixels.
+_PAIRS, _BLOCKS = 1 << 18, 16
+
+
+def correlation_map(series: DataFrame, block: int = 8192, epsilon: float = 2.220446049250313e-16) -> DataFrame:
     """Correlation over time of every two pixels (x, y) <= (x2, y2), from (x, y, v).
 
-    Pixels go to blocks of about ``block`` by hash; each pair of blocks is one group and one matrix product.
+    Pixels go to _BLOCKS blocks by hash, or more of about ``block``; each pair of blocks is one group, whose matrix product is taken and sent strip
+    by strip. A series is shuffled once per block: of N pixels N * N / ``block`` series, a small part of the N * N / 2 results.
     """
     rows = series.select("x", "y", "v")
-    n = max(1, -(-rows.count() // block))
+    n = max(_BLOCKS, -(-rows.count() // block))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("x", "y"), F.lit(n)))
     left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     pairs = left.select(F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "x", "y", "v")
 
-    def product(key, t):
-        v = np.stack([np.asarray(a.values) for a in t["v"]]) if t.num_rows else np.zeros((0, 1))
-        d = v - v.mean(1, keepdims=True)
+    def product(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        i, j = (k.as_py() for k in key)
         own, x, y = (t[c].to_numpy() for c in ("b", "x", "y"))
-        one, two = own == key[0].as_py(), own == key[1].as_py()
-        d1, d2 = d[one], d[two]
-        c = d1 @ d2.T / (np.sqrt(np.outer((d1**2).sum(1), (d2**2).sum(1))) + epsilon)
-        a, b = np.meshgrid(np.flatnonzero(one), np.flatnonzero(two), indexing="ij")
-        a, b, c = a.ravel(), b.ravel(), np.clip(c, -1, 1).ravel()
-        swap = (x[a] > x[b]) | ((x[a] == x[b]) & (y[a] > y[b]))
-        if key[0].as_py() == key[1].as_py():
-            a, b, c, swap = a[~swap], b[~swap], c[~swap], swap[~swap]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.table({"x": x[a], "y": y[a], "x2": x[b], "y2": y[b], "value": c})
+        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+        d = v - v.mean(1, keepdims=True)
+        s = (d**2).sum(1)
+        one, two = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        x2, y2, right = x[two], y[two], np.ascontiguousarray(d[two].T)
+        step = max(1, _PAIRS // max(1, len(two)))
+        for lo in range(0, len(one) if len(two) else 0, step):
+            at = one[lo : lo + step]
+            c = np.clip(d[at] @ right / (np.sqrt(np.outer(s[at], s[two])) + epsilon), -1, 1)
+            x1, y1 = x[at, None], y[at, None]
+            swap = (x1 > x2) | ((x1 == x2) & (y1 > y2))
+            if i == j:
+                a, b = np.nonzero(~swap)
+                columns = [x[at][a], y[at][a], x2[b], y2[b], c[a, b]]
+            else:
+                columns = [np.where(swap, p, q) for p, q in ((x2, x1), (y2, y1), (x1, x2), (y1, y2))] + [c]
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel()) for k in columns], ["x", "y", "x2", "y2", "value"])
 
     return pairs.groupBy("i", "j").applyInArrow(product, "x int, y int, x2 int, y2 int, value double")
 

@@ -149,7 +149,8 @@ def mirror_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT p.x, p.y, x2, y2, round(p / (sqrt(a.s * b.s) + 2.220446049250313e-16), 5) + 0.0 AS value FROM p JOIN n a ON a.x = p.x AND a.y = p.y JOIN n b ON b.x = x2 AND b.y = y2""")
 def correlation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ts.correlation_map(src.series(spark, sf_dir))
-    return out.select("x", "y", "x2", "y2", (F.round("value", 5) + 0.0).alias("value"))
+    rounded = F.signum("value") * F.floor(F.abs("value") * 1e5 + 0.5) / 1e5  # half away from zero as F.round, without a decimal object for every pair
+    return out.select("x", "y", "x2", "y2", (rounded + 0.0).alias("value"))
 
 
 @query(f"WITH {OBSCON} SELECT a.key, b.key AS key2, round({CORR.format(a='a.value', b='b.value')}, 6) AS value FROM obscon a JOIN obscon b USING (frame) GROUP BY 1, 2")

@@ -273,3 +273,19 @@ def test_pixels_are_fitted_by_squares_of_targets(spark):
         assert r.coefficients == pytest.approx(want["coefficients"].mean(0), abs=1e-12) and (r.signal is None) == (time is None)
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "FlatMapGroups" in plan and "ti#" in plan.split("FlatMapGroups")[1].split("\n")[0]
+
+
+def test_correlation_map_sends_a_series_to_few_blocks(spark, monkeypatch):
+    """Blocks grow with the pixels, so that copies of series stay few; products come strip by strip."""
+    v = np.random.default_rng(8).normal(size=(70, 9))
+    v[5] = 2.0
+    s = spark.createDataFrame([(k // 8, k % 8, v[k].tolist()) for k in range(70)], "x int, y int, v array<double>")
+    monkeypatch.setattr(ts, "_PAIRS", 11)
+    got = {(r.x * 8 + r.y, r.x2 * 8 + r.y2): r.value for r in ts.correlation_map(s).collect()}
+    assert set(got) == {(a, b) for a in range(70) for b in range(a, 70)}
+    d = v - v.mean(1, keepdims=True)
+    want = d @ d.T / (np.sqrt(np.outer((d**2).sum(1), (d**2).sum(1))) + 2.220446049250313e-16)
+    assert all(value == pytest.approx(want[k], abs=1e-12) for k, value in got.items())
+    many = spark.range(20000).selectExpr("cast(id % 25 as int) x", "cast(id / 25 as int) y", "array(1.0D, 2.0D) v")
+    plan = ts.correlation_map(many)._jdf.queryExecution().analyzed().toString()
+    assert "sequence(0, 15" in plan
