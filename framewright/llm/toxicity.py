@@ -2,8 +2,8 @@
 
 A token's embedding is the sum of those of its hash and the hashes of its first bytes. Filters of widths 1, 2
 and 3 run over the tokens of a text; each filter's largest value feeds a logistic layer. It is
-trained in numpy; the threshold of each language is calibrated on a fifth of the labelled sample
-that training does not see. Language serves those thresholds only, not the score.
+trained on all labelled rows, in passes: shards of them train copies of the model by themselves, and the mean of
+their changes goes to the next pass; the threshold of each language is calibrated on a fifth of the labelled rows that training does not see. Language serves those thresholds only, not the score.
 
 Defined results: a null or empty text has no tokens and gets the score of the bias and empty
 filters; very long texts are scored whole; a null language uses the default threshold; repeated rows get equal results. Labels that
@@ -13,9 +13,9 @@ an empty table gives no rows, and without labels every score is 0.5. Columns oth
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import text as tx
-from framewright.llm.store import agreed
+from framewright.llm.store import BROADCAST_ROWS, agreed, discard, written
 
 BUCKETS, DIM = 1 << 18, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
 PREFIXES = (4, 5, 6)
-#: Training reads at most so many labelled rows of either label.
-SAMPLE_PER_LABEL = 2000
+#: Labelled documents in a shard, of which each trains by itself in a pass, and in a batch.
+SHARD, BATCH = 4096, 32
 #: A language has its own threshold if the calibration rows hold so many of either label.
 LEAST_PER_LANGUAGE = 15
 _BLOCK = 1 << 16  # tokens convolved at once
@@ -97,131 +97,241 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 32, seed: int = 5) -> Cnn:
-    """Adam on the logistic loss; through max pooling only the windows that won get a gradient.
+def fresh(counts: np.ndarray, totals: np.ndarray, seed: int = 5) -> Cnn:
+    """The model before training, from the documents of either label that hold a bucket (2 x BUCKETS) and all of either label.
 
-    The first embedding dimension starts as the log odds of the buckets that several documents hold.
+    The first embedding dimension starts as the log odds of the buckets that several documents hold. Without rows of both labels it is a bias alone.
     """
     rng = np.random.default_rng(seed)
     n_out = len(WIDTHS) * FILTERS
     embed = (rng.standard_normal((BUCKETS, DIM)) * 0.05).astype(np.float32)
     filters = [(rng.standard_normal((w, DIM, FILTERS)) * 0.3).astype(np.float32) for w in WIDTHS]
     model = Cnn(embed, filters, np.zeros(n_out, np.float32), (rng.standard_normal(n_out) * 0.1).astype(np.float32), 0.0)
-    if not len(docs) or y.all() or not y.any():
-        model.bias = 0.0 if not len(docs) else (3.0 if y.all() else -3.0)
+    if not totals.all():
+        model.bias = 0.0 if not totals.any() else (3.0 if totals[1] else -3.0)
         model.dense[:] = 0
         return model
-    counts = np.zeros((2, BUCKETS))
-    for ids, label in zip(docs, y):
-        counts[int(label), np.unique(ids)] += 1
-    odds = np.log((counts[1] + 1) / (y.sum() + 2)) - np.log((counts[0] + 1) / ((~y).sum() + 2))
+    odds = np.log((counts[1] + 1) / (totals[1] + 2)) - np.log((counts[0] + 1) / (totals[0] + 2))
     embed[:, 0] = np.where(counts.sum(0) >= 4, np.clip(odds, -1, 4), 0) / 2
     for f in filters:
         f[:, 0, 0] = 1
     model.dense[::FILTERS] = 1
-    state: dict[str, list] = {}
+    return model
 
-    def adam(name: str, p: np.ndarray, g: np.ndarray, rows=slice(None), rate: float = 0.02) -> None:
-        m, v, k = state.setdefault(name, [np.zeros_like(p), np.zeros_like(p), 0])
-        state[name][2] = k = k + 1
+
+class Trainer:
+    """Adam on the logistic loss over batches of documents; through max pooling only the windows that won get a gradient."""
+
+    def __init__(self, model: Cnn):
+        self.model = Cnn(model.embed.copy(), [f.copy() for f in model.filters], model.shift.copy(), model.dense.copy(), 0.0)
+        self.bias = np.full(1, model.bias, np.float32)
+        self.touched = np.zeros(BUCKETS, bool)
+        self.state: dict[str, list] = {}
+
+    def _adam(self, name: str, p: np.ndarray, g: np.ndarray, rows=slice(None), rate: float = 0.02) -> None:
+        m, v, k = self.state.setdefault(name, [np.zeros_like(p), np.zeros_like(p), 0])
+        self.state[name][2] = k = k + 1
         m[rows] = 0.9 * m[rows] + 0.1 * g
         v[rows] = 0.99 * v[rows] + 0.01 * g * g
         p[rows] -= rate * (m[rows] / (1 - 0.9**k)) / (np.sqrt(v[rows] / (1 - 0.99**k)) + 1e-6)
 
-    bias = np.zeros(1, np.float32)
-    for _ in range(epochs):
+    def step(self, docs: list[np.ndarray], y: np.ndarray) -> None:
+        model, n_out = self.model, len(WIDTHS) * FILTERS
+        sizes = np.array([len(d) for d in docs])
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.concatenate(docs)
+        out, room = _convolve(model, ids), _room(before)
+        win = np.full((len(docs), n_out), -1)
+        for k, w in enumerate(WIDTHS):
+            cols = slice(k * FILTERS, (k + 1) * FILTERS)
+            out[room < w, cols] = -np.inf
+            for d in np.flatnonzero(sizes >= w):
+                win[d, cols] = before[d] + out[before[d] : before[d + 1], cols].argmax(0)
+        value = np.where(win >= 0, np.take_along_axis(out, np.maximum(win, 0), 0) if len(out) else 0, 0) + model.shift
+        hidden = np.maximum(value, 0)
+        error = ((_sigmoid(hidden @ model.dense + self.bias[0]) - y) / len(docs)).astype(np.float32)
+        back = error[:, None] * model.dense * (value > 0)
+        g_filters = [np.zeros_like(f) for f in model.filters]
+        rows, g_rows = [], []
+        for k, w in enumerate(WIDTHS):
+            own = slice(k * FILTERS, (k + 1) * FILTERS)
+            d, f = np.nonzero((win[:, own] >= 0) & (back[:, own] != 0))
+            weight, p = back[:, own][d, f][:, None], win[:, own][d, f]
+            for t in range(w):
+                at = ids[p + t]
+                x = weight * model.embed[at].sum(1)
+                for c in range(FILTERS):
+                    g_filters[k][t, :, c] = x[f == c].sum(0)
+                rows.append(at.ravel())
+                g_rows.append(np.repeat(weight * model.filters[k][t].T[f], at.shape[1], axis=0))
+        self._adam("dense", model.dense, hidden.T @ error + 1e-4 * model.dense)
+        self._adam("bias", self.bias, error.sum(keepdims=True))
+        self._adam("shift", model.shift, back.sum(0))
+        for k, f in enumerate(model.filters):
+            self._adam(f"filter{k}", f, g_filters[k] + 1e-4 * f, rate=0.01)
+        touched, inverse = np.unique(np.concatenate(rows), return_inverse=True)
+        if len(touched):
+            g = np.zeros((len(touched), DIM), np.float32)
+            np.add.at(g, inverse, np.concatenate(g_rows))
+            self._adam("embed", model.embed, g, touched, rate=0.01)
+            self.touched[touched] = True
+
+    def small(self) -> np.ndarray:
+        """All numbers but the embeddings."""
+        return np.concatenate([*(f.ravel() for f in self.model.filters), self.model.shift, self.model.dense, self.bias]).astype(float)
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 32, seed: int = 5) -> Cnn:
+    """The model trained on documents in memory."""
+    counts = np.zeros((2, BUCKETS))
+    for ids, label in zip(docs, y):
+        counts[int(label), np.unique(ids)] += 1
+    totals = np.array([(~y).sum(), y.sum()])
+    trainer = Trainer(fresh(counts, totals, seed))
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs if totals.all() else 0):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
-            chosen = order[at : at + batch]
-            sizes = np.array([len(docs[i]) for i in chosen])
-            before = np.concatenate([[0], np.cumsum(sizes)])
-            ids = np.concatenate([docs[i] for i in chosen]) if sizes.sum() else np.zeros((0, 1 + len(PREFIXES)), np.int32)
-            out, room = _convolve(model, ids), _room(before)
-            win = np.full((len(chosen), n_out), -1)
-            for k, w in enumerate(WIDTHS):
-                cols = slice(k * FILTERS, (k + 1) * FILTERS)
-                out[room < w, cols] = -np.inf
-                for d, size in enumerate(sizes):
-                    if size >= w:
-                        win[d, cols] = before[d] + out[before[d] : before[d + 1], cols].argmax(0)
-            value = np.where(win >= 0, np.take_along_axis(out, np.maximum(win, 0), 0) if len(out) else 0, 0) + model.shift
-            hidden = np.maximum(value, 0)
-            error = ((_sigmoid(hidden @ model.dense + bias[0]) - y[chosen]) / len(chosen)).astype(np.float32)
-            back = error[:, None] * model.dense * (value > 0)
-            g_filters = [np.zeros_like(f) for f in filters]
-            rows, g_rows = [], []
-            for d, c in zip(*np.nonzero((win >= 0) & (back != 0))):
-                k, f, p = c // FILTERS, c % FILTERS, win[d, c]
-                for t in range(WIDTHS[k]):
-                    x = embed[ids[p + t]].sum(0)
-                    g_filters[k][t, :, f] += back[d, c] * x
-                    rows.append(ids[p + t])
-                    g_rows.append(np.broadcast_to(back[d, c] * filters[k][t, :, f], (ids.shape[1], DIM)))
-            adam("dense", model.dense, hidden.T @ error + 1e-4 * model.dense)
-            adam("bias", bias, error.sum(keepdims=True))
-            adam("shift", model.shift, back.sum(0))
-            for k, f in enumerate(filters):
-                adam(f"filter{k}", f, g_filters[k] + 1e-4 * f, rate=0.01)
-            if rows:
-                touched, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-                g = np.zeros((len(touched), DIM), np.float32)
-                np.add.at(g, inverse, np.concatenate(g_rows))
-                adam("embed", embed, g, touched, rate=0.01)
-    model.bias = float(bias[0])
-    return model
+            trainer.step([docs[i] for i in order[at : at + batch]], y[order[at : at + batch]])
+    trainer.model.bias = float(trainer.bias[0])
+    return trainer.model
 
 
-def calibrate(scores: np.ndarray, y: np.ndarray, langs: list) -> dict[str, float]:
-    """Per language, the middle of the range of thresholds that make the fewest errors; '' is for all others."""
-    found = {}
-    for lang in ["", *sorted({x for x in langs if x})]:
-        own = np.array([not lang or x == lang for x in langs], bool)
-        s, t = scores[own], y[own]
-        if lang and min(t.sum(), (~t).sum()) < LEAST_PER_LANGUAGE:
-            continue
-        grid = np.linspace(0.05, 0.95, 91)
-        errors = np.array([((s >= g) != t).sum() for g in grid]) if len(s) else np.zeros(91)
-        found[lang] = float(np.median(grid[errors == errors.min()]))
-    return found
+_PARTS = 16
 
 
-def held_out(doc_id: str | None) -> bool:
-    return doc_id is not None and zlib.crc32(doc_id.encode()) % 5 == 0
+def _sparse(first: int, total: np.ndarray) -> pa.RecordBatch:
+    """The rows of ``total`` that are not all zero, dealt to parts."""
+    at = np.flatnonzero(total.any(1)).astype(np.int32)
+    own = [at[at % _PARTS == k] for k in range(_PARTS)]
+    columns = [pa.array(range(_PARTS), pa.int32()), pa.array([first] * _PARTS, pa.int32()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([total[x].tobytes() for x in own], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "first", "at", "total"])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Cnn:
-    """Fit on labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most ``per_label`` of each label; a document labelled both ways is left out.
+def _added(df: DataFrame, tasks, size: int, width: int) -> np.ndarray:
+    """The sum of what ``tasks`` makes of the partitions of ``df``: ``size`` x ``width`` numbers, added up by parts of the rows."""
 
-    A language with fewer than LEAST_PER_LANGUAGE rows of either label among those kept for calibration gets the common threshold.
-    """
-    learn = labels.filter("doc_id is not null and toxic is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    ids = agreed(learn.select("doc_id", F.expr("toxic > 0").alias("toxic")), "toxic")
-    count = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
-    parts = [ids.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for t in (True, False)]
-    wanted = parts[0].unionByName(parts[1])  # at most 2 * per_label rows: broadcast
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("first", "ascending")])
+        total = np.zeros((size, width))
+        for at, own in zip(t["at"], t["total"]):
+            total[np.frombuffer(at.as_buffer(), np.int32)] += np.frombuffer(own.as_buffer()).reshape(-1, width)
+        whole = _sparse(0, total)
+        return pa.Table.from_batches([whole.take(pa.array([t["part"][0].as_py()]))])
+
+    schema = "part int, first int, at binary, total binary"
+    total = np.zeros((size, width))
+    for r in df.mapInArrow(tasks, schema).groupBy("part").applyInArrow(add, schema).toArrow().to_batches():  # of fixed size
+        for at, own in zip(r["at"], r["total"]):
+            total[np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(own.as_buffer()).reshape(-1, width)
+    return total
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """(shard, label, buckets of its tokens) of each row."""
+    for batch in batches:
+        shards, y = batch["shard"].to_pylist(), batch["toxic"].to_pylist()
+        for lo, hi, raw, offsets in tx.slices(batch["text"]):
+            ids, before = token_ids(raw, offsets)
+            for k in range(lo, hi):
+                yield shards[k], y[k], ids[before[k - lo] : before[k - lo + 1]]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of either label that hold a bucket; the last row: all of them."""
+    total, first = np.zeros((BUCKETS + 1, 2)), -1
+    for shard, label, ids in _documents(batches):
+        first = shard if first < 0 else first
+        total[np.unique(ids), int(label)] += 1
+        total[BUCKETS, int(label)] += 1
+    yield _sparse(first, total)
+
+
+def _epoch(table: DataFrame, model: Cnn) -> Cnn:
+    """``model`` after one pass over ``table``: every shard trains it by itself, then each number changes by the mean of the shards that changed it."""
+    spark = table.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # of fixed size: BUCKETS x DIM floats
+    start = Trainer(model).small()
+    size = BUCKETS + len(start)
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, total, first = shared.value, np.zeros((size, DIM + 1)), -1
+        for shard, rows in groupby(_documents(batches), lambda r: r[0]):
+            first = shard if first < 0 else first
+            trainer = Trainer(base)
+            while some := list(islice(rows, BATCH)):
+                trainer.step([ids for _, _, ids in some], np.array([label for _, label, _ in some], bool))
+            t = np.flatnonzero(trainer.touched)
+            total[t, :DIM] += trainer.model.embed[t] - base.embed[t]
+            total[t, DIM] += 1
+            total[BUCKETS:, 0] += trainer.small() - start
+            total[BUCKETS:, DIM] += 1
+        yield _sparse(first, total)
+
+    total = _added(table, run, size, DIM + 1)
+    shared.unpersist()
+    change = total[:, :DIM] / np.maximum(total[:, DIM:], 1)
+    numbers = np.split((start + change[BUCKETS:, 0]).astype(np.float32), np.cumsum([*(f.size for f in model.filters), model.shift.size, model.dense.size]))
+    filters = [n.reshape(f.shape) for n, f in zip(numbers, model.filters)]
+    return Cnn((model.embed + change[:BUCKETS]).astype(np.float32), filters, numbers[-3], numbers[-2], float(numbers[-1][0]))
+
+
+_GRID = np.linspace(0.05, 0.95, 91)
+
+
+def calibrate(table: DataFrame, model: Cnn) -> dict[str, float]:
+    """Per language, the middle of the range of thresholds that make the fewest errors on the rows (text, lang, toxic); '' is for all others."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in tx.slices(batch["text"]):
-                ids, before = token_ids(raw, offsets)
-                n = hi - lo
-                packed = pa.array([ids[i:j].tobytes() for i, j in zip(before[:-1], before[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch[c].slice(lo, n) for c in ("doc_id", "toxic", "lang")] + [packed], ["doc_id", "toxic", "lang", "ids"])
-
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(wanted), "doc_id")
-    sample = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("one")).select("doc_id", "toxic", "one.lang", "one.text")
-    rows = sample.mapInArrow(tokens, "doc_id long, toxic boolean, lang string, ids binary").toArrow()
-    order = sorted(range(len(rows)), key=lambda k: (zlib.crc32(f"c{rows['doc_id'][k]}".encode()), rows["doc_id"][k].as_py()))
-    rows = rows.take(pa.array(order, pa.int64()))
-    docs_ids = [np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 1 + len(PREFIXES)) for x in rows["ids"]]
-    y, langs = np.array(rows["toxic"].to_pylist(), bool), rows["lang"].to_pylist()
-    cut = len(docs_ids) // 5
-    model = fit(docs_ids[cut:], y[cut:])
-    if y.any() and not y.all():
-        share = count[True] / (count[True] + count[False])
-        model.bias += float(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
-    scores = np.array([_sigmoid(logits(model, d, np.array([0, len(d)])))[0] for d in docs_ids[:cut]])
-    model.thresholds = calibrate(scores, y[:cut], langs[:cut]) if cut else {"": 0.5}
+                p = _sigmoid(logits(shared.value, *token_ids(raw, offsets)).astype(float))
+                passed = pa.array(np.searchsorted(_GRID, p, "right").astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch[c].slice(lo, hi - lo) for c in ("lang", "toxic")] + [passed], ["lang", "toxic", "passed"])
+
+    counts = written(table.select("lang", "toxic", "text").mapInArrow(run, "lang string, toxic boolean, passed int").groupBy("lang", "toxic", "passed").count(), "calibration")
+    of = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("count")).otherwise(0))
+    able = counts.filter("lang <> ''").groupBy("lang").agg(F.least(of(True), of(False)).alias("n")).filter(F.col("n") >= LEAST_PER_LANGUAGE).select("lang")
+    every = counts.groupBy(F.lit("").alias("lang"), "toxic", "passed").agg(F.sum("count").alias("count"))
+    rows = every.unionByName(counts.join(able, "lang")).collect()  # two rows per threshold and language
+    discard(counts)
+    right = {r["lang"]: np.zeros((2, len(_GRID) + 1)) for r in rows}
+    for r in rows:
+        right[r["lang"]][int(r["toxic"]), r["passed"]] += r["count"]
+    found = {"": 0.5}
+    for lang, (clean, toxic) in sorted(right.items()):
+        errors = np.cumsum(toxic)[:-1] + clean.sum() - np.cumsum(clean)[:-1]
+        found[lang] = float(np.median(_GRID[errors == errors.min()]))
+    return found
+
+
+def train(docs: DataFrame, labels: DataFrame, shard: int = SHARD, epochs: int = 6) -> Cnn:
+    """Fit on all labelled rows whose crc32(doc_id as text) mod 5 is not 0; a document labelled both ways is left out.
+
+    A fifth of them, by crc32 of the letter c and the doc_id, calibrates the thresholds; the others are dealt to shards of about ``shard`` documents, in each
+    of which every pass trains a copy of the model. A language with fewer than LEAST_PER_LANGUAGE calibration rows of either label gets the common threshold.
+    """
+    name = F.col("doc_id").cast("string")
+    learn = labels.filter("doc_id is not null and toxic is not null").filter(F.crc32(name) % 5 != 0)
+    ids = agreed(learn.select("doc_id", F.expr("toxic > 0").alias("toxic")), "toxic")
+    n = ids.count()
+    ids = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
+    found = docs.select("doc_id", "text", "lang").filter(F.crc32(name) % 5 != 0).join(ids, "doc_id")
+    found = found.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("one"))
+    place = F.crc32(F.concat(F.lit("c"), name))
+    rows = found.select("doc_id", "toxic", "one.lang", "one.text", place.alias("place"))
+    shards = max(1, -(-n // shard))
+    rows = rows.withColumn("shard", F.when(F.col("place") % 5 == 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")))
+    rows = rows.withColumn("slot", F.when(F.col("shard") < 0, F.col("doc_id") % shards).otherwise(F.lit(0)))
+    table = written(rows.repartition(shards + 1, "shard", "slot").sortWithinPartitions("shard", "place", "doc_id").drop("slot", "place", "doc_id"), "labelled")
+    training = table.filter("shard >= 0").select("shard", "toxic", "text")
+    counts = _added(training, _counted, BUCKETS + 1, 2)
+    model = fresh(counts[:BUCKETS].T, counts[BUCKETS])
+    for _ in range(epochs if counts[BUCKETS].all() else 0):
+        model = _epoch(training, model)
+    model.thresholds = calibrate(table.filter("shard < 0"), model)
+    discard(table)
     return model
 
 

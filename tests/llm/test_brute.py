@@ -444,3 +444,27 @@ def test_oracles(spark, sf_dir):
         got = queries.QUERIES[name](spark, sf_dir)
         want = c.execute(f"SELECT {', '.join(sorted(got.columns))} FROM ({sql})").fetchall()
         assert sorted(tuple(r) for r in got.select(*sorted(got.columns)).collect()) == sorted(want)
+
+
+def test_op5_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Counts, model and thresholds come from every labelled row that is not held out, in several shards."""
+    rng = np.random.default_rng(6)
+    toxic = rng.random(6000) < 0.5
+    texts = [f"plain words {'bad' if t else 'good'}{rng.integers(40)} number {k % 7}" for k, t in enumerate(toxic)]
+    docs = spark.createDataFrame([(k, x, "ab"[k % 2]) for k, x in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(t)) for k, t in enumerate(toxic)] + [(7, 1 - int(toxic[7]))], "doc_id long, toxic int")
+    crc = [zlib.crc32(str(k).encode()) % 5 for k in range(6000)]
+    place = [zlib.crc32(f"c{k}".encode()) % 5 for k in range(6000)]
+    seen, calibrated = [], []
+    first, last = toxicity.fresh, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "fresh", lambda counts, totals: (seen.append(totals.tolist()), first(counts, totals))[1])
+    monkeypatch.setattr(toxicity, "calibrate", lambda rows, model: (calibrated.append(rows.count()), last(rows, model))[1])
+    model = toxicity.train(docs, labels, shard=1000, epochs=2)
+    learnt = [k for k in range(6000) if crc[k] and place[k] and k != 7]
+    assert seen == [[sum(not toxic[k] for k in learnt), sum(bool(toxic[k]) for k in learnt)]]
+    assert calibrated == [sum(1 for k in range(6000) if crc[k] and not place[k] and k != 7)]
+    assert set(model.thresholds) == {"", "a", "b"}
+    right = sum(r.toxic == toxic[r.doc_id] for r in toxicity.score(docs, model).collect() if not crc[r.doc_id])
+    assert right > 0.99 * crc.count(0)
+    again = toxicity.train(docs, labels, shard=1000, epochs=2)
+    assert np.array_equal(again.embed, model.embed) and again.thresholds == model.thresholds
