@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import text as tx
-from framewright.llm.linked import Rule, link, most_differing, shared_lists
-from framewright.llm.store import discard, fresh_name, nodes_of, written
+from framewright.llm.linked import Rule, link, most_differing, packed, packed_lists, record
+from framewright.llm.store import bit_map, discard, fresh_name, in_map, small_nodes, written
 
 WIDTH, PERCENT = 5, 80
 BANDS, ROWS = 10, 4
@@ -37,6 +37,10 @@ LONG = 192
 RULE = Rule(PERCENT, 2, 2, most_differing(_K, 0.75 * (1 - PERCENT / 100), 1e-6))
 _OWNERS = 16  # bits for the number of a line in ``tx.distinct``
 _SEEN = 1 << 20
+_MIXED = tx.mix(np.arange(1, (1 << 12) + 1, dtype=np.uint64))  # of the code points of most texts
+_NEAR = 1 << 14  # values that are hashed at once
+_PAIRS = 128  # pairs of lines that are compared at once
+_POSTINGS = 1 << 19  # postings that a task packs at once
 #: Lines of lists that stay open get a signature of so many values by functions.
 _SHARP = 128
 SHARP_RULE = Rule(PERCENT, _SHARP // 32, 2, most_differing(_SHARP, 0.75 * (1 - PERCENT / 100), 1e-6))
@@ -49,14 +53,17 @@ def shingles(raw: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
     lo, hi = at[: len(left)], at[len(left) :]
     size = np.maximum(hi - lo - WIDTH + 1, np.minimum(hi - lo, 1))
     before = np.concatenate([[0], np.cumsum(size)])
-    mixed = tx.mix(points.astype(np.uint64) + tx.U64(1))
+    mixed = _MIXED.take(points) if len(points) and points.max() < len(_MIXED) else tx.mix(points.astype(np.uint64) + tx.U64(1))
     windows = tx.window_hash(mixed, WIDTH)
-    place = np.arange(before[-1]) + np.repeat(lo - before[:-1], size)
+    place = np.repeat(lo - before[:-1], size)
+    place += np.arange(before[-1])
     short = hi - lo < WIDTH
-    values = np.zeros(before[-1], np.uint64)
-    whole = np.repeat(~short, size)
-    values[whole] = windows[place[whole]]
-    if short.any():
+    if not short.any():
+        values = windows.take(place)
+    else:
+        values = np.zeros(before[-1], np.uint64)
+        whole = np.repeat(~short, size)
+        values[whole] = windows[place[whole]]
         edges = np.stack([lo[short], hi[short]], 1).ravel()
         values[~whole] = np.concatenate([tx.run_hash(mixed[a:b], np.array([0, b - a])) for a, b in edges.reshape(-1, 2) if b > a] or [np.zeros(0, np.uint64)])
     return values, before
@@ -65,9 +72,14 @@ def shingles(raw: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
 def _by_functions(values: np.ndarray, before: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """The least product of each run of values with each factor."""
     out = np.empty((len(before) - 1, len(factors)), np.uint64)
-    hashed = np.empty_like(values)
-    for k, factor in enumerate(factors):
-        out[:, k] = np.minimum.reduceat(np.multiply(values, factor, out=hashed), before[:-1])
+    cuts = np.searchsorted(before[:-1], np.arange(0, before[-1], _NEAR))
+    for lo, hi in zip(cuts, [*cuts[1:], len(out)]):  # whole lines that stay in the processor's cache together
+        if lo == hi:
+            continue
+        own, at = values[before[lo] : before[hi]], before[lo:hi] - before[lo]
+        hashed = np.empty_like(own)
+        for k, factor in enumerate(factors):
+            np.minimum.reduceat(np.multiply(own, factor, out=hashed), at, out=out[lo:hi, k])
     return out
 
 
@@ -119,55 +131,74 @@ def _inked(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Lower-cased bytes; first and end byte, document, number and node of each line with a word."""
     low = tx.lower(raw)
     left, right, doc, number = tx.lines(low, offsets)
-    ink = np.concatenate([[0], np.cumsum(tx.inked(low))])
-    has = ink[right] > ink[left]
+    has = right > left
+    if has.any():
+        spans = np.stack([left[has], right[has]], 1).ravel()
+        has[has] = np.logical_or.reduceat(np.append(tx.inked(low), False), spans)[::2]
     left, right, doc, number = left[has], right[has], doc[has], number[has]
     return low, left, right, doc, number, tx.span_hash(low, left, right)
 
 
-LINES = "node long, doc_id long, key long, number long, n long, bands array<long>, signs array<struct<kind:int,s0:long,s1:long>>, line binary"
-
+def _signed(docs: DataFrame) -> DataFrame:
+    """Packed postings of every line with a word by its bands, with its features, where this task has not sent them before."""
+    kind = record(RULE)
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its node and place; bands, signatures, distinct shingles n and bytes where this task has not sent them before."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held, count = [], 0
+        for batch in batches:
+            for _, _, raw, offsets in tx.slices(batch["text"], 1 << 18):
+                low, left, right, _, _, node = _inked(raw, offsets)
+                new = _unseen(node, seen)
+                values, before = tx.distinct(*shingles(low, left[new], right[new]), _OWNERS)
+                size = np.diff(before)
+                for rows, bands, words in signs(values, before):
+                    own = np.empty((len(rows), BANDS), kind)
+                    own["v"] = bands.view(np.int64)
+                    for c, x in (("node", node[new[rows]].view(np.int64)), ("n", size[rows]), *((f"s{k}", words[:, k].view(np.int64)) for k in range(RULE.words))):
+                        own[c] = x[:, None]
+                    held.append(own.ravel())
+                    count += own.size
+                if count > _POSTINGS:
+                    yield packed(np.concatenate(held))
+                    held, count = [], 0
+        if count:
+            yield packed(np.concatenate(held))
+
+    return docs.select("text").mapInArrow(run, "part int, data binary")
+
+
+def _unseen(node: np.ndarray, seen: set[int]) -> np.ndarray:
+    """The first line of each node that is not in ``seen``, where it is put."""
+    keys, first = np.unique(node, return_index=True)
+    new = np.sort(first[np.array([k not in seen for k in keys.tolist()], bool)]) if len(keys) else first
+    if len(seen) > _SEEN:
+        seen.clear()
+    seen.update(node[new].tolist())
+    return new
+
+
+def _places(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """Every line with a word: its node and place, and its bytes where the map ``wanted`` has the node and this task has not sent them before."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for lo, hi, raw, offsets in tx.slices(batch["text"], 1 << 18):
                 low, left, right, doc, number, node = _inked(raw, offsets)
-                keys, first = np.unique(node, return_index=True)
-                new = np.sort(first[np.array([k not in seen for k in keys.tolist()], bool)]) if len(keys) else first
-                if len(seen) > _SEEN:
-                    seen.clear()
-                seen.update(node[new].tolist())
-                values, before = shingles(low, left[new], right[new])
-                values, before = tx.distinct(values, before, _OWNERS)
-                made = signs(values, before)
-                count = np.zeros((2, len(node)), np.int64)
-                for kind, (rows, _, _) in enumerate(made):
-                    count[kind, new[rows]] = 1
-                at = np.concatenate([[0], np.cumsum(count.sum(0))])
-                bands, words = np.zeros((at[-1], BANDS), np.uint64), np.zeros((at[-1], 2), np.uint64)
-                for kind, (rows, b, w) in enumerate(made):
-                    place = at[new[rows]] + (count[0, new[rows]] if kind else 0)
-                    bands[place], words[place] = b, w
-                n = np.zeros(len(node), np.int64)
-                n[new] = np.diff(before)
-                old = np.ones(len(node), bool)
-                old[new] = False
+                chosen = np.flatnonzero(in_map(shared.value, node))
+                chosen = chosen[_unseen(node[chosen], seen)]
                 data = low.tobytes()
-                text = [None if o else data[a:b] for o, a, b in zip(old.tolist(), left.tolist(), right.tolist())]
-                kinds = np.concatenate([np.full(len(rows), kind) for kind, (rows, _, _) in enumerate(made)])
-                kinds = kinds[np.argsort(np.concatenate([at[new[rows]] + (count[0, new[rows]] if kind else 0) for kind, (rows, _, _) in enumerate(made)]), kind="stable")]
-                signed = pa.StructArray.from_arrays([pa.array(kinds, pa.int32()), *(pa.array(np.ascontiguousarray(words[:, k]).view(np.int64)) for k in (0, 1))], ["kind", "s0", "s1"])
+                text = np.full(len(node), None, object)
+                text[chosen] = [data[a:b] for a, b in zip(left[chosen].tolist(), right[chosen].tolist())]
                 take = lambda c: batch[c].slice(lo, hi - lo).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node.view(np.int64)), take("doc_id").cast(pa.int64()), take("key"), pa.array(number, pa.int64()), pa.array(n), pa.ListArray.from_arrays(pa.array(at * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64))), pa.ListArray.from_arrays(pa.array(at, pa.int32()), signed), pa.array(text, pa.binary())],
-                    ["node", "doc_id", "key", "number", "n", "bands", "signs", "line"],
+                    [pa.array(node.view(np.int64)), take("doc_id").cast(pa.int64()), take("key"), pa.array(number, pa.int64()), pa.array(text, pa.binary())],
+                    ["node", "doc_id", "key", "number", "line"],
                 )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, LINES)
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "node long, doc_id long, key long, number long, line binary")
 
 
 def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -181,26 +212,24 @@ def _similar(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, _PAIRS):
+                part = batch.slice(at, _PAIRS)
                 (va, oa), (vb, ob) = _sets(part["ta"]), _sets(part["tb"])
                 both = tx.overlaps(va, oa, vb, ob, _OWNERS)
-                keep[at : at + 1024] = 100 * both >= PERCENT * (np.diff(oa) + np.diff(ob) - both)
+                keep[at : at + _PAIRS] = 100 * both >= PERCENT * (np.diff(oa) + np.diff(ob) - both)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def line_roots(lines: DataFrame) -> DataFrame:
-    """(node, root) of the lines that are similar to another line, from the written rows of ``_lines``."""
-    sent = lines.filter("line is not null")
-    lists = written(shared_lists(sent.select("node", F.explode("bands").alias("v"))), "line-lists")
-    members = lists.select("node", F.pmod("v", F.lit(2)).alias("kind")).distinct()
-    features = sent.select("node", "n", F.inline("signs")).join(members, ["node", "kind"], "left_semi")
-    features = written(features.dropDuplicates(["node", "kind"]), "line-signs")
+def line_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written rows of ``_places``, and (node, root) of the lines that are similar to another line."""
+    lists = written(packed_lists(_signed(docs), RULE), "line-lists")
+    places = []
 
     def texts(nodes: DataFrame) -> DataFrame:
-        return written(sent.select("node", "line").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "line-texts")
+        places.append(written(_places(docs, bit_map(nodes)), "lines"))
+        return written(places[0].select("node", "line").filter("line is not null").dropDuplicates(["node"]), "line-texts")
 
     def sharp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +245,8 @@ def line_roots(lines: DataFrame) -> DataFrame:
         return written(met.mapInArrow(sharp, "node long" + "".join(f", {c} long" for c in SHARP_RULE.names)), "line-signs")
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        texts = texts.join(nodes_of(pairs), "node", "left_semi")
+        few = small_nodes(pairs)
+        texts = texts.join(few, "node", "left_semi") if few is not None else texts
         side = lambda x: texts.select(F.col("node").alias(x), F.col("line").alias(f"t{x}"))
         return written(_similar(pairs.join(side("a"), "a").join(side("b"), "b")), "links")
 
@@ -230,15 +260,13 @@ def line_roots(lines: DataFrame) -> DataFrame:
     def sets(nodes: DataFrame, texts: DataFrame) -> DataFrame:
         return written(texts.join(nodes, "node", "left_semi").mapInArrow(whole, "node long, values array<long>"), "line-sets")
 
-    roots = link(lists, features, RULE, texts, verify, sets, (SHARP_RULE, sharper))
-    discard(features)
-    return roots
+    roots = link(lists, None, RULE, texts, verify, sets, (SHARP_RULE, sharper))
+    return places[0], roots
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, numbers): the line numbers to remove from the documents of that doc_id and xxhash64 of the text."""
-    lines = written(_lines(docs), "lines")
-    roots = line_roots(lines)
+    lines, roots = line_roots(docs)
     often = lines.groupBy("node").count().filter("count > 1").select("node")
     groups = often.join(roots, "node", "full").select("node", F.coalesce("root", "node").alias("root"))
     seen = lines.select("node", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "number").alias("at"))
@@ -253,7 +281,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, counts: bool = False, counts_as: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``; with ``counts``, also the numbers of lines and of those cut."""
     key, ident, cuts, parts = (fresh_name(docs, x) for x in ("key", "ident", "cuts", "parts"))
-    gone = repeated_lines(docs).select(F.col("doc_id").alias(ident), F.col("key").alias(key), F.col("numbers").alias(cuts))
+    gone = repeated_lines(docs).select(F.col("doc_id").alias(ident), F.col("key").alias(key), F.col("numbers").alias(cuts)).hint("shuffle_hash")  # texts are not sorted
     met = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(key)), "left")
     met = met.withColumn(parts, F.split("text", "\n"))
     n = F.size(parts).cast("long")

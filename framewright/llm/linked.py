@@ -30,6 +30,8 @@ CLUSTER_NODES, CLUSTER_VALUES = 4096, 1 << 22
 _HELD = 1 << 18  # edges that a task joins before it sends them on
 _FAR = 1 << 20
 _AT_ONCE = 512  # lists up to this length are compared in one step
+#: Packed postings: parts by value, records in one row, records that are sorted at once, and those of one part from which on whole blocks of long lists are sent.
+PARTS, PACK, LOOSE, DENSE = 4096, 1024, 1 << 18, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -114,6 +116,110 @@ def shared_lists(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "v long, node long, block long")
 
 
+def record(rule: Rule) -> np.dtype:
+    """A posting with the features of its node."""
+    return np.dtype([("v", "<i8"), ("node", "<i8"), ("n", "<i4"), *[(c, "<i8") for c in rule.names[1:]]])
+
+
+def packed(records: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, data) of up to PACK records each; equal values v have the same part."""
+    part = ((records["v"].view(np.uint64) >> tx.U64(32)) * tx.U64(PARTS) >> tx.U64(32)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    part, records = part[order], records[order]
+    first = np.ones(len(part), bool)
+    first[1:] = part[1:] != part[:-1]
+    place = np.arange(len(part))
+    first |= (place - np.maximum.accumulate(np.where(first, place, 0))) % PACK == 0
+    start = np.flatnonzero(first)
+    cut = (np.append(start, len(part)) * records.dtype.itemsize).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(records).view(np.uint8))])
+    return pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), data], ["part", "data"])
+
+
+def packed_lists(packs: DataFrame, rule: Rule) -> DataFrame:
+    """(v, node, block, features) as of ``shared_lists``, from rows (part, data) of ``packed``.
+
+    Spark sorts the rows by part; a task holds the postings of a few parts. Beyond DENSE in one part it sends whole blocks of BLOCK nodes on, so
+    of a long list it holds one block; a node may then stand in more than one block of its list. Whole lists are named by their nodes.
+    """
+    kind = record(rule)
+
+    def in_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct postings by v and node, where each list starts, and its length."""
+        rows = rows[np.lexsort((rows["node"], rows["v"]))]
+        v, node = np.ascontiguousarray(rows["v"]), np.ascontiguousarray(rows["node"])
+        new_v = np.ones(len(v), bool)
+        new_v[1:] = v[1:] != v[:-1]
+        new = new_v.copy()
+        new[1:] |= node[1:] != node[:-1]
+        rows, start = rows[new], np.flatnonzero(new_v[new])
+        return rows, start, np.diff(np.append(start, len(rows)))
+
+    def made(rows: np.ndarray, v: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
+        columns = [v, rows["node"], block, *[rows[c].astype(np.int64) for c in rule.names]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["v", "node", "block", *rule.names])
+
+    def blocks(rows: np.ndarray, sent: dict[int, int]) -> tuple[pa.RecordBatch, np.ndarray]:
+        """Whole blocks of long lists, counted in ``sent``, and the other rows."""
+        rows, start, size = in_order(rows)
+        base = np.array([sent.get(x, 0) for x in rows["v"][start].tolist()], np.int64)
+        place = np.arange(len(rows)) - np.repeat(start, size)
+        out = place < np.repeat(size // BLOCK * BLOCK, size)
+        long = size >= BLOCK
+        sent |= zip(rows["v"][start[long]].tolist(), (base + size // BLOCK)[long].tolist())
+        return made(rows[out], rows["v"][out], (np.repeat(base, size) + place // BLOCK)[out]), rows[~out]
+
+    def lists(rows: np.ndarray, sent: dict[int, int]) -> pa.RecordBatch:
+        """The lists of rows that hold all postings of their parts but for the blocks sent."""
+        v = np.ascontiguousarray(rows["v"])
+        order = np.argsort(v)
+        v = v[order]
+        again = v[1:] == v[:-1]
+        some = np.zeros(len(v), bool)
+        some[1:] = again
+        some[:-1] |= again
+        if sent:
+            some |= np.isin(v, np.fromiter(sent, np.int64))
+        rows, start, size = in_order(rows[order[some]])
+        base = np.array([sent.get(x, 0) for x in rows["v"][start].tolist()], np.int64) if sent else np.zeros(len(start), np.int64)
+        name = rows["v"][start]
+        if len(rows):
+            sums = np.add.reduceat(tx.mix(np.ascontiguousarray(rows["node"]).view(np.uint64)), start).view(np.int64)
+            name = np.where(base > 0, name, (sums & ~np.int64(1)) | (name & 1))
+        place = np.arange(len(rows)) - np.repeat(start, size)
+        out = np.repeat((size > 1) | (base > 0), size)
+        return made(rows[out], np.repeat(name, size)[out], (np.repeat(base, size) + place // BLOCK)[out])
+
+    joined = lambda held: np.frombuffer(b"".join(held), kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        count, now, most = 0, None, DENSE
+        sent: dict[int, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, data = batch["part"].to_numpy(), batch["data"]
+            cut = np.asarray(pa.Array.from_buffers(pa.int32(), len(data) + 1, [None, data.buffers()[1]], offset=data.offset))
+            start = np.flatnonzero(np.diff(part, prepend=-1))
+            for s, e in zip(start, [*start[1:], len(part)]):
+                if part[s] != now and count >= LOOSE:
+                    yield lists(joined(held), sent)
+                    held, count, most, sent = [], 0, DENSE, {}
+                now = part[s]
+                held.append(bytes(data.buffers()[2][int(cut[s]) : int(cut[e])]))
+                count += len(held[-1]) // kind.itemsize
+                if count > most:
+                    found, rest = blocks(joined(held), sent)
+                    yield found
+                    held, count, most = [rest.tobytes()], len(rest), max(DENSE, 2 * len(rest))
+        if held:
+            yield lists(joined(held), sent)
+
+    names = "".join(f", {c} long" for c in rule.names)
+    return packs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "v long, node long, block long" + names)
+
+
 def _joined(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of which each task has joined its own to stars around the smallest node."""
 
@@ -342,19 +448,21 @@ def _last_links(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def link(lists: DataFrame, features: DataFrame, rule: Rule, texts: Callable, verify: Callable, sets: Callable, sharper: tuple[Rule, Callable] | None = None) -> DataFrame:
+def link(lists: DataFrame, features: DataFrame | None, rule: Rule, texts: Callable, verify: Callable, sets: Callable, sharper: tuple[Rule, Callable] | None = None) -> DataFrame:
     """(node, root) from lists (v, node, block).
 
     ``features`` has one row (node, features of ``rule``) per node; or one per (node, kind), where lists of even v use kind 0 and
-    others kind 1. ``lists`` is a written table, discarded here.
+    others kind 1; or it is None if ``lists`` has the features, and ``sharper`` is given. ``lists`` is a written table, discarded here.
 
     ``texts(nodes)`` writes what is needed of the nodes that may get links, once; ``verify(pairs, texts)`` writes the true links of
     pairs (a, b); ``sets(nodes, texts)`` writes (node, values) of a table of nodes: its whole set, ascending. ``sharper`` has a rule with longer
     signatures for the lists that stay open, and writes the features of it: ``make(nodes, texts)``, one row per node.
     """
 
-    def propose(rows: DataFrame, last: bool, features: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-        if "kind" in features.columns:
+    def propose(rows: DataFrame, last: bool, features: DataFrame | None, rule: Rule) -> tuple[DataFrame, DataFrame]:
+        if features is None:
+            met = rows
+        elif "kind" in features.columns:
             met = rows.withColumn("kind", F.pmod("v", F.lit(2))).join(features, ["node", "kind"])
         else:
             met = rows.join(features, "node")

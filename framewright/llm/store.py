@@ -5,11 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1 << 18
+#: Bits of a map of hashes, and bits of one of its rows.
+MAP_BITS, MAP_ROW = 1 << 26, 1 << 12
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,5 +70,40 @@ def discard(*tables: DataFrame) -> None:
 
 def nodes_of(pairs: DataFrame) -> DataFrame:
     """The distinct nodes of a written table of pairs (a, b), marked for broadcast if they are few."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return F.broadcast(nodes) if 2 * pairs.count() <= BROADCAST_ROWS else nodes
+    few = small_nodes(pairs)
+    return few if few is not None else _ends(pairs)
+
+
+def small_nodes(pairs: DataFrame) -> DataFrame | None:
+    """``nodes_of`` the pairs if they are few, else None."""
+    return F.broadcast(_ends(pairs)) if 2 * pairs.count() <= BROADCAST_ROWS else None
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """A map of fixed size (8 MB) in which ``in_map`` finds all hashes in the column ``node``, and few others."""
+    bit = F.col("node").bitwiseAND(F.lit(MAP_BITS - 1))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = []
+            for bits in batch["bits"]:
+                flags = np.zeros(MAP_ROW, bool)
+                flags[bits.values.to_numpy()] = True
+                maps.append(np.packbits(flags).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(maps, pa.binary())], ["row", "map"])
+
+    each = hashes.groupBy(F.floor(bit / MAP_ROW).cast("int").alias("row")).agg(F.collect_set((bit % MAP_ROW).cast("int")).alias("bits"))
+    found = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in each.mapInArrow(packed, "row int, map binary").collect():  # at most MAP_BITS / MAP_ROW rows of fixed size
+        found[r.row * MAP_ROW // 8 : (r.row + 1) * MAP_ROW // 8] = np.frombuffer(r.map, np.uint8)
+    return found
+
+
+def in_map(found: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes have their bit in a map of ``bit_map``."""
+    at = hashes.view(np.int64) & (MAP_BITS - 1)
+    return (found[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1

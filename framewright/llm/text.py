@@ -21,6 +21,8 @@ NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Values that are worked on at once, to stay in the processor's cache.
+_NEAR = 1 << 13
 #: Blocks of 8 bytes of a span that are read for all spans at once, and the masks of its last one.
 _BLOCKS = 4
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -28,9 +30,13 @@ _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    y = x >> U64(30)
+    y ^= x
+    y *= U64(0xBF58476D1CE4E5B9)
+    z = y >> U64(27)
+    y ^= z
+    y *= U64(0x94D049BB133111EB)
+    return y ^ (y >> U64(31))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +64,7 @@ def slices(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, n
 
 def lower(raw: np.ndarray) -> np.ndarray:
     """A-Z become a-z; all other bytes stay."""
-    return _LOWER[raw]
+    return _LOWER.take(raw)
 
 
 def inked(raw: np.ndarray) -> np.ndarray:
@@ -167,13 +173,14 @@ def run_hash(values: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 def window_hash(hashes: np.ndarray, width: int, taps: tuple[int, ...] | None = None) -> np.ndarray:
     """Hashes of each run of ``width`` values, over the positions in ``taps`` (all if none)."""
-    m = len(hashes) - width + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(m, np.uint64)
-    for t in taps or range(width):
-        total += hashes[t : t + m] * U64(pow(_MUL, 2 * t + 1, 1 << 64))
-    return mix(total)
+    m = max(0, len(hashes) - width + 1)
+    total, part = np.zeros(m, np.uint64), np.empty(min(m, _NEAR), np.uint64)
+    for lo in range(0, m, _NEAR):
+        here = total[lo : lo + _NEAR]
+        for t in taps or range(width):
+            here += np.multiply(hashes[lo + t : lo + t + len(here)], U64(pow(_MUL, 2 * t + 1, 1 << 64)), out=part[: len(here)])
+        here[:] = mix(here)
+    return total
 
 
 def distinct(values: np.ndarray, before: np.ndarray, owner_bits: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -185,11 +192,16 @@ def distinct(values: np.ndarray, before: np.ndarray, owner_bits: int = 12) -> tu
     found, sizes = [], []
     for lo in range(0, len(before) - 1, runs):
         cut = before[lo : lo + runs + 1]
-        owner = np.repeat(np.arange(len(cut) - 1, dtype=np.uint64), np.diff(cut))
-        key = np.sort((owner << keep) | (values[cut[0] : cut[-1]] >> U64(owner_bits)))
+        key = np.repeat(np.arange(len(cut) - 1, dtype=np.uint64) << keep, np.diff(cut))
+        key |= values[cut[0] : cut[-1]] >> U64(owner_bits)
+        upto = cut - cut[0]
+        ends = upto[np.searchsorted(upto, np.arange(_NEAR, upto[-1] + _NEAR, _NEAR), "right") - 1]
+        for a, b in zip([0, *ends], [*ends, upto[-1]]):  # whole runs, sorted in the processor's cache
+            key[a:b].sort()
         key = key[np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]]
-        sizes.append(np.bincount((key >> keep).astype(np.int64), minlength=len(cut) - 1))
-        found.append(key & U64((1 << int(keep)) - 1))
+        sizes.append(np.diff(np.append(np.searchsorted(key, np.arange(len(cut) - 1, dtype=np.uint64) << keep), len(key))))
+        key &= U64((1 << int(keep)) - 1)
+        found.append(key)
     sets = np.concatenate(found) if found else np.zeros(0, np.uint64)
     return sets, np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else [])]).astype(np.int64)
 
@@ -202,7 +214,8 @@ def overlaps(xs: np.ndarray, at: np.ndarray, ys: np.ndarray, bt: np.ndarray, own
         parts = []
         for values, cut in ((xs, at[lo : lo + runs + 1]), (ys, bt[lo : lo + runs + 1])):
             parts.append((np.repeat(np.arange(len(cut) - 1, dtype=np.uint64), np.diff(cut)) << keep) | values[cut[0] : cut[-1]])
-        key = np.sort(np.concatenate(parts))
+        key = np.concatenate(parts)
+        key.sort(kind="stable")  # a merge, as both parts are ascending
         both = key[1:][key[1:] == key[:-1]]
         out[lo : lo + runs] = np.bincount((both >> keep).astype(np.int64), minlength=len(at[lo : lo + runs + 1]) - 1)
     return out
