@@ -151,6 +151,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     lists = written(shared_lists(sent.select(F.explode(F.slice("sketch", 1, listed(percent))).alias("v"), "node")), "lists")
     members = lists.select("node").distinct()
     own = written(sent.join(members, "node", "left_semi").dropDuplicates(["node"]), "members")
+    rows = written(sk.select("doc_id", "n_shingles", "node"), "nodes")
+    discard(sk)
     features = own.select("node", F.col("n_shingles").alias("n"), *_BITS)
     # A pair at the threshold is ruled out with probability below 10^-9.
     rule = Rule(percent, _WORDS, 1, most_differing(_WORDS * 64, max(1 - percent / 100, 0.01) / 2, 1e-9))
@@ -175,7 +177,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
 
     roots = link(lists, features, rule, lambda nodes: _texts(docs, own, nodes), verify, sets)
     discard(own)
-    return sk.select("doc_id", "n_shingles", "node"), roots
+    return rows, roots
 
 
 def _texts(docs: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Packed postings against brute force, and what line dedup writes."""
+"""Packed postings against brute force, and what line dedup and near dedup write."""
 
 import collections
+import os
 
 import numpy as np
 
-from framewright.llm import linededup, linked, store
+from framewright.llm import linededup, linked, neardup, store
 
 
 def test_packed_lists(spark, monkeypatch):
@@ -57,6 +58,16 @@ def test_op6_sends_texts_of_candidates_only(spark, monkeypatch):
     assert "bands" not in kept["lines"][0].asDict() and len(kept["lines"]) == 302
 
 
+def test_near_dedup_keeps_no_sketches(spark, monkeypatch):
+    """Sketches are deleted once the lists and the sketches of their members are written."""
+    made = {}
+    monkeypatch.setattr(neardup, "written", lambda df, name: made.setdefault(name, store.written(df, name)))
+    words = " ".join(f"w{k}" for k in range(50))
+    docs = spark.createDataFrame([(1, words), (2, words + " x"), (3, "quite another text than those")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.classes(docs, 3, 80).collect()} == {1: 1, 2: 1, 3: 3}
+    assert not any(os.path.exists(made[name].written_to.removeprefix("file://")) for name in ("sketches", "members"))
+
+
 def test_bit_map(spark):
     """All hashes that were put in are found, and hardly any other."""
     rng = np.random.default_rng(3)
