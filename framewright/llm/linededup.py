@@ -33,15 +33,15 @@ BANDS, ROWS = 10, 4
 _K = BANDS * ROWS
 #: Lines of at least LONG distinct shingles are dealt to bins; up to LONG * 100 / PERCENT they get both signatures.
 LONG = 192
-#: Two bits of each value make a signature of two words. Pairs at the threshold that share a band are ruled out by it with probability below 10^-6.
-RULE = Rule(PERCENT, 2, 2, most_differing(_K, 0.75 * (1 - PERCENT / 100), 1e-6))
+#: Three bits of each value make a signature of two words. Pairs at the threshold that share a band are ruled out by it with probability below 10^-6.
+RULE = Rule(PERCENT, 2, 3, most_differing(_K, 0.875 * (1 - PERCENT / 100), 1e-6))
 _OWNERS = 16  # bits for the number of a line in ``tx.distinct``
 _SEEN = 1 << 20
 _MIXED = tx.mix(np.arange(1, (1 << 12) + 1, dtype=np.uint64))  # of the code points of most texts
-_NEAR = 1 << 14  # values that are hashed at once
+_NEAR = 1 << 15  # values that are hashed at once
 _PAIRS = 128  # pairs of lines that are compared at once
 _POSTINGS = 1 << 19  # postings that a task packs at once
-#: Lines of lists that stay open get a signature of so many values by functions.
+#: Lines of lists that stay open get a signature of so many values by functions of 32 bits of a shingle.
 _SHARP = 128
 SHARP_RULE = Rule(PERCENT, _SHARP // 32, 2, most_differing(_SHARP, 0.75 * (1 - PERCENT / 100), 1e-6))
 _A = np.random.default_rng(11).integers(1, 1 << 63, _SHARP, dtype=np.uint64) * tx.U64(2) + tx.U64(1)
@@ -71,7 +71,7 @@ def shingles(raw: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
 
 def _by_functions(values: np.ndarray, before: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """The least product of each run of values with each factor."""
-    out = np.empty((len(before) - 1, len(factors)), np.uint64)
+    out = np.empty((len(before) - 1, len(factors)), values.dtype)
     cuts = np.searchsorted(before[:-1], np.arange(0, before[-1], _NEAR))
     for lo, hi in zip(cuts, [*cuts[1:], len(out)]):  # whole lines that stay in the processor's cache together
         if lo == hi:
@@ -83,21 +83,28 @@ def _by_functions(values: np.ndarray, before: np.ndarray, factors: np.ndarray) -
     return out
 
 
-def _packed(signature: np.ndarray, words: int) -> np.ndarray:
-    """Two bits of each value, in ``words`` columns."""
-    each = signature.shape[1] // words
-    return ((signature & tx.U64(3)).reshape(len(signature), words, each) << (np.arange(each, dtype=np.uint64) * tx.U64(2))).sum(2)
+def _packed(signature: np.ndarray, rule: Rule) -> np.ndarray:
+    """The last bits of each value, in the columns of the rule's words."""
+    each = signature.shape[1] // rule.words
+    return ((signature & tx.U64((1 << rule.bits) - 1)).reshape(len(signature), rule.words, each) << (np.arange(each, dtype=np.uint64) * tx.U64(rule.bits))).sum(2)
 
 
 def _by_bins(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Of ascending values the first in each of _K equal parts of their range."""
     n = len(before) - 1
-    place = np.repeat(np.arange(n) * _K, np.diff(before)) + ((values >> tx.U64(64 - _OWNERS - 32)) * tx.U64(_K) >> tx.U64(32)).astype(np.int64)
-    first = np.flatnonzero(np.diff(place, prepend=-1))
+    part, new = np.empty(len(values), np.uint8), np.ones(len(values), bool)
+    for lo in range(0, len(values), _NEAR):
+        here = values[lo : lo + _NEAR] >> tx.U64(64 - _OWNERS - 32)
+        here *= tx.U64(_K)
+        part[lo : lo + _NEAR] = here >> tx.U64(32)
+    np.not_equal(part[1:], part[:-1], out=new[1:])
+    new[before[:-1]] = True
+    first = np.flatnonzero(new)
+    place = np.repeat(np.arange(n) * _K, np.add.reduceat(new, before[:-1], dtype=np.int64)) + part[first]
     empty = np.ones(n * _K, bool)
-    empty[place[first]] = False
+    empty[place] = False
     out = np.zeros(n * _K, np.uint64)
-    out[place[first]] = values[first]
+    out[place] = values[first]
     out, empty = out.reshape(n, _K), empty.reshape(n, _K)
     while empty.any():  # an empty bin takes the value of the next filled one, marked by the distance
         rows = np.flatnonzero(empty.any(1))
@@ -123,7 +130,7 @@ def signs(values: np.ndarray, before: np.ndarray) -> list[tuple[np.ndarray, np.n
         for r in range(ROWS):
             total = tx.mix(total * tx.U64(31) + signature[:, r::ROWS])
         total = tx.mix(total + np.arange(BANDS, dtype=np.uint64))
-        found.append((rows, (total & ~tx.U64(1)) | tx.U64(kind), _packed(signature, 2)))
+        found.append((rows, (total & ~tx.U64(1)) | tx.U64(kind), _packed(signature, RULE)))
     return found
 
 
@@ -147,7 +154,7 @@ def _signed(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()
         held, count = [], 0
         for batch in batches:
-            for _, _, raw, offsets in tx.slices(batch["text"], 1 << 18):
+            for _, _, raw, offsets in tx.slices(batch["text"], 1 << 19):
                 low, left, right, _, _, node = _inked(raw, offsets)
                 new = _unseen(node, seen)
                 values, before = tx.distinct(*shingles(low, left[new], right[new]), _OWNERS)
@@ -185,7 +192,7 @@ def _places(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for lo, hi, raw, offsets in tx.slices(batch["text"], 1 << 18):
+            for lo, hi, raw, offsets in tx.slices(batch["text"], 1 << 19):
                 low, left, right, doc, number, node = _inked(raw, offsets)
                 chosen = np.flatnonzero(in_map(shared.value, node))
                 chosen = chosen[_unseen(node[chosen], seen)]
@@ -224,19 +231,19 @@ def _similar(rows: DataFrame) -> DataFrame:
 
 def line_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The written rows of ``_places``, and (node, root) of the lines that are similar to another line."""
-    lists = written(packed_lists(_signed(docs), RULE), "line-lists")
+    lists = written(packed_lists(_signed(docs), RULE, propose=True), "line-lists")
     places = []
 
     def texts(nodes: DataFrame) -> DataFrame:
         places.append(written(_places(docs, bit_map(nodes)), "lines"))
-        return written(places[0].select("node", "line").filter("line is not null").dropDuplicates(["node"]), "line-texts")
+        return written(places[0].select("node", "line").filter("line is not null").repartition("node").dropDuplicates(["node"]), "line-texts")
 
     def sharp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 values, before = _sets(part["line"])
-                packed = _packed(tx.mix(_by_functions(values, before, _A)), SHARP_RULE.words)
+                packed = _packed(tx.mix(_by_functions((values >> tx.U64(16)).astype(np.uint32), before, _A.astype(np.uint32)).astype(np.uint64)), SHARP_RULE)
                 columns = [np.ascontiguousarray(packed[:, k]).view(np.int64) for k in range(SHARP_RULE.words)]
                 yield pa.RecordBatch.from_arrays([part["node"], pa.array(np.diff(before)), *map(pa.array, columns)], ["node", *SHARP_RULE.names])
 

@@ -38,7 +38,7 @@ PARTS, PACK, LOOSE, DENSE = 4096, 1024, 1 << 18, 1 << 22
 class Rule:
     """Which features allow a link: set sizes n within ``percent``, and at most ``limit`` differing values in the signature words s0, s1, ...
 
-    A value takes ``bits`` (1 or 2) bits of a word.
+    A value takes ``bits`` (1 to 3) bits of a word.
     """
 
     percent: int
@@ -57,6 +57,8 @@ class Rule:
             differ = x[f"s{k}"] ^ y[f"s{k}"]
             if self.bits == 2:
                 differ = (differ | (differ >> 1)) & 0x5555555555555555
+            elif self.bits == 3:
+                differ = (differ | (differ >> 1) | (differ >> 2)) & 0x1249249249249249
             total = total + np.bitwise_count(differ.view(np.uint64)).astype(np.int32)
         near = np.minimum(x["n"], y["n"]) * 100 >= np.maximum(x["n"], y["n"]) * self.percent
         return np.where(near & (total <= self.limit), total, _FAR)
@@ -136,9 +138,12 @@ def packed(records: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part[start].astype(np.int32)), data], ["part", "data"])
 
 
-def packed_lists(packs: DataFrame, rule: Rule) -> DataFrame:
+def packed_lists(packs: DataFrame, rule: Rule, propose: bool = False) -> DataFrame:
     """(v, node, block, features) as of ``shared_lists``, from rows (part, data) of ``packed``.
 
+    With ``propose``, whole lists of up to BRIEF nodes propose their pairs here and are not sent on: rows (node, b) are pairs, rows (v, node) without a block name
+    nodes that have further allowed partners, as of ``_proposed``.
+
     Spark sorts the rows by part; a task holds the postings of a few parts. Beyond DENSE in one part it sends whole blocks of BLOCK nodes on, so
     of a long list it holds one block; a node may then stand in more than one block of its list. Whole lists are named by their nodes.
     """
@@ -155,9 +160,25 @@ def packed_lists(packs: DataFrame, rule: Rule) -> DataFrame:
         rows, start = rows[new], np.flatnonzero(new_v[new])
         return rows, start, np.diff(np.append(start, len(rows)))
 
+    fields = ["v", "node", "block", *rule.names, *(["b"] if propose else [])]
+
+    def batch(**columns: np.ndarray) -> pa.RecordBatch:
+        n = len(columns["node"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(columns[c])) if c in columns else pa.nulls(n, pa.int64()) for c in fields], fields)
+
     def made(rows: np.ndarray, v: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
-        columns = [v, rows["node"], block, *[rows[c].astype(np.int64) for c in rule.names]]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["v", "node", "block", *rule.names])
+        return batch(v=v, node=rows["node"], block=block, **{c: rows[c].astype(np.int64) for c in rule.names})
+
+    def proposed(rows: np.ndarray, name: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of brief lists, and the nodes that stay open."""
+        few = {c: rows[c].astype(np.int64) for c in ("node", *rule.names)}
+        few["root"] = few["node"]
+        group = np.repeat(np.arange(len(size)), size)
+        i, j, left = _brief_forest(few, group, np.diff(group, prepend=-1) > 0, rule)
+        a, b = few["node"][i], few["node"][j]
+        yield batch(node=np.minimum(a, b), b=np.maximum(a, b))
+        is_open = np.isin(group, left)
+        yield batch(v=np.repeat(name, size)[is_open], node=few["node"][is_open])
 
     def blocks(rows: np.ndarray, sent: dict[int, int]) -> tuple[pa.RecordBatch, np.ndarray]:
         """Whole blocks of long lists, counted in ``sent``, and the other rows."""
@@ -169,7 +190,7 @@ def packed_lists(packs: DataFrame, rule: Rule) -> DataFrame:
         sent |= zip(rows["v"][start[long]].tolist(), (base + size // BLOCK)[long].tolist())
         return made(rows[out], rows["v"][out], (np.repeat(base, size) + place // BLOCK)[out]), rows[~out]
 
-    def lists(rows: np.ndarray, sent: dict[int, int]) -> pa.RecordBatch:
+    def lists(rows: np.ndarray, sent: dict[int, int]) -> Iterator[pa.RecordBatch]:
         """The lists of rows that hold all postings of their parts but for the blocks sent."""
         v = np.ascontiguousarray(rows["v"])
         order = np.argsort(v)
@@ -187,8 +208,13 @@ def packed_lists(packs: DataFrame, rule: Rule) -> DataFrame:
             sums = np.add.reduceat(tx.mix(np.ascontiguousarray(rows["node"]).view(np.uint64)), start).view(np.int64)
             name = np.where(base > 0, name, (sums & ~np.int64(1)) | (name & 1))
         place = np.arange(len(rows)) - np.repeat(start, size)
-        out = np.repeat((size > 1) | (base > 0), size)
-        return made(rows[out], np.repeat(name, size)[out], (np.repeat(base, size) + place // BLOCK)[out])
+        chosen = (size > 1) | (base > 0)
+        if propose:
+            brief = (size > 1) & (size <= BRIEF) & (base == 0)
+            yield from proposed(rows[np.repeat(brief, size)], name[brief], size[brief])
+            chosen &= ~brief
+        out = np.repeat(chosen, size)
+        yield made(rows[out], np.repeat(name, size)[out], (np.repeat(base, size) + place // BLOCK)[out])
 
     joined = lambda held: np.frombuffer(b"".join(held), kind)
 
@@ -204,7 +230,7 @@ def packed_lists(packs: DataFrame, rule: Rule) -> DataFrame:
             start = np.flatnonzero(np.diff(part, prepend=-1))
             for s, e in zip(start, [*start[1:], len(part)]):
                 if part[s] != now and count >= LOOSE:
-                    yield lists(joined(held), sent)
+                    yield from lists(joined(held), sent)
                     held, count, most, sent = [], 0, DENSE, {}
                 now = part[s]
                 held.append(bytes(data.buffers()[2][int(cut[s]) : int(cut[e])]))
@@ -214,10 +240,9 @@ def packed_lists(packs: DataFrame, rule: Rule) -> DataFrame:
                     yield found
                     held, count, most = [rest.tobytes()], len(rest), max(DENSE, 2 * len(rest))
         if held:
-            yield lists(joined(held), sent)
+            yield from lists(joined(held), sent)
 
-    names = "".join(f", {c} long" for c in rule.names)
-    return packs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "v long, node long, block long" + names)
+    return packs.repartition("part").sortWithinPartitions("part").mapInArrow(run, ", ".join(f"{c} long" for c in fields))
 
 
 def _joined(edges: DataFrame) -> DataFrame:
@@ -452,7 +477,8 @@ def link(lists: DataFrame, features: DataFrame | None, rule: Rule, texts: Callab
     """(node, root) from lists (v, node, block).
 
     ``features`` has one row (node, features of ``rule``) per node; or one per (node, kind), where lists of even v use kind 0 and
-    others kind 1; or it is None if ``lists`` has the features, and ``sharper`` is given. ``lists`` is a written table, discarded here.
+    others kind 1; or it is None if ``lists`` has the features and what brief lists propose (``packed_lists``), and ``sharper`` is given. ``lists`` is a written
+    table, discarded here.
 
     ``texts(nodes)`` writes what is needed of the nodes that may get links, once; ``verify(pairs, texts)`` writes the true links of
     pairs (a, b); ``sets(nodes, texts)`` writes (node, values) of a table of nodes: its whole set, ascending. ``sharper`` has a rule with longer
@@ -461,12 +487,15 @@ def link(lists: DataFrame, features: DataFrame | None, rule: Rule, texts: Callab
 
     def propose(rows: DataFrame, last: bool, features: DataFrame | None, rule: Rule) -> tuple[DataFrame, DataFrame]:
         if features is None:
-            met = rows
+            met = rows.filter("block is not null")
         elif "kind" in features.columns:
             met = rows.withColumn("kind", F.pmod("v", F.lit(2))).join(features, ["node", "kind"])
         else:
             met = rows.join(features, "node")
-        found = written(_proposed(met, rule, last), "proposed")
+        found = _proposed(met, rule, last)
+        if features is None:
+            found = found.unionByName(rows.filter("block is null").select("v", F.col("node").alias("a"), "b").distinct())
+        found = written(found, "proposed")
         return found, found.filter("b is not null").select("a", "b").distinct()
 
     def placed(nodes: DataFrame, key: str) -> DataFrame:

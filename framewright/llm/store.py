@@ -90,13 +90,15 @@ def bit_map(hashes: DataFrame) -> np.ndarray:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maps = []
-            for bits in batch["bits"]:
-                flags = np.zeros(MAP_ROW, bool)
-                flags[bits.values.to_numpy()] = True
-                maps.append(np.packbits(flags).tobytes())
+            for cells in batch["cells"]:
+                own = np.zeros(MAP_ROW // 32, np.int64)
+                own[cells.values.field("cell").to_numpy() % len(own)] = cells.values.field("bits").to_numpy()
+                maps.append(np.packbits(np.unpackbits(own.astype("<u4").view(np.uint8), bitorder="little")).tobytes())
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(maps, pa.binary())], ["row", "map"])
 
-    each = hashes.groupBy(F.floor(bit / MAP_ROW).cast("int").alias("row")).agg(F.collect_set((bit % MAP_ROW).cast("int")).alias("bits"))
+    one = F.expr("shiftleft(1L, cast(node & 31 as int))")
+    cells = hashes.groupBy(F.floor(bit / 32).cast("int").alias("cell")).agg(F.bit_or(one).alias("bits"))  # numbers only, so Spark adds them up by hash
+    each = cells.groupBy(F.floor(F.col("cell") * 32 / MAP_ROW).cast("int").alias("row")).agg(F.collect_list(F.struct("cell", "bits")).alias("cells"))
     found = np.zeros(MAP_BITS // 8, np.uint8)
     for r in each.mapInArrow(packed, "row int, map binary").collect():  # at most MAP_BITS / MAP_ROW rows of fixed size
         found[r.row * MAP_ROW // 8 : (r.row + 1) * MAP_ROW // 8] = np.frombuffer(r.map, np.uint8)

@@ -22,10 +22,12 @@ NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Values that are worked on at once, to stay in the processor's cache.
-_NEAR = 1 << 13
+_NEAR = 1 << 16
 #: Blocks of 8 bytes of a span that are read for all spans at once, and the masks of its last one.
 _BLOCKS = 4
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+# Once an array of this size has been freed, glibc keeps the memory of smaller ones for the next; else each array of a slice comes as new pages from the kernel.
+np.empty(31 << 20, np.uint8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,8 +115,8 @@ def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The code points of UTF-8 bytes, and the offsets (any ascending byte positions between them) in code points."""
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    return points, before[offsets]
+    inner = np.flatnonzero(raw.view(np.int8) < -64)  # bytes within a code point
+    return points, offsets - np.searchsorted(inner, offsets)
 
 
 def _place(index: np.ndarray, seed: int) -> np.ndarray:
