@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import text as tx
@@ -32,10 +32,16 @@ WIDTH, GRAM = 200, 32
 #: Bytes of stretches per shard, on average.
 SHARD_BYTES = 4 << 20
 _SEEN = 1 << 20
+_KNOWN = 1 << 20  # flags by the last bits of minimizers
 _STRETCH = "m long, key long, start long, size int, shared boolean, told boolean"
 _STRING = "m long, key long, start long, name long, content binary, again boolean"
 
 
+def _key() -> Column:
+    """A hash of doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("key")
+
+
 def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` neighbours, from running minima of blocks forwards and backwards."""
     n = len(x)
@@ -54,8 +60,7 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: in
     nothing = none.astype(np.uint64), none, none, none, none.astype(bool)
     if len(raw) < width:
         return nothing
-    at = np.arange(len(raw) - gram + 1)
-    pieces, span = tx.span_hash(raw, at, at + gram), width - gram + 1
+    pieces, span = tx.piece_hash(raw, gram), width - gram + 1
     least = _window_min(pieces, span)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
     start = np.flatnonzero(np.arange(len(least)) + width <= offsets[doc + 1])
@@ -66,11 +71,11 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: in
     first = np.flatnonzero(new)
     final = np.append(first[1:], len(start)) - 1
     m, left, right = least[start[first]], start[first], start[final] + width
-    # Pieces that are the minimizer of some string: equal to the greatest minimizer of the strings around them.
-    around = np.full(len(pieces) + span - 1, np.iinfo(np.uint64).max, np.uint64)
-    around[span - 1 : span - 1 + len(least)] = ~least
-    chosen = np.flatnonzero(~_window_min(around, span) == pieces)
     kinds, kind = np.unique(m, return_inverse=True)
+    known = np.zeros(_KNOWN, bool)
+    known[kinds & tx.U64(_KNOWN - 1)] = True
+    chosen = np.flatnonzero(pieces <= kinds[-1])
+    chosen = chosen[known[pieces[chosen] & tx.U64(_KNOWN - 1)]]  # hardly any but the minimizers
     own = np.minimum(np.searchsorted(kinds, pieces[chosen]), len(kinds) - 1)
     fits = kinds[own] == pieces[chosen]
     places = np.sort(own[fits] * len(raw) + chosen[fits])
@@ -85,14 +90,14 @@ def _stretches(docs: DataFrame, width: int, gram: int) -> DataFrame:
         for batch in batches:
             for lo, hi, raw, offsets in tx.slices(batch["text"], 1 << 20):
                 m, left, right, doc, twice = stretches(raw, offsets, width, gram)
-                keys = tx.doc_keys(batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), raw, offsets)
+                keys = batch["key"].slice(lo, hi - lo).to_numpy()
                 _, first, inverse, count = np.unique(m, return_index=True, return_inverse=True, return_counts=True)
                 told = np.zeros(len(m), bool)
                 told[first] = True
                 columns = [m.view(np.int64), keys[doc], left - offsets[doc], (right - left).astype(np.int32), twice | (count[inverse] > 1) if len(m) else told, told]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in _STRETCH.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _STRETCH)
+    return docs.select(_key(), "text").mapInArrow(run, _STRETCH)
 
 
 def _not_alone(rows: DataFrame) -> DataFrame:
@@ -122,11 +127,6 @@ def _strings(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The bytes of the wanted stretches: a row each, with ``content`` the first time a task meets it,
     and a second time with ``again``."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [tx.doc_keys(batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), raw, offsets) for lo, hi, raw, offsets in tx.slices(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["text"], pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["text", "key"])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, bool] = {}
         for batch in batches:
@@ -149,8 +149,8 @@ def _strings(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     names = [c.split()[0] for c in _STRING.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-    marked = docs.select("doc_id", "text").mapInArrow(mark, "text string, key long")
-    return marked.join(spans, "key").select("text", "key", "spans").mapInArrow(cut, _STRING)
+    wanted = spans.hint("shuffle_hash")  # texts are not sorted
+    return docs.select(_key(), "text").join(wanted, "key").select("text", "key", "spans").mapInArrow(cut, _STRING)
 
 
 def _sorted_shards(strings: DataFrame, shards: int, width: int) -> DataFrame:
@@ -175,7 +175,7 @@ def _sorted_shards(strings: DataFrame, shards: int, width: int) -> DataFrame:
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(key, cuts): spans of each document, by its doc_keys hash, that ``width``-byte strings found twice cover."""
+    """(key, cuts): spans of each document, by its hash _key, that ``width``-byte strings found twice cover."""
     all_rows = written(_stretches(docs, width, gram), "stretches")
     near = all_rows.filter("shared").select("m", "key", "start", "size")
     far = _not_alone(all_rows.filter("told").select("m", "key", "start", "size", "shared")).filter("not shared").drop("shared")
@@ -192,11 +192,6 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard
     cuts = written(repeated_bytes(docs, width, gram, shard_bytes), "cuts")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [tx.doc_keys(batch["doc_id"].slice(lo, hi - lo).cast(pa.int64()), raw, offsets) for lo, hi, raw, offsets in tx.slices(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["text"], pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["doc_id", "text", "key"])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -212,8 +207,8 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard
             columns = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in schema.split(", ")])
 
-    marked = docs.select("doc_id", "text").mapInArrow(mark, "doc_id long, text string, key long")
-    return marked.join(cuts, "key", "left").select("doc_id", "text", "cuts").mapInArrow(cut, schema)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(), "text")
+    return marked.join(cuts.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "cuts").mapInArrow(cut, schema)
 
 
 def _joined(cuts: list[dict]) -> list[tuple[int, int]]:

@@ -158,6 +158,15 @@ def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int =
     return mix(total + size.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F))
 
 
+def piece_hash(raw: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` bytes from each place on; every block of 8 bytes is scrambled once."""
+    if width < 8:
+        at = np.arange(len(raw) - width + 1)
+        return span_hash(raw, at, at + width)
+    blocks = mix(np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), strides=(1,)).copy())
+    return window_hash(blocks, width - 7, (*range(0, width - 8, 8), width - 8))
+
+
 def _totals(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Sums modulo 2**64 of the runs values[before[i]:before[i + 1]]."""
     sums = np.zeros(len(values) + 1, np.uint64)
@@ -221,10 +230,3 @@ def overlaps(xs: np.ndarray, at: np.ndarray, ys: np.ndarray, bt: np.ndarray, own
         both = key[1:][key[1:] == key[:-1]]
         out[lo : lo + runs] = np.bincount((both >> keep).astype(np.int64), minlength=len(at[lo : lo + runs + 1]) - 1)
     return out
-
-
-def doc_keys(ids: pa.Array, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A hash of doc_id and text."""
-    missing = np.asarray(ids.is_null())
-    value = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64) * U64(2) + missing
-    return mix(mix(value + U64(77)) ^ span_hash(raw, offsets[:-1], offsets[1:])).view(np.int64)

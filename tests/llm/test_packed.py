@@ -5,7 +5,7 @@ import os
 
 import numpy as np
 
-from framewright.llm import linededup, linked, neardup, store
+from framewright.llm import linededup, linked, neardup, store, suffixdedup, text
 
 
 def test_packed_lists(spark, monkeypatch):
@@ -74,3 +74,23 @@ def test_bit_map(spark):
     put = rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
     found = store.bit_map(spark.createDataFrame([(int(x),) for x in put], "node long"))
     assert store.in_map(found, put).all() and store.in_map(found, rng.integers(-(1 << 63), (1 << 63) - 1, 100_000)).sum() < 100
+
+
+def test_op2_scrambles_each_byte_twice_at_most(monkeypatch):
+    """The pieces of a text are hashed from shared blocks, not each for itself."""
+    raw = np.random.default_rng(2).integers(97, 123, 50_000).astype(np.uint8)
+    done = []
+    monkeypatch.setattr(text, "mix", lambda x, mix=text.mix: (done.append(len(x)), mix(x))[1])
+    m, left, right, doc, twice = suffixdedup.stretches(raw, np.array([0, 20_000, 20_000, 50_000]))
+    assert sum(done) < 2.5 * len(raw)
+    assert left[0] == 0 and right[-1] == 50_000 and set(doc.tolist()) == {0, 2} and not twice.any()
+    assert all(np.diff(left) > 0) and all((left[1:] == right[:-1] - 199) | (left[1:] == 20_000))
+
+
+def test_piece_hash():
+    """Equal pieces have equal hashes wherever they stand, other pieces other ones."""
+    raw = np.random.default_rng(4).integers(0, 3, 4000).astype(np.uint8)
+    for width in (3, 8, 9, 20, 32):
+        found = text.piece_hash(raw, width)
+        pieces = [raw[k : k + width].tobytes() for k in range(len(raw) - width + 1)]
+        assert len(found) == len(pieces) and len(set(zip(found.tolist(), pieces))) == len(set(found.tolist())) == len(set(pieces))
