@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,38 +51,48 @@ _PAIRS, _BLOCKS = 1 << 18, 16
 def correlation_map(series: DataFrame, block: int = 8192, epsilon: float = 2.220446049250313e-16) -> DataFrame:
     """Correlation over time of every two pixels (x, y) <= (x2, y2), from (x, y, v).
 
-    Pixels go to _BLOCKS blocks by hash, or more of about ``block``; each pair of blocks is one group, whose matrix product is taken and sent strip
-    by strip. A series is shuffled once per block: of N pixels N * N / ``block`` series, a small part of the N * N / 2 results.
+    Pixels go to _BLOCKS blocks by hash, or more of about ``block``; each pair of blocks is one group, whose matrix product is taken and sent tile
+    by tile. A series is shuffled once per block: of N pixels N * N / ``block`` series, a small part of the N * N / 2 results. Large maps have a task for
+    each group. Pairs come in runs of one pixel, the other in order, and a group's first tile in order of abs(value). So the result is small where it is
+    written as Parquet: pixels repeat, and values get a dictionary, which a writer keeps only if its first 20,000 rows repeat enough.
     """
     rows = series.select("x", "y", "v")
-    n = max(_BLOCKS, -(-rows.count() // block))
+    count = rows.count()
+    n = max(_BLOCKS, -(-count // block))
+    parts = min(n * (n + 1) // 2, max(_BLOCKS, count * count >> 23))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("x", "y"), F.lit(n)))
     left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     pairs = left.select(F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "x", "y", "v")
+    pairs = pairs.withColumn("k", F.pmod(F.shiftright(F.col("j") * (F.col("j") + 1), 1) + F.col("i"), F.lit(parts)).cast("int"))
 
     def product(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
-        i, j = (k.as_py() for k in key)
+        i, j = (k.as_py() for k in key[:2])
         own, x, y = (t[c].to_numpy() for c in ("b", "x", "y"))
         v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
         d = v - v.mean(1, keepdims=True)
         s = (d**2).sum(1)
-        one, two = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        x2, y2, right = x[two], y[two], np.ascontiguousarray(d[two].T)
-        step = max(1, _PAIRS // max(1, len(two)))
-        for lo in range(0, len(one) if len(two) else 0, step):
-            at = one[lo : lo + step]
-            c = np.clip(d[at] @ right / (np.sqrt(np.outer(s[at], s[two])) + epsilon), -1, 1)
-            x1, y1 = x[at, None], y[at, None]
-            swap = (x1 > x2) | ((x1 == x2) & (y1 > y2))
-            if i == j:
-                a, b = np.nonzero(~swap)
-                columns = [x[at][a], y[at][a], x2[b], y2[b], c[a, b]]
-            else:
-                columns = [np.where(swap, p, q) for p, q in ((x2, x1), (y2, y1), (x1, x2), (y1, y2))] + [c]
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel()) for k in columns], ["x", "y", "x2", "y2", "value"])
-
-    return pairs.groupBy("i", "j").applyInArrow(product, "x int, y int, x2 int, y2 int, value double")
+        order, first = np.lexsort((y, x)), True
+        one, two = order[own[order] == i], order[own[order] == j]
+        side = math.isqrt(_PAIRS)
+        for lo, low in itertools.product(range(0, len(one), side), range(0, len(two), side)):
+            at, by = one[lo : lo + side], two[low : low + side]
+            c = np.clip(d[at] @ d[by].T / (np.sqrt(np.outer(s[at], s[by])) + epsilon), -1, 1)
+            x1, y1, x2, y2 = x[at], y[at], x[by], y[by]
+            swap = (x1[:, None] > x2) | ((x1[:, None] == x2) & (y1[:, None] > y2))
+            a, b = np.nonzero(~swap)
+            halves = [(x1[a], y1[a], x2[b], y2[b], c[a, b])]
+            if i != j:
+                b, a = np.nonzero(swap.T)
+                halves.append((x2[b], y2[b], x1[a], y1[a], c[a, b]))
+            for columns in halves:
+                if len(columns[-1]):
+                    if first:
+                        rising, first = np.argsort(np.abs(columns[-1])), False
+                        columns = [k[rising] for k in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(k) for k in columns], ["x", "y", "x2", "y2", "value"])
+
+    return pairs.repartitionById(parts, "k").groupBy("i", "j", "k").applyInArrow(product, "x int, y int, x2 int, y2 int, value double")
 
 
 def correlation_matrix(obscon: DataFrame) -> DataFrame:

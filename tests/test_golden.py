@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -289,3 +291,25 @@ def test_correlation_map_sends_a_series_to_few_blocks(spark, monkeypatch):
     many = spark.range(20000).selectExpr("cast(id % 25 as int) x", "cast(id / 25 as int) y", "array(1.0D, 2.0D) v")
     plan = ts.correlation_map(many)._jdf.queryExecution().analyzed().toString()
     assert "sequence(0, 15" in plan
+
+
+def test_correlation_map_is_small_as_parquet(spark, monkeypatch, tmp_path):
+    """Pixels come in runs and values keep a dictionary in the files; no pair is lost or doubled, also of missing values."""
+    monkeypatch.setattr(ts, "_BLOCKS", 2)
+    v = np.random.default_rng(4).normal(size=(1200, 64))
+    s = spark.createDataFrame([(k % 25, k // 25, v[k].tolist()) for k in range(1200)], "x int, y int, v array<double>")
+    ts.correlation_map(s).withColumn("value", F.round("value", 5)).write.parquet(f"{tmp_path}/map")
+    files = [pq.ParquetFile(f) for f in sorted(tmp_path.glob("map/*.parquet"))]
+    columns = [f.metadata.row_group(g).column(4) for f in files for g in range(f.metadata.num_row_groups)]
+    assert columns and all("PLAIN" not in c.encodings for c in columns)
+    assert sum(f.metadata.row_group(g).column(k).total_compressed_size for f in files for g in range(f.metadata.num_row_groups) for k in range(5)) < 6 * 1200 * 1201 / 2
+    t = pa.concat_tables([f.read() for f in files])
+    x, y, x2, y2, value = (t[c].to_numpy() for c in ("x", "y", "x2", "y2", "value"))
+    a, b = y * 25 + x, y2 * 25 + x2
+    assert np.all((x < x2) | ((x == x2) & (y <= y2))) and len(np.unique(a * 1200 + b)) == len(a) == 1200 * 1201 // 2
+    d = v - v.mean(1, keepdims=True)
+    assert np.abs(value - (d @ d.T / np.sqrt(np.outer((d**2).sum(1), (d**2).sum(1))))[a, b]).max() < 0.6e-5
+    v[7, 3] = np.nan
+    s = spark.createDataFrame([(k % 25, k // 25, v[k].tolist()) for k in range(60)], "x int, y int, v array<double>")
+    got = ts.correlation_map(s).collect()
+    assert len(got) == 60 * 61 // 2 and sum(np.isnan(r.value) for r in got) == 60
